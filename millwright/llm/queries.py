@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, quality, simhash, token_store
+from . import chat, decontaminate, language, licenses, line_dedup, lm_score, packing, quality, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm_score.op1,
+    "op2_licenses": licenses.op2,
     "op3_decontamination": decontaminate.op3,
+    "op4_chat": chat.op4,
+    "op5_language": language.op5,
     "op6_quality_rules": quality.op6,
     "op7_token_store": token_store.op7,
     "op8_simhash": simhash.op8,

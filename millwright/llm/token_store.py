@@ -160,6 +160,10 @@ def _uses(recipes: DataFrame) -> DataFrame:
     return each.select("part", "place", "doc_id", "n_tokens", "at", F.col("use.chunks").alias("chunk"), F.col("use.sizes").alias("size"), after.alias("after"))
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("kind string, key binary, ids binary").parquet(f"{path}/content").where("kind = 'chunk'").select(F.col("key").alias("chunk"), "ids")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, intact (every chunk is there and has its
     digest and size) of each document, from the store's files."""
@@ -177,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc.astype(np.int64)), b.column(5)], names=["part", "place", "n_tokens", "share", "good"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.read.parquet(f"{path}/content").where("kind = 'chunk'").select(F.col("key").alias("chunk"), "ids").mapInArrow(verified, "chunk binary, found int, crc long, good boolean")
+    chunks = _chunks(spark, path).mapInArrow(verified, "chunk binary, found int, crc long, good boolean")
     used = _uses(recipes).join(chunks, "chunk", "left").select("part", "place", "n_tokens", F.coalesce("crc", F.lit(0)).alias("crc"), "after", F.coalesce(F.col("good") & (F.col("found") == F.col("size")), F.lit(False)).alias("good"))
     whole = used.mapInArrow(shares, "part int, place long, n_tokens long, share long, good boolean").groupBy("part", "place").agg(F.bit_xor("share").alias("ids_crc32"), F.bool_and("good").alias("intact"))
     manifest = spark.read.parquet(f"{path}/manifest")
@@ -189,7 +193,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids (little-endian uint16) of each document."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.read.parquet(f"{path}/content").where("kind = 'chunk'").select(F.col("key").alias("chunk"), "ids")
+    chunks = _chunks(spark, path)
     parts = _uses(recipes).join(chunks, "chunk").groupBy("part", "place", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     return parts.select("doc_id", F.expr("aggregate(parts.ids, X'', (x, y) -> concat(x, y))").alias("ids"))
 

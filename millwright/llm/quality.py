@@ -25,27 +25,33 @@ CHAR_LIMIT, WORD_LIMIT, CHAR_NOISE, WORD_NOISE, MIN_CHARS, MIN_WORDS = 0.25, 0.4
 def counted(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and words (array)."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("words", F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    out = docs.withColumn("trimmed", trimmed).withColumn("words", F.expr(r"if(trimmed = '', cast(array() as array<string>), split(trimmed, '[\\x20\\x09-\\x0D]+'))")).drop("trimmed")
     out = out.withColumn("n_words", F.size("words").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     out = out.withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
     lines = F.expr(r"filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')")
     out = out.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    # windows in order of their text, then place: equal ones are neighbours
-    windows = "sort_array(transform(sequence(0, size(words) - 3), i -> struct(concat(words[i], ' ', words[i + 1], ' ', words[i + 2]) as w, i as i)))"
-    out = out.withColumn("windows", F.expr(f"if(size(words) >= 3, {windows}, array())"))
+    windows = "transform(sequence(0, size(words) - 3), i -> concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))"
+    out = out.withColumn("texts", F.expr(f"if(size(words) >= 3, {windows}, array())"))
+    # only a text with a repeated window has its windows sorted, by their text and place: equal ones are neighbours
+    out = out.withColumn("windows", F.expr("if(size(array_distinct(texts)) < size(texts), sort_array(transform(texts, (w, i) -> struct(w as w, i as i))), array())"))
     out = out.withColumn("last", F.size("windows") - 1)
     again = "filter(windows, (x, k) -> (k > 0 and windows[greatest(k - 1, 0)].w = x.w) or (k < last and windows[least(k + 1, last)].w = x.w))"
-    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("windows", "last")
+    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("texts", "windows", "last")
     covered = "aggregate(starts, struct(0L as n, 0 as upto), (a, i) -> struct(a.n + i + 3 - greatest(i, a.upto) as n, i + 3 as upto), a -> a.n)"
     return out.withColumn("n_repeat_words", F.expr(covered)).drop("starts")
 
 
-def _classes() -> Column:
-    """Counts of the characters of each class, and of all others."""
-    text = F.coalesce("text", F.lit(""))
-    each = [F.length(F.expr(f"regexp_replace(coalesce(text, ''), '{c}+', '')")) for c in CLASSES]
-    return F.array(*((F.length(text) - x).cast("double") for x in each))
+def _with_classes(docs: DataFrame) -> DataFrame:
+    """docs with classes: the number of characters of each class. One class after another is taken out of the text."""
+    out, rest = docs, "coalesce(text, '')"
+    for k, c in enumerate(CLASSES):
+        out = out.withColumn(f"rest_{k}", F.expr(f"regexp_replace({rest}, '{c}+', '')"))
+        out = out.withColumn(f"n_{k}", F.expr(f"double(length({rest}) - length(rest_{k}))"))
+        rest = f"rest_{k}"
+    out = out.withColumn("classes", F.array(*(f"n_{k}" for k in range(len(CLASSES)))))
+    return out.drop(*(f"{x}_{k}" for x in ("rest", "n") for k in range(len(CLASSES))))
 
 
 def _distance(p: str, q: str) -> Column:
@@ -59,8 +65,8 @@ def _distance(p: str, q: str) -> Column:
 def references(docs: DataFrame) -> DataFrame:
     """lang, ref_classes, common (array of the language's most frequent words, lower-cased, ties by word), ref_words
     (their counts, then that of all other words): over all documents."""
-    chars = docs.select("lang", _classes().alias("c")).groupBy("lang").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(len(CLASSES)))).alias("ref_classes"))
-    words = docs.select("lang", F.explode(F.expr(r"filter(split(lower(text), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")).alias("w"))
+    chars = _with_classes(docs.select("lang", "text")).select("lang", F.col("classes").alias("c")).groupBy("lang").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(len(CLASSES)))).alias("ref_classes"))
+    words = docs.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     counts = stored(counts, "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -83,7 +89,7 @@ def assessed(docs: DataFrame) -> DataFrame:
     ref = stored(references(docs), "references").withColumnRenamed("lang", "ref_lang")
     few = len(ref.select("ref_lang").take(MANY_LANGUAGES + 1)) <= MANY_LANGUAGES  # rows of some forty values
     out = out.join(F.broadcast(ref) if few else ref, F.expr("lang <=> ref_lang"), "left")
-    out = out.withColumn("classes", _classes())
+    out = _with_classes(out)
     out = out.withColumn("spaced", F.expr("concat(' ', lower(array_join(words, '  ')), ' ')"))  # two spaces between words: no match takes another's
     hits = "transform(common, w -> double(octet_length(spaced) - octet_length(replace(spaced, concat(' ', w, ' '), ''))) / (octet_length(w) + 2))"
     out = out.withColumn("hits", F.expr(hits)).withColumn("hits", F.expr("concat(hits, array(size(words) - aggregate(hits, 0D, (s, x) -> s + x)))"))

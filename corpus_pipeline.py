@@ -13,8 +13,12 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.assessed(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep.
+
+    The row number keeps the filter above the projection that computes kept: pushed below it, the filter would hold all
+    of kept's nested expressions, each evaluated as often as it is named.
+    """
+    return quality.assessed(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,30 @@ def level(score: Column) -> Column:
 
 def coverage(events: Column, documents: Column) -> Column:
     return F.when((events >= 4) & (documents >= 2), "high").when(events >= 2, "medium").otherwise("low")
+
+
+class Gap(NamedTuple):
+    """A compliance gap: patterns that one span must all have, and what closes it anywhere in the asset's texts."""
+
+    name: str
+    severity: str
+    span: list[str]
+    closed: str | None = None
+    at_least: int = 1
+
+
+# Compliance gaps, over lower-cased text; from how many days on an overdue calibration is severe.
+GAPS = [
+    Gap("certificate_expired", "high", ["certificate", "expired|lapse"]),
+    Gap("calibration_overdue", "medium", ["calibrat", "overdue|past due|due by"]),
+    Gap("inspection_overdue", "high", ["vibrat", r"exceed|non-compliant|non compliant|above.*limit|limit.*above|within 48 hour|trip setpoint"], r"alignment\s+(check\s+)?(completed|done|verified and within)|re-?baselined?[^.]*within\s+limit|vibration[^.]*within\s+limit\s+after|ncr[^.]*closed|finding\s+closed"),
+    Gap("sop_review_overdue", "medium", ["sop|procedure|lockout|loto", "review", "due"]),
+    Gap("repeated_failure_no_rca", "medium", ["failure|failed|breakdown|leakage|alarm|exceeding trip|recurring|repeated"], r"root\s+cause|\brca\b|failure\s+analysis|5[\s-]?why|why[\s-]?why", 2),
+    Gap("safety_procedure_missing", "high", [r"open\s+pump\s+casing|disassembl|mechanical\s+work|hot\s+work|confined\s+space|pressuris|depressuris|entry\s+permit|seal\s+replacement|casing\s+removal"], r"loto|lock\s?out|lock-?out|tag\s?out|isolation\s+procedure|permit\s+to\s+work"),
+]
+OVERDUE_DAYS = r"overdue\s+by\s+(\d{1,4})\s+days?"
+LONG_OVERDUE = 30
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.when(severity == "high", 3).when(severity == "medium", 2).when(severity == "low", 1).otherwise(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as tx
-from ..operators import analytics, retrieval
+from ..operators import analytics, compliance, retrieval
 from ..sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def _over_mentions(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(star.mentions(spark, sf_dir))
 
 
+def _over_findings(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(star.findings(spark, sf_dir))
+
+
 def _query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tx.query_tokens(F.col("text"))
     return star.table(spark, sf_dir, "benchmark").select("item_id", F.size(tokens).alias("n"), F.array_join(tokens, "|").alias("tokens"))
@@ -97,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "failure_modes": _over_mentions(analytics.failure_modes),
     "failure_hotspots": _over_mentions(analytics.failure_hotspots),
     "maintenance_actions": _over_mentions(analytics.maintenance_actions),
+    "compliance_segments": _over_findings(lambda e: compliance.segments(e).select("tag", "document_id", "chunk_index", "span")),
+    "compliance_gaps": _over_findings(compliance.gaps),
+    "compliance_counts": _over_findings(compliance.gap_counts),
     "top_assets": _top_assets,
     "recent_documents": _recent_documents,
     "dashboard_counts": _dashboard_counts,
@@ -139,6 +146,19 @@ risk AS (SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium
 """
 MODES = f"{STAR}, hit AS (" + " UNION ALL ".join(f"SELECT tag, document_id, chunk_index, created_at, '{n}' AS mode FROM star WHERE {_any(k)}" for n, k in rules.FAILURE_MODES) + ")"
 
+_SAID = "list_extract([" + ", ".join(f"'{x}'" for x in star.FINDINGS) + f"], CAST((document_id + 7 * chunk_index + entity_id) % {len(star.FINDINGS)} + 1 AS INTEGER))"
+_CUT = " ".join(f"WHEN strpos(said, '{o}') > 0 AND split_part(tag, '-', 2) <> '{o[2:]}' THEN tag || ' ' || substring(said, 1, strpos(said, '{o}') - 1)" for o in ("Q-9901", "C-9902"))
+SEGMENTS = f"""{STAR}, said AS (SELECT DISTINCT tag, document_id, chunk_index, created_at, {_SAID} AS said FROM star),
+segments AS (SELECT *, CASE {_CUT} ELSE tag || ' ' || said END AS span, lower(said) AS corpus FROM said)
+"""
+_HITS = " UNION ALL ".join(f"SELECT *, '{g.name}' AS gap_type, '{g.severity}' AS usual FROM segments WHERE " + " AND ".join(f"regexp_matches(lower(span), '{p}')" for p in g.span) for g in rules.GAPS)
+_OPEN = " AND ".join(f"NOT (gap_type = '{g.name}' AND tag IN (SELECT tag FROM segments WHERE regexp_matches(corpus, '{g.closed}')))" for g in rules.GAPS if g.closed)
+GAPS = f"""{SEGMENTS}, found AS (SELECT *, row_number() OVER (PARTITION BY tag, gap_type ORDER BY created_at DESC, document_id DESC, chunk_index) AS r,
+  TRY_CAST(regexp_extract(lower(span), '{rules.OVERDUE_DAYS}', 1) AS INTEGER) AS days FROM ({_HITS})),
+g AS (SELECT tag, gap_type, any_value(usual) AS usual, count(*) AS n_evidence, count(DISTINCT said) AS different, string_agg(document_id || '-' || chunk_index, '|' ORDER BY r) FILTER (r <= 3) AS evidence, arg_min(days, r) FILTER (days IS NOT NULL) AS days FROM found GROUP BY tag, gap_type),
+gaps AS (SELECT tag, gap_type, CASE WHEN gap_type = 'calibration_overdue' AND days >= {rules.LONG_OVERDUE} THEN 'high' ELSE usual END AS severity, n_evidence, evidence FROM g WHERE {_OPEN} AND NOT (gap_type = 'repeated_failure_no_rca' AND different < 2))
+"""
+
 
 def _topk(capped: bool) -> str:
     scored = "SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id"
@@ -172,6 +192,9 @@ SELECT relation_type, count(*) AS edges, count(DISTINCT tag) AS assets FROM e GR
     "failure_hotspots": f"""{MODES}, ev AS (SELECT DISTINCT tag, document_id, chunk_index, created_at FROM hit), g AS (SELECT tag, count(*) AS failure_events, count(DISTINCT document_id) AS documents, max(created_at) AS last_failure FROM ev GROUP BY tag),
 d AS (SELECT tag, count(DISTINCT mode) AS distinct_modes FROM hit GROUP BY tag) SELECT tag, failure_events, documents, last_failure, distinct_modes, CASE WHEN failure_events >= 4 AND documents >= 2 THEN 'high' WHEN failure_events >= 2 THEN 'medium' ELSE 'low' END AS coverage FROM g JOIN d USING (tag) ORDER BY failure_events DESC, distinct_modes DESC, tag LIMIT 10""",
     "maintenance_actions": f"{STAR} SELECT tag, CAST(place AS INTEGER) AS place, document_id, CAST(chunk_index AS INTEGER) AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY created_at DESC NULLS LAST, document_id DESC, chunk_index) AS place FROM star WHERE {_any(rules.MAINTENANCE)}) WHERE place <= 8",
+    "compliance_segments": f"{SEGMENTS} SELECT tag, document_id, CAST(chunk_index AS INTEGER) AS chunk_index, span FROM segments",
+    "compliance_gaps": f"{GAPS} SELECT * FROM gaps",
+    "compliance_counts": f"{GAPS} SELECT gap_type, severity, count(*) AS gaps, count(DISTINCT tag) AS assets FROM gaps GROUP BY gap_type, severity",
     "top_assets": f"{STAR} SELECT tag, count(*) AS mentions FROM star GROUP BY tag ORDER BY mentions DESC, tag LIMIT 5",
     "recent_documents": f"{STAR} SELECT document_id, filename, created_at FROM docs ORDER BY created_at DESC, document_id DESC LIMIT 5",
     "dashboard_counts": "SELECT 'documents' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'chunks', count(*) FROM lineitem UNION ALL SELECT 'assets', count(*) FROM part UNION ALL SELECT 'entities', count(*) FROM supplier",

@@ -48,3 +48,18 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = items.join(assets(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).join(documents(spark, sf_dir), F.col("l_orderkey") == F.col("document_id"))
     text = F.concat(F.lit("Equipment_ID: "), F.col("tag"), F.lit("\n"), phrase)
     return joined.select("tag", "asset_type", "document_id", "filename", "created_at", "chunk_index", text.alias("text"), F.col("l_suppkey").alias("entity_id"))
+
+
+#: What the findings of a mention say after its tag: by (document + 7 * chunk + entity) modulo their number.
+FINDINGS = [
+    "test certificate expired.", "calibration overdue by 45 days.", "calibration is past due.", "vibration exceeds its limit near Q-9901 where a seal failed.",
+    "SOP review overdue.", "seal failure with leakage.", "breakdown during startup.", "needs seal replacement.", "alignment completed.", "root cause recorded.",
+    "lockout applied.", "stands by C-9902 whose certificate expired.", "calibration overdue by 5 days.", *["checked."] * 16,
+]
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag, document_id, chunk_index, created_at, text: one finding of each mention, and a sentence without a tag."""
+    k = (F.col("document_id") + 7 * F.col("chunk_index") + F.col("entity_id")) % len(FINDINGS)
+    said = F.element_at(F.array(*map(F.lit, FINDINGS)), (k + 1).cast("int"))
+    return mentions(spark, sf_dir).select("tag", "document_id", "chunk_index", "created_at", F.concat("tag", F.lit(" "), said, F.lit(" Certificate expired elsewhere.\nNothing else.")).alias("text"))

@@ -42,9 +42,15 @@ def fitted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithm of each triple's probability in each. docs: lang, text."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    named = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("h", "text")
+        return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE // 2).drop("r")
+
+    # half of the sample by each parity of the hash: Spark limits groups of up to 1,000 before it shuffles; first within
+    # shares of the input, so that no task holds a language's rows from all partitions
+    named = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), (F.spark_partition_id() % 256).alias("share"))
+    named = named.withColumn("h", F.xxhash64("text")).withColumn("half", F.expr("h & 1"))
+    sample = first(first(named, "lang", "half", "share"), "lang", "half")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

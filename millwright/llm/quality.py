@@ -32,13 +32,14 @@ def counted(docs: DataFrame) -> DataFrame:
     out = out.withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
     lines = F.expr(r"filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')")
     out = out.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    windows = "transform(sequence(0, size(words) - 3), i -> concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))"
-    out = out.withColumn("texts", F.expr(f"if(size(words) >= 3, {windows}, array())"))
-    # only a text with a repeated window has its windows sorted, by their text and place: equal ones are neighbours
-    out = out.withColumn("windows", F.expr("if(size(array_distinct(texts)) < size(texts), sort_array(transform(texts, (w, i) -> struct(w as w, i as i))), array())"))
+    hashes = "transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"
+    out = out.withColumn("hashes", F.expr(f"if(size(words) >= 3, {hashes}, array())"))
+    # equal windows have equal hashes: only a text with a repeated hash has its windows sorted, by text and place, so that equal ones are neighbours
+    windows = "transform(sequence(0, size(words) - 3), i -> struct(concat(words[i], ' ', words[i + 1], ' ', words[i + 2]) as w, i as i))"
+    out = out.withColumn("windows", F.expr(f"if(size(array_distinct(hashes)) < size(hashes), sort_array({windows}), array())"))
     out = out.withColumn("last", F.size("windows") - 1)
     again = "filter(windows, (x, k) -> (k > 0 and windows[greatest(k - 1, 0)].w = x.w) or (k < last and windows[least(k + 1, last)].w = x.w))"
-    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("texts", "windows", "last")
+    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("hashes", "windows", "last")
     covered = "aggregate(starts, struct(0L as n, 0 as upto), (a, i) -> struct(a.n + i + 3 - greatest(i, a.upto) as n, i + 3 as upto), a -> a.n)"
     return out.withColumn("n_repeat_words", F.expr(covered)).drop("starts")
 

@@ -34,12 +34,15 @@ def counted(docs: DataFrame) -> DataFrame:
     out = out.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     hashes = "transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"
     out = out.withColumn("hashes", F.expr(f"if(size(words) >= 3, {hashes}, array())"))
-    # equal windows have equal hashes: only a text with a repeated hash has its windows sorted, by text and place, so that equal ones are neighbours
-    windows = "transform(sequence(0, size(words) - 3), i -> struct(concat(words[i], ' ', words[i + 1], ' ', words[i + 2]) as w, i as i))"
-    out = out.withColumn("windows", F.expr(f"if(size(array_distinct(hashes)) < size(hashes), sort_array({windows}), array())"))
+    # equal windows have equal hashes: the windows of a hash that another place has, by 33 bits of it, are compared as text.
+    # Hash and place in one number sort as primitives; sorted, equal hashes are neighbours.
+    out = out.withColumn("places", F.expr("if(size(array_distinct(hashes)) < size(hashes), sort_array(transform(hashes, (h, i) -> shiftleft(h, 31) | bigint(i))), array())")).withColumn("end", F.size("places") - 1)
+    alike = "filter(places, (x, k) -> (k > 0 and shiftright(places[greatest(k - 1, 0)], 31) = shiftright(x, 31)) or (k < end and shiftright(places[least(k + 1, end)], 31) = shiftright(x, 31)))"
+    out = out.withColumn("likely", F.expr(f"transform({alike}, x -> int(x & 2147483647L))"))
+    out = out.withColumn("windows", F.expr("sort_array(transform(likely, i -> struct(concat(words[i], ' ', words[i + 1], ' ', words[i + 2]) as w, i as i)))"))
     out = out.withColumn("last", F.size("windows") - 1)
     again = "filter(windows, (x, k) -> (k > 0 and windows[greatest(k - 1, 0)].w = x.w) or (k < last and windows[least(k + 1, last)].w = x.w))"
-    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("hashes", "windows", "last")
+    out = out.withColumn("starts", F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("hashes", "places", "end", "likely", "windows", "last")
     covered = "aggregate(starts, struct(0L as n, 0 as upto), (a, i) -> struct(a.n + i + 3 - greatest(i, a.upto) as n, i + 3 as upto), a -> a.n)"
     return out.withColumn("n_repeat_words", F.expr(covered)).drop("starts")
 

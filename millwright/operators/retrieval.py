@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +24,17 @@ def cosine(a: str, b: str) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, per_label: int | None = None) -> DataFrame:
     """The k nearest vectors of each query (query_id, query), ties by vec_id; at most per_label of one label.
 
-    Every query meets every row, as exact search needs: queries is a stated set, whose size is checked before it is sent.
+    Every query meets every row, as exact search needs. More than MOST_QUERIES are cut by the hash of query_id into
+    blocks of half as many on average; each block is sent, meets all rows, and the results are put together.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
+    n = queries.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.union, [_nearest(vectors, queries.where(block == b) if blocks > 1 else queries, k, per_label) for b in range(blocks)])
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, per_label: int | None) -> DataFrame:
+    """vector_topk of a block of queries that can be sent."""
     scored = vectors.join(F.broadcast(queries)).where("vec_id <> query_id").withColumn("score", F.round(cosine("embedding", "query"), 4))
     order = [F.desc("score"), F.col("vec_id")]
     if per_label is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm import decontaminate, line_dedup, packing, quality, simhash
-from millwright.llm.common import stored, table
+from millwright.llm.common import stored, table, with_row
 
 #: SimHash groups, near-copies removal and packing aren't SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
@@ -30,9 +30,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that with the smallest doc_id."""
-    found = stored(simhash.near_duplicates(docs.select("doc_id", "text")).where("id <> component_id").select(F.col("id").alias("copy_id")).distinct(), "copies")
-    return docs.join(found, F.col("doc_id") == F.col("copy_id"), "left_anti").dropDuplicates(["doc_id"])
+    """One row of each SimHash group: that with the smallest doc_id, a null one last; of rows that share it, one of them."""
+    rows = with_row(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("key")
+    copies = simhash.near_duplicates(rows.select(key, "text"), id_column="key").where("id <> component_id")
+    found = stored(copies.select(F.col("id._row").alias("copy_row")), "copies")
+    return rows.join(found, F.col("_row") == F.col("copy_row"), "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row; written, so that each reading gives a row the same number."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst), long and undirected -> (node, component): the smallest node that each node with an edge reaches.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, with_row
 
 WINDOW, SLOP, NEAR_TERMS = 13, 3, 4
 SHARD_WORDS = 2_000_000
@@ -198,9 +198,11 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without its contaminated rows; a row stays if its doc_id is null or no row of that doc_id is contaminated."""
-    bad = stored(contamination(matches(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("bad_id")), "contaminated")
-    return docs.join(bad.distinct(), docs.doc_id == F.col("bad_id"), "left_anti")
+    """docs without its contaminated rows, each found by itself: neither null nor shared doc_ids matter."""
+    rows = with_row(docs)
+    found = contamination(matches(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark))
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("bad_row")), "contaminated")
+    return rows.join(bad, F.col("_row") == F.col("bad_row"), "left_anti").select(docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from millwright.llm import common, decontaminate
 from millwright.operators import retrieval
 
+CLEAN = [f"{w} stands here with words of its own, {w * 2} after {w * 3} and then {w} again, so that {w}{i} is like no other" for i, w in enumerate(("alder", "brook", "cedar", "dune", "ember", "fjord"))]
+
 
 def test_vector_topk_in_blocks(spark, monkeypatch):
     v = spark.range(60).select(F.col("id").alias("vec_id"), F.concat(F.lit("l"), F.col("id") % 3).alias("label"), F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).cast("array<float>").alias("embedding"))
@@ -16,3 +20,18 @@ def test_vector_topk_in_blocks(spark, monkeypatch):
         assert len(whole) == 30 * 3
         monkeypatch.setattr(retrieval, "MOST_QUERIES", 8)
         assert sorted(retrieval.vector_topk(v, q, 3, per_label).collect()) == whole
+
+
+def test_near_dedup_by_row(spark):
+    rows = [(None, CLEAN[0]), (None, CLEAN[1]), (1, CLEAN[2]), (1, CLEAN[3]), (2, CLEAN[3]), (2, CLEAN[4]), (None, CLEAN[2]), (3, CLEAN[5]), (3, CLEAN[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, CLEAN[0]), (0, CLEAN[1]), (1, CLEAN[2]), (1, CLEAN[3]), (2, CLEAN[4]), (3, CLEAN[5])])
+
+
+def test_decontamination_by_row(spark):
+    docs = common.stored(spark.createDataFrame([(None, CLEAN[0]), (None, CLEAN[1]), (1, CLEAN[2]), (1, CLEAN[0]), (2, CLEAN[3])], "doc_id long, text string"), "docs")
+    items = spark.createDataFrame([(7, CLEAN[0])], "item_id long, text string")
+    got = decontaminate.decontaminated(docs, items)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, CLEAN[1]), (1, CLEAN[2]), (2, CLEAN[3])]

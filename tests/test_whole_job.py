@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millwright.llm import common, decontaminate
+from millwright.llm import common, decontaminate, line_dedup
 from millwright.operators import retrieval
 
 CLEAN = [f"{w} stands here with words of its own, {w * 2} after {w * 3} and then {w} again, so that {w}{i} is like no other" for i, w in enumerate(("alder", "brook", "cedar", "dune", "ember", "fjord"))]
@@ -35,3 +35,14 @@ def test_decontamination_by_row(spark):
     items = spark.createDataFrame([(7, CLEAN[0])], "item_id long, text string")
     got = decontaminate.decontaminated(docs, items)
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, CLEAN[1]), (1, CLEAN[2]), (2, CLEAN[3])]
+
+
+def test_line_dedup_by_row(spark):
+    line = "This is one long line that many documents share."
+    own = [f"{x}\n{y}" for x, y in zip(CLEAN[:3], CLEAN[3:], strict=True)]
+    rows = [(None, f"{own[0]}\n{line}"), (None, f"{line}\n{own[1]}"), (1, f"{line}\n{own[2]}"), (1, CLEAN[0][::-1]), (1, f"{CLEAN[1][::-1]}\n{line}")]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "docs")
+    got = line_dedup.deduplicated(docs).collect()
+    texts = sorted(r.text for r in got)
+    assert texts == sorted([f"{own[0]}\n{line}", own[1], own[2], CLEAN[0][::-1], CLEAN[1][::-1]])
+    assert sorted(x.line_no for r in got for x in r.removed) == [0, 0, 1] and {x.first_doc for r in got for x in r.removed} == {None}

@@ -42,7 +42,6 @@ class Encoder:
 
     def __init__(self, name: str, words_only: bool, cached: int = 400_000) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits only")
         self.words_only, self.cached, self.model = words_only, cached, self.tokenizer.model

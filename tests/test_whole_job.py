@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millwright.llm import common, decontaminate, line_dedup
+from millwright.llm.tokens import Encoder
 from millwright.operators import retrieval
 
 CLEAN = [f"{w} stands here with words of its own, {w * 2} after {w * 3} and then {w} again, so that {w}{i} is like no other" for i, w in enumerate(("alder", "brook", "cedar", "dune", "ember", "fjord"))]
@@ -46,3 +51,12 @@ def test_line_dedup_by_row(spark):
     texts = sorted(r.text for r in got)
     assert texts == sorted([f"{own[0]}\n{line}", own[1], own[2], CLEAN[0][::-1], CLEAN[1][::-1]])
     assert sorted(x.line_no for r in got for x in r.removed) == [0, 0, 1] and {x.first_doc for r in got for x in r.removed} == {None}
+
+
+def test_ids_of_special_tokens():
+    r = random.Random(3)
+    marks = ["a", "é", "\n", " ", "  ", "\t", "1", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\xa0", "中", "\r\n", "'s"]
+    texts = ["a <|endoftext|> b", *("".join(r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(3000))]
+    for name, words_only in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        fresh = Tokenizer.from_file(public_tokenizers.path(name))
+        assert [x.tolist() for x in Encoder(name, words_only, cached=500).encode(texts)] == [fresh.encode(x, add_special_tokens=False).ids for x in texts]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millwright.llm import common, decontaminate, line_dedup
+from millwright.llm import common, decontaminate, line_dedup, quality
 from millwright.llm.tokens import Encoder
 from millwright.operators import retrieval
 
@@ -60,3 +60,18 @@ def test_ids_of_special_tokens():
     for name, words_only in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         fresh = Tokenizer.from_file(public_tokenizers.path(name))
         assert [x.tolist() for x in Encoder(name, words_only, cached=500).encode(texts)] == [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_quality_without_common_words(spark):
+    """Texts of the same letters: only their common words tell them from their language."""
+    r = random.Random(5)
+    rare = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    common_words = {lang: ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 5))) for _ in range(24)] for lang in ("en", "de")}
+
+    def text(n, lang):
+        return " ".join(r.choice(common_words[lang]) if lang and r.random() < 0.25 else r.choice(rare) for _ in range(n))
+
+    rows = [(i, text(r.randint(60, 900), lang), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    odd = [(1000, text(2000, None), "en"), (1001, text(80, None), "de"), (1002, text(1500, "de"), "en"), (1003, text(1500, "en"), "de")]
+    got = {x.doc_id: x.kept for x in quality.assessed(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, kept in got.items() if not kept] == [1000, 1001, 1002, 1003]

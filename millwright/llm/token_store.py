@@ -27,36 +27,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_folder, table
-from .tokens import encoder
+from .tokens import by_size, encoder
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511 << 40
 DIGEST = 16
-MULTIPLIER = 0x9E3779B97F4A7C15
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document: where the hash of the last 16 ids has nine zero bits, at least 128 ids and at
-    most 4096 after the last end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER)
-    mixed ^= mixed >> np.uint64(29)
+#: Digests that a task remembers.
+MOST_SEEN = 1_000_000
+MIXED = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+MIXED ^= MIXED >> np.uint64(29)
+#: Recipes in a part of the store: their leaves are one group in the manifest's making.
+PART_DOCS = 200_000
+
+
+def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends, within each document, of its chunks: where the hash of the last 16 ids has nine zero bits, at least 128 ids
+    and at most 4096 after the last end. ids: of all documents; bounds: where each starts, and the end of the last."""
+    h = np.zeros(max(0, len(ids) - WINDOW + 1), np.uint64)
+    mixed = MIXED[ids]
     for i in range(WINDOW):
-        h = h * np.uint64(0xD1B54A32D192ED03) + mixed[i : n - WINDOW + 1 + i]
-    ends, last = [], 0
-    for end in (np.flatnonzero(h & np.uint64(MASK) == 0) + WINDOW).tolist():
-        while end - last > MOST:
+        h *= np.uint64(0xD1B54A32D192ED03)
+        h += mixed[i : i + len(h)]
+    places = np.flatnonzero(h & np.uint64(MASK) == 0) + WINDOW
+    first, until = (np.searchsorted(places, x, side="left").tolist() for x in (bounds[:-1] + WINDOW, bounds[1:] + 1))
+    out = []
+    for a, b, start, n in zip(first, until, bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True):
+        if n <= LEAST:
+            out.append([n])
+            continue
+        ends, last = [], 0
+        for end in places[a:b].tolist():
+            end -= start
+            while end - last > MOST:
+                last += MOST
+                ends.append(last)
+            if end - last >= LEAST:
+                ends.append(end)
+                last = end
+        while n - last > MOST:
             last += MOST
             ends.append(last)
-        if end - last >= LEAST:
-            ends.append(end)
-            last = end
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return ends if last == n else [*ends, n]
+        out.append(ends if last == n else [*ends, n])
+    return out
 
 
 def _shift_tables() -> np.ndarray:
@@ -107,24 +118,34 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
     schema = f"kind string, key binary, doc_id {kind}, ids binary, chunks array<binary>, sizes array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        types = None
+        row, seen = TaskContext.get().partitionId() << 40, set()
+
+        def rows(n: int, **given: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip(columns, types, strict=True)], names=columns)
+
         for b in batches:
             types = [pa.string(), pa.binary(), b.schema.field(0).type, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            out: list[tuple] = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, True).encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.uint16(end_id)).astype("<u2")
-                ends = cut_points(ids)
-                parts = [ids[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-                digests = [hashlib.blake2b(p, digest_size=DIGEST).digest() for p in parts]
-                out += [("chunk", d, None, p, None, None) for d, p in zip(digests, parts, strict=True)]
-                out.append(("recipe", row.to_bytes(8, "big"), doc_id, None, digests, [len(p) // 2 for p in parts]))
-                row += 1
-            for i in range(0, len(out), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 8192], strict=True), types, strict=True)], names=columns)
-
-    cut = docs.select("doc_id", "text").mapInArrow(run, schema)
-    once = cut.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in columns[2:]))  # a chunk found in many documents leaves its task once
+            for part in by_size(b, 1):
+                ids, bounds = encoder(tokenizer, True).encode_ended(part.column(1).to_pylist(), end_id)
+                cuts = cut_points(ids, bounds)
+                n_chunks = np.fromiter(map(len, cuts), np.int32, len(cuts))
+                ends = np.concatenate([[0], np.fromiter((e for c in cuts for e in c), np.int64) + np.repeat(bounds[:-1], n_chunks)])
+                data = ids.astype("<u2").tobytes()
+                at = (2 * ends).tolist()
+                digests = [hashlib.blake2b(data[s:e], digest_size=DIGEST).digest() for s, e in zip(at, at[1:])]  # noqa: B905
+                new = [d not in seen and not seen.add(d) for d in digests]  # a chunk found in many documents leaves its task once
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                keys = pa.array(digests, pa.binary())
+                chunks = pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(data)]).filter(pa.array(new))
+                yield rows(len(chunks), kind=pa.array(["chunk"] * len(chunks)), key=keys.filter(pa.array(new)), ids=chunks)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n_chunks)]).astype(np.int32))
+                recipe = pa.array([k.to_bytes(8, "big") for k in range(row, row + len(cuts))], pa.binary())
+                row += len(cuts)
+                yield rows(len(cuts), kind=pa.array(["recipe"] * len(cuts)), key=recipe, doc_id=part.column(0), chunks=pa.ListArray.from_arrays(offsets, keys), sizes=pa.ListArray.from_arrays(offsets, pa.array(np.diff(ends).astype(np.int32))))
+
+    cut = docs.select("doc_id", "text").mapInArrow(run, schema).repartition("key")
+    once = cut.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in columns[2:]))
     once.write.partitionBy("kind").parquet(f"{path}/content")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +159,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
             place = int(ends[-1]) if len(ends) else place
 
     recipes = spark.read.schema(schema).parquet(f"{path}/content").where("kind = 'recipe'")
-    ordered = recipes.select("doc_id", "key", "chunks", "sizes").repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "chunks", "sizes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-recipes.count() // PART_DOCS))
+    ordered = recipes.select("doc_id", "key", "chunks", "sizes").repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "chunks", "sizes")
     ordered.mapInArrow(placed, f"part int, place long, doc_id {kind}, n_tokens long, chunks array<binary>, sizes array<int>, leaf binary").write.parquet(f"{path}/recipes")
     roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
@@ -165,14 +187,15 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, intact (every chunk is there and has its
-    digest and size) of each document, from the store's files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, intact of each document, from the store's
+    files. intact: every chunk is there and has its digest and size, and the recipes of the document's part give the
+    manifest's Merkle root and counts."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = b.column(1).to_pylist()
             good = [hashlib.blake2b(p, digest_size=DIGEST).digest() == k for k, p in zip(b.column(0).to_pylist(), parts, strict=True)]
-            crc = [zlib.crc32(np.frombuffer(p, "<u2").astype("<u4").tobytes()) for p in parts]
+            crc = [zlib.crc32(np.frombuffer(p, "<u2").astype("<u4")) for p in parts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) // 2 for p in parts], pa.int32()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], names=["chunk", "found", "crc", "good"])
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +209,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = used.mapInArrow(shares, "part int, place long, n_tokens long, share long, good boolean").groupBy("part", "place").agg(F.bit_xor("share").alias("ids_crc32"), F.bool_and("good").alias("intact"))
     manifest = spark.read.parquet(f"{path}/manifest")
     before = manifest.select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
+    before = before.join(verify(spark, path).select("part", F.lit(True).alias("broken")), "part", "left")
     out = recipes.select("part", "place", "doc_id", "n_tokens").join(whole, ["part", "place"]).join(F.broadcast(before), "part")
-    return out.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "intact")
+    return out.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", (F.col("intact") & F.col("broken").isNull()).alias("intact"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
@@ -202,12 +226,12 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     """The parts whose recipes no longer give the manifest's root or counts; none if the store is sound."""
     kept = spark.read.parquet(f"{path}/manifest").select("part", *(F.col(c).alias(f"kept_{c}") for c in ("n_docs", "n_tokens", "root")))
 
-    def again(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            b["leaf"] = [leaf(None if pd.isna(d) else int(d), list(c), [int(x) for x in s]) for d, c, s in zip(b["doc_id"], b["chunks"], b["sizes"], strict=True)]
-            yield b[["part", "place", "n_tokens", "leaf"]]
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaves = [leaf(*x) for x in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(leaves, pa.binary())], names=["part", "place", "n_tokens", "leaf"])
 
-    now = roots(spark.read.parquet(f"{path}/recipes").select("part", "place", "n_tokens", "doc_id", "chunks", "sizes").mapInPandas(again, "part int, place long, n_tokens long, leaf binary"))
+    now = roots(spark.read.parquet(f"{path}/recipes").select("part", "place", "n_tokens", "doc_id", "chunks", "sizes").mapInArrow(again, "part int, place long, n_tokens long, leaf binary"))
     same = " and ".join(f"{c} <=> kept_{c}" for c in ("n_docs", "n_tokens", "root"))
     return now.join(kept, "part", "full").where(f"not ({same})").select("part")
 

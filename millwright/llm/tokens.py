@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker for each core
 
@@ -22,9 +25,9 @@ SPACES = np.isin(np.arange(256), [0x09, 0x0A, 0x20])
 CONTROLS = (np.arange(256) < 0x20) & ~SPACES | (np.arange(256) == 0x7F)
 #: White space and controls of more than one byte in UTF-8, by their first bytes and the range of the last one.
 UNUSUAL = ((b"\xc2", 0x80, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe1\xa0", 0x8E, 0x8E), (b"\xe2\x80", 0x80, 0x8F), (b"\xe2\x80", 0xA8, 0xAF), (b"\xe2\x81", 0x9F, 0xA4), (b"\xe3\x80", 0x80, 0x80), (b"\xef\xbb", 0xBF, 0xBF))
-#: A part of Latin letters and closing marks: one pre-token of each kind at most.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-BATCH_BYTES = 8 << 20
+#: A part of Latin letters and closing marks is one pre-token of each kind at most: word, marks, and what is neither.
+PLAIN = re.compile(r"^( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,;:!?]*)(.*)$", re.M)
+BATCH_BYTES = 16 << 20
 
 
 def _byte_characters() -> dict[int, str]:
@@ -34,7 +37,8 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-BYTE_TEXT = _byte_characters()
+#: As str.translate takes it, of a text read as Latin-1 whose lines are to stay.
+BYTE_TEXT = _byte_characters() | {10: "\n"}
 
 
 class Encoder:
@@ -44,32 +48,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits only")
-        self.words_only, self.cached, self.model = words_only, cached, self.tokenizer.model
+        self.words_only, self.cached = words_only, cached
+        self.merges = Tokenizer(self.tokenizer.model)  # of pre-tokens, one in a line
+        self.merges.pre_tokenizer = CharDelimiterSplit("\n")
+        self.marks: dict[str, bytes] = {"": b""}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pre_token(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([BYTE_TEXT[b] for b in text.encode()]))]
+    def _pre_tokens(self, texts: list[str]) -> list[bytes]:
+        """ids of pre-tokens without digits; a line of a digit tells them apart."""
+        out = []
+        for i in range(0, len(texts), 50_000):
+            lines = "\n1\n".join([*texts[i : i + 50_000], ""]).encode().decode("latin-1").translate(BYTE_TEXT)
+            ids = np.array(self.merges.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(ids == ids[-1]).tolist() if len(ids) else []
+            data = ids.tobytes()
+            out += [data[2 * a : 2 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return out
 
     def _parts(self, parts: list[bytes]) -> list[bytes]:
         """ids of parts that aren't in the cache; plain ones go to the merges at once."""
-        out, others = [b""] * len(parts), []
-        for i, part in enumerate(parts):
-            text = part.decode()
-            if plain := PLAIN.fullmatch(text):
-                word, marks = plain.groups()
-                if self.words_only:
-                    word = word.lstrip().lower()
-                ids = self._pre_token(word)
-                out[i] = np.array(ids + self._pre_token(marks) if marks else ids, dtype="<u2").tobytes()
-            else:
-                others.append((i, text))
-        for (i, _), ids in zip(others, self.whole([x for _, x in others]), strict=True):
-            out[i] = ids
-        return out
+        where = [i for i, x in enumerate(parts) if b"\n" not in x]
+        found = PLAIN.findall(b"\n".join([parts[i] for i in where]).decode()) if where else []
+        plain = {i: (w.lstrip().lower() if self.words_only else w, marks) for i, (w, marks, rest) in zip(where, found, strict=True) if w and not rest}
+        words = list({w for w, _ in plain.values()})
+        marks = list({m for _, m in plain.values()} - self.marks.keys())
+        self.marks.update(zip(marks, self._pre_tokens(marks), strict=True))
+        code, marks_code = dict(zip(words, self._pre_tokens(words), strict=True)), self.marks
+        others = [i for i in range(len(parts)) if i not in plain]
+        out = dict(zip(others, self.whole([parts[i].decode() for i in others]), strict=True))
+        out.update((i, code[w] + marks_code[m]) for i, (w, m) in plain.items())
+        return [out[i] for i in range(len(parts))]
 
     def _lookup(self, parts: list[bytes]) -> list[bytes]:
         if len(self.new) > self.cached:
@@ -97,6 +109,12 @@ class Encoder:
                 group, held = [], 0
         return out + (self._encode(group) if group else [])
 
+    def encode_ended(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, end_id after each, in one array, and where each text starts in it (its end at last)."""
+        each, end = self.encode(texts), np.array([end_id], np.uint16)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) + 1)])
+        return np.concatenate([x for ids in each for x in (ids, end)] or [np.zeros(0, np.uint16)]), bounds
+
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
@@ -120,7 +138,9 @@ class Encoder:
         index = coded.indices.to_numpy()
         n = lengths[index]
         until = np.concatenate([[0], np.cumsum(n)])
-        every = flat[np.repeat(starts[index] - until[:-1], n) + np.arange(until[-1])]
+        at = np.repeat((starts[index] - until[:-1]).astype(np.int32), n)
+        at += np.arange(until[-1], dtype=np.int32)
+        every = flat[at]
         bounds = until[np.searchsorted(offsets, np.concatenate([[0], ends]))]
         out = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in odd:
@@ -138,6 +158,17 @@ class Encoder:
         return np.unique(np.searchsorted(ends, np.concatenate(at), side="right")).tolist()
 
 
+def by_size(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some BATCH_BYTES of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + BATCH_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 

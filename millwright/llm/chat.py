@@ -45,21 +45,24 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     (None: all). messages: conv_id, node (long, unique in its conversation), parent (null: a root), score.
 
     A parent that isn't there makes its message a root; a null score is 0; ties go to the smaller leaf; a null conv_id
-    is a conversation. A cycle has no leaf and is left out.
+    is a conversation. A cycle, and all that hangs off one, has no root and is left out: a path longer than its
+    conversation isn't followed, and a branch counts if it reaches a root.
     """
     m = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    sizes = m.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("n_messages"))
     there = m.select(F.col("conv_id").alias("c"), F.col("node").alias("up"))
     jump = m.where("parent is not null").join(there, F.expr("conv_id <=> c and parent = up")).select("conv_id", "node", "up")
-    jump = stored(jump, "replies")
+    jump = replies = stored(jump, "replies")
     leaf = m.join(jump.select(F.col("conv_id").alias("c"), F.col("up").alias("p")).distinct(), F.expr("conv_id <=> c and node = p"), "left_anti")
-    rounds = [stored(leaf.select("conv_id", F.col("node").alias("branch"), "node", F.lit(0).cast("long").alias("distance")), "paths")]
+    leaf = leaf.join(sizes, F.expr("conv_id <=> c"))
+    rounds = [stored(leaf.select("conv_id", F.col("node").alias("branch"), "node", F.lit(0).cast("long").alias("distance"), "n_messages"), "paths")]
     for k in range(MOST_ROUNDS):
         step = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up"))
         so_far = rounds[0]
         for r in rounds[1:]:
             so_far = so_far.union(r)
-        more = so_far.join(step, F.expr("conv_id <=> c and node = n")).select("conv_id", "branch", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
-        more = stored(more, "paths")
+        more = so_far.join(step, F.expr("conv_id <=> c and node = n")).select("conv_id", "branch", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"), "n_messages")
+        more = stored(more.where("distance < n_messages"), "paths")
         if more.isEmpty():
             break
         rounds.append(more)
@@ -67,8 +70,9 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     paths = rounds[0]
     for r in rounds[1:]:
         paths = paths.union(r)
-    scores = m.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "score")
-    scored = paths.join(scores, F.expr("conv_id <=> c and node = n")).groupBy("conv_id", "branch").agg(F.sum("score").alias("score"), F.max("distance").alias("length"))
+    first_jump = replies.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.lit(False).alias("root"))
+    scores = m.select("conv_id", "node", "score").join(first_jump, F.expr("conv_id <=> c and node = n"), "left").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "score", F.coalesce("root", F.lit(True)).alias("root"))
+    scored = paths.join(scores, F.expr("conv_id <=> c and node = n")).groupBy("conv_id", "branch").agg(F.sum("score").alias("score"), F.max("distance").alias("length"), F.bool_or("root").alias("rooted")).where("rooted")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "branch")))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a folder of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, one of this machine if all of
+    Spark runs in this process (tests); an error elsewhere, since executors wouldn't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one, that docs doesn't have as a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hidden(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the used ones under names of their own, and what selects docs' columns from it again."""
+    names = {c: c if c in used else f"_given_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: later steps neither repeat its work nor lose it with an executor."""
     spark = df.sparkSession
@@ -30,9 +48,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of its own for each row; written, so that each reading gives a row the same number."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number of its own for each row; written, so that each reading gives a row the same number."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

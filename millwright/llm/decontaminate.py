@@ -1,10 +1,10 @@
 """Benchmark decontamination through a positional inverted index.
 
-The index is cut by document: each shard, some two million words of whole documents, has one posting list for each term
-that the test items use, holding the word positions of the term within the shard. Documents stand SLOP + longest item
-apart, so no phrase crosses their border. A search takes the terms of a window from the rarest in the corpus on,
-subtracts each term's offset from its positions, and intersects the lists until one is empty or all terms are used:
-what is left is where the phrase starts. With slack, the rarest terms' lists give the proximity matches.
+The index is cut by document: each shard, some four million words of whole documents, has one posting list for each term
+in it, holding the word positions of the term within the shard. It is stored once and serves any test items. Documents
+stand SLOP + WINDOW apart, so no phrase crosses their border. A search takes the terms of a window from the rarest in
+the corpus on, subtracts each term's offset from its positions, and intersects the lists until one is empty or all terms
+are used: what is left is where the phrase starts. With slack, the same gives the proximity matches.
 """
 
 from __future__ import annotations
@@ -18,64 +18,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_row
+from .common import hidden, stored, table, with_row
 
-WINDOW, SLOP, NEAR_TERMS = 13, 3, 4
-SHARD_WORDS = 2_000_000
+WINDOW, SLOP = 13, 3
+SHARD_WORDS = 4_000_000
 #: Items are searched for in blocks of so many words of theirs, which bounds what a task is sent.
 BLOCK_WORDS = 1_000_000
 #: A byte of UTF-8 as words have it: A-Z lower-cased, ASCII other than letters and digits blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX = "shard string, term binary, n long, positions binary"
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def build_index(docs: DataFrame, terms: list[bytes], gap: int) -> DataFrame:
-    """Posting lists (int32 positions) of the terms in each shard, and for each shard a row without a term whose n is
-    the shard's documents and whose positions are their first positions, numbers of words and, at last, ids as text."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # bounded by BLOCK_WORDS
+def build_index(docs: DataFrame, gap: int = WINDOW + SLOP) -> DataFrame:
+    """shard, term, n, positions (int32) of each term in each shard, and for each shard a row without a term: n is the
+    shard's number of documents, positions their first positions and numbers of words, doc_ids their ids."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        get, task, shards = number.value.get, TaskContext.get().partitionId(), 0
-        ids, starts, sizes, found, at = [], [], [], [], 0
+        task, shards = TaskContext.get().partitionId(), 0
+        ids, sizes, codes, terms = [], [], [], {}
+        id_type, n_words = pa.null(), 0
 
         def shard() -> Iterator[pa.RecordBatch]:
-            nonlocal shards, at
-            name = f"{task}-{shards}"
-            place, term = np.concatenate([np.zeros((2, 0), np.int32), *found], axis=1)
-            order = np.argsort(term, kind="stable")
-            used, first, n = np.unique(term[order], return_index=True, return_counts=True)
-            lists = [place[order[a : a + k]].tobytes() for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-            head = pa.array(ids).cast(pa.string()).to_pylist()
-            table_ = np.array(starts, "<i4").tobytes() + np.array(sizes, "<i4").tobytes() + "\n".join("" if x is None else x for x in head).encode()
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(used) + 1)), pa.array([None, *(terms_by[i] for i in used.tolist())], pa.binary()), pa.array([len(ids), *n.tolist()], pa.int64()), pa.array([table_, *lists], pa.binary())], names=["shard", "term", "n", "positions"])
-            shards, at = shards + 1, 0
-            for x in (ids, starts, sizes, found):
-                x.clear()
-
-        terms_by = list(number.value)
+            n = np.array(sizes, np.int64)
+            starts = np.cumsum(n + gap) - n - gap
+            code = np.array(codes, np.int32)
+            place = (np.arange(len(code)) + np.repeat(np.arange(len(n)) * gap, n)).astype(np.int32)
+            order = np.argsort(code, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms))))
+            head = starts.astype("<i4").tobytes() + n.astype("<i4").tobytes()
+            name, id_list = f"{task}-{shards}", pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.binary()), pa.array([len(ids)]), pa.array([head]), id_list], names=["shard", "term", "n", "positions", "doc_ids"])
+            lists = pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(place[order].tobytes())])
+            whole = pa.RecordBatch.from_arrays([pa.array([name] * len(terms), pa.string()), pa.array(list(terms), pa.binary()), pa.array(np.diff(ends)), lists, pa.nulls(len(terms), pa.list_(id_type))], names=["shard", "term", "n", "positions", "doc_ids"])
+            for i in range(0, len(terms), 20_000):
+                yield whole.slice(i, 20_000)
+
         for b in batches:
+            id_type = b.schema.field(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                known = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                here = np.flatnonzero(known >= 0).astype(np.int32)
+                codes += [terms.setdefault(w, len(terms)) for w in words]
                 ids.append(doc_id)
-                starts.append(at)
                 sizes.append(len(words))
-                found.append(np.stack([here + np.int32(at), known[here]]))
-                at += len(words) + gap
-                if at >= SHARD_WORDS:
+                n_words += len(words) + gap
+                if n_words >= SHARD_WORDS:
                     yield from shard()
+                    shards, n_words = shards + 1, 0
+                    ids, sizes, codes, terms = [], [], [], {}
         if ids:
             yield from shard()
 
-    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(run, f"shard string, term binary, n long, positions binary, doc_ids array<{kind}>")
 
 
 def phrase_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], rarest: list[int]) -> np.ndarray:
@@ -98,7 +96,7 @@ def phrase_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], rarest: li
 
 
 def near_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], rarest: list[int], slop: int) -> np.ndarray:
-    """Where the rarest terms stand within slop words of their places."""
+    """Where all terms stand within slop words of their places, from where the rarest one stands."""
     starts = None
     for i in rarest:
         positions = lists.get(terms[i])
@@ -115,48 +113,47 @@ def near_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], rarest: list
     return starts
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], id_type: str, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[int, list[bytes]]], frequency: dict[bytes, int], id_type: str, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """shard, place, doc_id, n_words, runs (item, start, end within the document; of exact windows), near (items of
-    which only proximity matches were found) of each document."""
+    which only proximity matches were found) of each document. index: rows of the items' terms and those without one."""
     spark = index.sparkSession
-
-    def rarest(part: list[bytes]) -> list[int]:
-        return sorted(range(len(part)), key=lambda i: (frequency.get(part[i], 0), i))
-
-    windows = [(item, [(part, rarest(part)) for part in (words[at : at + window] for at in range(max(1, len(words) - window + 1)))]) for item, words in items]
+    windows: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}  # by rarest term: a shard looks at those whose it has
+    for item, words in items:
+        for at in range(max(1, len(words) - window + 1)):
+            part = words[at : at + window]
+            order = sorted(range(len(part)), key=lambda i: (frequency.get(part[i], 0), i))  # noqa: B023
+            windows.setdefault(part[order[0]], []).append((item, part, order))
     sent = spark.sparkContext.broadcast(windows)  # bounded by BLOCK_WORDS
-    schema = f"shard string, place int, doc_id {id_type}, n_words long, runs array<struct<item:string,start:int,end:int>>, near array<string>"
+    schema = f"shard string, place int, doc_id {id_type}, n_words long, runs array<struct<item:int,start:int,end:int>>, near array<int>"
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows[rows["term"].isna()].iloc[0]
         n, table_ = int(head["n"]), head["positions"]
         starts, sizes = np.frombuffer(table_, "<i4", n), np.frombuffer(table_, "<i4", n, 4 * n)
         lists = {t: np.frombuffer(p, "<i4") for t, p in zip(rows["term"], rows["positions"], strict=True) if t is not None}
-        runs: dict[int, list[dict]] = {}
-        near: dict[int, set[str]] = {}
-        for item, parts in sent.value:
-            spans: dict[int, list[list[int]]] = {}
-            close: set[int] = set()
-            for part, order in parts:
-                if part[order[0]] not in lists:
-                    continue
-                for s in phrase_starts(lists, part, order).tolist():
-                    d = int(np.searchsorted(starts, s, side="right")) - 1
-                    held = spans.setdefault(d, [])
-                    s -= int(starts[d])
-                    if held and held[-1][0] <= s <= held[-1][1]:
-                        held[-1][1] = max(held[-1][1], s + len(part))
-                    else:
-                        held.append([s, s + len(part)])
-                loose = near_starts(lists, part, order[:NEAR_TERMS], slop)
-                close.update(np.clip(np.searchsorted(starts, loose, side="right") - 1, 0, None).tolist())
-            for d, held in spans.items():
-                runs.setdefault(d, []).extend({"item": item, "start": a, "end": b} for a, b in held)
-            for d in close - spans.keys():
-                near.setdefault(d, set()).add(item)
-        ids = table_[8 * n :].decode().split("\n")
-        kind = (lambda x: x) if id_type == "string" else int
-        return pd.DataFrame({"shard": head["shard"], "place": range(n), "doc_id": pd.Series([kind(x) if x else None for x in ids], dtype="object"), "n_words": sizes.astype(np.int64), "runs": [runs.get(d, []) for d in range(n)], "near": [sorted(near.get(d, ())) for d in range(n)]})
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        close: set[tuple[int, int]] = set()
+        for term in lists.keys() & sent.value.keys():
+            for item, part, order in sent.value[term]:
+                exact = phrase_starts(lists, part, order)
+                for s, d in zip(exact.tolist(), (np.searchsorted(starts, exact, side="right") - 1).tolist(), strict=True):
+                    found.setdefault((d, item), []).append((s - int(starts[d]), s - int(starts[d]) + len(part)))
+                loose = near_starts(lists, part, order, slop)
+                docs = np.clip(np.searchsorted(starts, loose + len(part), side="right") - 1, 0, None)
+                close.update((d, item) for d in docs.tolist())
+        runs: list[list[dict]] = [[] for _ in range(n)]
+        near: list[list[int]] = [[] for _ in range(n)]
+        for (d, item), spans in sorted(found.items()):
+            held: list[list[int]] = []
+            for a, e in sorted(spans):
+                if held and a <= held[-1][1]:
+                    held[-1][1] = max(held[-1][1], e)
+                else:
+                    held.append([a, e])
+            runs[d] += [{"item": item, "start": a, "end": e} for a, e in held]
+        for d, item in sorted(close - found.keys()):
+            near[d].append(item)
+        return pd.DataFrame({"shard": head["shard"], "place": range(n), "doc_id": pd.Series(list(head["doc_ids"]), dtype="object"), "n_words": sizes.astype(np.int64), "runs": runs, "near": near})
 
     return index.groupBy("shard").applyInPandas(find, schema)
 
@@ -173,16 +170,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     n_words = F.length("text")  # at least twice the words
     total = benchmark.agg(F.sum(n_words)).first()[0] or 0
     blocks = max(1, -(-total // (2 * BLOCK_WORDS)))
+    index = stored(build_index(docs, window + slop), "postings")
     results = []
     for k in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = [(r[0] or "", w) for r in part.select(F.col("item_id").cast("string"), "text").toLocalIterator() if (w := words_of(r[1]))]
-        longest = max([window, *(len(w) for _, w in items)])
-        terms = sorted({t for _, w in items for t in w})
-        index = stored(build_index(docs, terms, min(longest, window) + slop), "postings")
-        counts = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
-        frequency = {bytes(r[0]): r[1] for r in counts.toLocalIterator()}  # a row for each term of the block
-        results.append(search(index, items, frequency, id_type, window, slop))
+        given = [(r[0] or "", w) for r in part.select(F.col("item_id").cast("string"), "text").toLocalIterator() if (w := words_of(r[1]))]
+        names = sorted({item for item, _ in given})
+        number = {x: i for i, x in enumerate(names)}
+        items = [(number[item], w) for item, w in given]
+        terms = spark.createDataFrame([(bytearray(t),) for t in sorted({t for _, w in items for t in w})], "term binary")
+        wanted = index.join(F.broadcast(terms), "term", "left_semi")  # bounded by BLOCK_WORDS
+        frequency = {bytes(r[0]): r[1] for r in wanted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}  # a row for each term of the block
+        found = search(wanted.union(index.where("term is null").select(*wanted.columns)), items, frequency, id_type, window, slop)
+        named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+        runs = F.transform("runs", lambda r: F.struct(F.get(named, r["item"]).alias("item"), r["start"].alias("start"), r["end"].alias("end")))
+        results.append(found.withColumn("runs", runs).withColumn("near", F.transform("near", lambda x: F.get(named, x))))
     if blocks == 1:
         return results[0].drop("shard", "place")
     both = reduce(DataFrame.unionByName, results)
@@ -198,11 +200,13 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without its contaminated rows, each found by itself: neither null nor shared doc_ids matter."""
-    rows = with_row(docs)
+    """docs without its contaminated rows, each found by itself: neither null nor shared doc_ids matter, nor the names
+    of other columns."""
+    given, columns = hidden(docs, "text")
+    rows = with_row(given)
     found = contamination(matches(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark))
-    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("bad_row")), "contaminated")
-    return rows.join(bad, F.col("_row") == F.col("bad_row"), "left_anti").select(docs.columns)
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("_bad_row")), "contaminated")
+    return rows.join(bad, F.col("_row") == F.col("_bad_row"), "left_anti").select(columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

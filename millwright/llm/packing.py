@@ -1,8 +1,8 @@
 """Vector bin packing of training examples under limits on tokens, segments and loss-bearing tokens.
 
-Each task packs the examples of its own partition, so nothing is shuffled and a sequence's examples stand together; a
-partition of ordinary size leaves one or two sequences with room. The dot-product heuristic fills a sequence with the
-example whose demands, weighted by how scarce each resource is, agree most with the room that is left.
+Examples are dealt evenly into groups of GROUP on average, each packed by one task, so how full sequences get depends on
+the number of examples alone, not on how the input is cut. The dot-product heuristic fills a sequence with the example
+whose demands, weighted by how scarce each resource is, agree most with the room that is left.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import encoder
+from .common import stored, table
+from .tokens import by_size, encoder
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
-SEQUENCE_BITS = 36  # of a sequence's number within its partition
+SEQUENCE_BITS = 36  # of a sequence's number within its group or partition
+#: Examples packed together, and tasks among which their groups are dealt: the last sequences of a group, a few hundred tokens each, are what it loses.
+GROUP, MOST_TASKS = 20_000, 10_000
 
 
 def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -53,26 +55,50 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return bins
 
 
-def pack(examples: DataFrame, id_column: str, tokens: str, segments: str, loss: str, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)) -> DataFrame:
-    """id, sequence_id, position (from 0 in its sequence) of each example, by its three demands. A null demand counts as
-    0. An example that exceeds a limit is an error: cut it before."""
-    kind = examples.schema[id_column].dataType.simpleString()
+def _packed(examples: DataFrame, kept: list[str], demands: list[str], limits: tuple[int, int, int], names: list[str]) -> DataFrame:
+    """kept columns with sequence_id and the names: position (from 0) and offset (in the first demand) in its sequence.
+    examples is read twice and must give the same rows each time."""
+    groups = max(1, -(-examples.count() // GROUP))
+    columns = [*kept, "sequence_id", "position", "offset"]
+    types = {f.name: f.dataType.simpleString() for f in examples.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in kept)
+
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        held: list[pa.RecordBatch] = []  # of one group: some GROUP rows
+        for b in batches:
+            number = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[-1].column(0)[0].as_py() != number[start]:
+                    yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                    held = []
+                if end > start:
+                    held.append(b.slice(start, end - start))
+        if held:
+            yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)  # ids and three numbers a row
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        bins = pack_vectors(np.stack([t.column(i).fill_null(0).to_numpy() for i in (1, 2, 3)], axis=1), np.array(limits))
-        order = np.argsort(bins, kind="stable")
-        first = np.searchsorted(bins[order], bins[order])
-        position = np.empty(len(bins), np.int64)
-        position[order] = np.arange(len(bins)) - first
-        sequence = bins + (TaskContext.get().partitionId() << SEQUENCE_BITS)
-        yield from pa.table({"id": t.column(0), "sequence_id": sequence, "position": position}).to_batches()
-
-    columns = [F.col(id_column).alias("id"), *(F.col(c).cast("long") for c in (tokens, segments, loss))]
-    return examples.select(columns).mapInArrow(run, f"id {kind}, sequence_id long, position long")
+        for g, t in whole_groups(b for b in batches if b.num_rows):
+            wanted = np.stack([t.column(c).fill_null(0).to_numpy() for c in demands], axis=1)
+            bins = pack_vectors(wanted, np.array(limits))
+            order = np.argsort(bins, kind="stable")
+            first = np.searchsorted(bins[order], bins[order])
+            offset = np.cumsum(wanted[order, 0]) - wanted[order, 0]
+            out = {c: t.column(c).take(pa.array(order)) for c in kept}
+            out |= {"sequence_id": bins[order] + (g << SEQUENCE_BITS), "position": np.arange(len(order)) - first, "offset": offset - offset[first]}
+            yield from pa.table({c: out[c] for c in columns}).to_batches(max_chunksize=10_000)
+
+    dealt = examples.withColumn("group", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)))
+    each = dealt.select("group", *dict.fromkeys([*kept, *demands])).repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group")
+    return each.mapInArrow(run, f"{schema}, sequence_id long, position long, offset long").select(*kept, *names)
+
+
+def pack(examples: DataFrame, id_column: str, tokens: str, segments: str, loss: str, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)) -> DataFrame:
+    """id, sequence_id, position (from 0 in its sequence) of each example, by its three demands. A null demand counts as
+    0. An example that exceeds a limit is an error: cut it before. Null and repeated ids keep a row each; other columns
+    aren't read; an empty table gives an empty one."""
+    columns = [F.col(id_column).alias("id"), *(F.col(c).cast("long").alias(n) for c, n in ((tokens, "tokens"), (segments, "segments"), (loss, "loss")))]
+    return _packed(stored(examples.select(columns), "examples"), ["id"], ["tokens", "segments", "loss"], limits, ["sequence_id", "position"])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS), with_ids: bool = False) -> DataFrame:
@@ -80,50 +106,42 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
     sequence_id, offset, and with with_ids the piece's ids as little-endian uint16.
 
     A document's ids and end_id are cut into pieces of the most tokens a sequence may hold and what remains; a piece is
-    one segment and all of its tokens bear loss. Full pieces are sequences of their own; the others are packed. A null
-    or empty text is the end id alone. Null and repeated doc_ids keep a row for each of their pieces. Other columns
-    aren't read.
+    one segment, and all of its tokens but the first, which nothing in the piece predicts, bear loss. Full pieces are
+    sequences of their own; the others are packed. A null or empty text is the end id alone. Null and repeated doc_ids
+    keep a row for each of their pieces. Other columns aren't read. An empty table gives an empty one.
     """
-    most = min(limits[0], limits[2])
+    most = min(limits[0], limits[2] + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "whole"] + ["ids"] * with_ids
+    columns = names[:5] + ["sequence_id", "offset"] + names[6:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types[0], base, number = None, TaskContext.get().partitionId() << SEQUENCE_BITS, 0
-        rest: list[tuple] = []
-
-        def rows(of: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*of, strict=True), types, strict=True)], names=names)
-
+        number = TaskContext.get().partitionId() << SEQUENCE_BITS
         for b in batches:
-            types[0], full = b.schema.field(0).type, []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, False).encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.uint16(end_id))
-                for start in range(0, len(ids), most):
-                    piece = ids[start : start + most]
-                    crc = zlib.crc32(piece.astype("<u4").tobytes())
-                    row = (doc_id, start, len(piece), crc, len(ids)), ((piece.astype("<u2").tobytes(),) if with_ids else ())
-                    if len(piece) == most:
-                        full.append((*row[0], base + number, 0, *row[1]))
-                        number += 1
-                    else:
-                        rest.append(row)
-            if full:
-                yield rows(full)
-        if rest:
-            demands = np.array([(r[0][2], 1, r[0][2]) for r in rest])
-            bins = pack_vectors(demands, np.array(limits))
-            order = np.argsort(bins, kind="stable")
-            ends = np.cumsum(demands[order, 0])
-            offset = ends - demands[order, 0]
-            offset -= offset[np.searchsorted(bins[order], bins[order])]
-            out = [(*rest[i][0], base + number + int(bins[i]), int(o), *rest[i][1]) for i, o in zip(order.tolist(), offset, strict=True)]
-            for i in range(0, len(out), 10_000):
-                yield rows(out[i : i + 10_000])
-
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            for part in by_size(b, 1):
+                ids, bounds = encoder(tokenizer, False).encode_ended(part.column(1).to_pylist(), end_id)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // most)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+                length = np.minimum(most, sizes[doc] - start)
+                at = bounds[doc] + start
+                wide = ids.astype("<u4")
+                crc = [zlib.crc32(wide[a:e]) for a, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                full = length == most
+                whole = number + np.cumsum(full) - 1
+                number += int(full.sum())
+                out = [part.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(whole, mask=~full)]
+                if with_ids:
+                    out.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.append(2 * at, 2 * len(ids)).astype(np.int32)), pa.py_buffer(ids.astype("<u2").tobytes())]))
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, whole long" + ", ids binary" * with_ids
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    # the highest bit but one tells the full pieces' sequences from the packed ones
+    alone = pieces.where("whole is not null").select(*names[:5], (F.col("whole") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *names[6:])
+    rest = pieces.where("whole is null").drop("whole").withColumn("segments", F.lit(1).cast("long")).withColumn("loss", F.col("length") - 1)
+    return alone.union(_packed(rest, names[:5] + names[6:], ["length", "segments", "loss"], limits, ["sequence_id", "offset"]).select(columns))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

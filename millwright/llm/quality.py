@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import hidden, stored, table
 
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\\x20\\x09-\\x0D]", r"[.,;:!?]", r"[!-/:-@\\[-`{-~&&[^.,;:!?]]", r"[^\\x00-\\x7F]")
 COMMON_WORDS = 24
@@ -24,6 +24,7 @@ MANY_LANGUAGES = 1000
 CHAR_LIMIT, WORD_LIMIT, CHAR_NOISE, WORD_NOISE, MIN_CHARS, MIN_WORDS = 0.25, 0.42, 1.5, 1.0, 200, 50
 #: Of none_distance; at sf0.01 19 of 20 documents of their language stay below 0.86 of it (50 words) to 0.32 (1,000).
 NONE_SHARE, NONE_NOISE = 0.45, 1.88
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -92,12 +93,13 @@ def assessed(docs: DataFrame) -> DataFrame:
     """docs with the counts of counted(), base_failed, char_distance, word_distance and kept.
 
     Nulls: a null text has no words and fails the base rules; documents with a null lang are a language of their own.
-    Empty tables give empty ones; repeated rows are assessed each. Columns of docs that have a name given here are
-    overwritten in the result.
+    Empty tables give empty ones; repeated rows are assessed each. Other columns come back unchanged, but for those that
+    have a name given here, which are replaced.
     """
-    out = counted(docs)
+    given, columns = hidden(docs.drop(*RESULTS), "text", "lang")
+    out = counted(given)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    ref = stored(references(docs), "references").withColumnRenamed("lang", "ref_lang")
+    ref = stored(references(given), "references").withColumnRenamed("lang", "ref_lang")
     few = len(ref.select("ref_lang").take(MANY_LANGUAGES + 1)) <= MANY_LANGUAGES  # rows of some forty values
     out = out.join(F.broadcast(ref) if few else ref, F.expr("lang <=> ref_lang"), "left")
     out = _with_classes(out)
@@ -111,7 +113,7 @@ def assessed(docs: DataFrame) -> DataFrame:
     word_limit = F.least(WORD_LIMIT + WORD_NOISE / F.sqrt(F.col("n_words")), F.col("none_distance") * (NONE_SHARE + NONE_NOISE / F.sqrt(F.col("common_share") * F.col("n_words"))))
     far = (F.col("char_distance") > CHAR_LIMIT + CHAR_NOISE / F.sqrt(n_chars)) | (F.col("word_distance") > word_limit)
     out = out.withColumn("kept", ~F.col("base_failed") & (guarded | ~far))
-    return out.drop("words", "ref_lang", "ref_classes", "common", "ref_words", "common_share", "none_distance", "classes", "spaced", "hits")
+    return out.select(*columns, *RESULTS)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

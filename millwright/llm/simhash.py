@@ -10,7 +10,9 @@ Two fingerprints with at most four differing bits, (a, b, c) of them by segment,
     c = 0                 C and a fuzzy key of A, or C and a fuzzy key of B (the smaller of a and b is 2 at most)
     a = 0                 A and a fuzzy key of B; for b > 2, A and one half of C
     b = 0                 B and a fuzzy key of A; for a > 2, B and one half of C
-    a, b and c above 0    a fuzzy key of A and a fuzzy key of B (a and b are 2 at most)
+    a, b and c above 0    a fuzzy key of A, a fuzzy key of B (a and b are 2 at most) and one third of C (c is 2 at most)
+
+So a key has 30 to 35 bits, and the groups of a key are small even among 10**9 fingerprints.
 
 Fingerprints are grouped by key and compared exactly within a group by a search from member to member, which emits a
 spanning forest of the links in the group, never all of its pairs.
@@ -102,7 +104,7 @@ def _bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, owners, row = [], [], np.arange(len(x))
 
     def put(kind: int, value: np.ndarray, holds: np.ndarray) -> None:
-        keys.append((value | kind << 48)[holds])
+        keys.append((value | kind << 56)[holds])
         owners.append(row[holds])
 
     every = np.ones(len(x), bool)
@@ -112,7 +114,9 @@ def _bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         put(3, a << 12 | kb[:, i], nb > i)
         put(4, b << 12 | ka[:, i], na > i)
         for j in range(6):
-            put(7, ka[:, i] << 12 | kb[:, j], (na > i) & (nb > j))
+            for third in range(3):
+                part = (c >> 6 * third & 0x3F) | third << 6
+                put(7, (ka[:, i] << 12 | kb[:, j]) << 8 | part, (na > i) & (nb > j))
     for half in range(2):
         part = (c >> 9 * half & 0x1FF) | half << 9
         put(5, a << 10 | part, every)
@@ -174,14 +178,21 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}).drop_duplicates()
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # its last group may go on
         for b in batches:
-            key, fp = np.concatenate([key, b["key"].to_numpy(np.int64)]), np.concatenate([fp, b["fp"].to_numpy(np.int64)])
-            if len(key) and (end := int(np.searchsorted(key, key[-1]))):  # the last group may go on
-                yield flush(key[:end], fp[:end])
-                key, fp = key[end:], fp[end:]
-        if len(key):
-            yield flush(key, fp)
+            key, fp = b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64)
+            if not len(key):
+                continue
+            goes_on = bool(held) and held[-1][0][-1] == key[-1]  # all of the batch is of the held group
+            held.append((key, fp))
+            if not goes_on:
+                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                end = int(np.searchsorted(key, key[-1]))
+                if end:
+                    yield flush(key[:end], fp[:end])
+                held = [(key[end:], fp[end:])]
+        if held:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     rows = fps.select("fp").mapInPandas(keyed, "key long, fp long")
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(joined, "src long, dst long").distinct()

@@ -32,7 +32,7 @@ from .tokens import by_size, encoder
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511 << 40
 DIGEST = 16
 #: Digests that a task remembers.
-MOST_SEEN = 1_000_000
+MOST_SEEN = 200_000
 MIXED = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 MIXED ^= MIXED >> np.uint64(29)
 #: Recipes in a part of the store: their leaves are one group in the manifest's making.

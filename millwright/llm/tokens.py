@@ -27,7 +27,7 @@ CONTROLS = (np.arange(256) < 0x20) & ~SPACES | (np.arange(256) == 0x7F)
 UNUSUAL = ((b"\xc2", 0x80, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe1\xa0", 0x8E, 0x8E), (b"\xe2\x80", 0x80, 0x8F), (b"\xe2\x80", 0xA8, 0xAF), (b"\xe2\x81", 0x9F, 0xA4), (b"\xe3\x80", 0x80, 0x80), (b"\xef\xbb", 0xBF, 0xBF))
 #: A part of Latin letters and closing marks is one pre-token of each kind at most: word, marks, and what is neither.
 PLAIN = re.compile(r"^( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,;:!?]*)(.*)$", re.M)
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _byte_characters() -> dict[int, str]:
@@ -44,7 +44,7 @@ BYTE_TEXT = _byte_characters() | {10: "\n"}
 class Encoder:
     """ids of whole texts. words_only: the tokenizer lower-cases and drops white space."""
 
-    def __init__(self, name: str, words_only: bool, cached: int = 400_000) -> None:
+    def __init__(self, name: str, words_only: bool, cached: int = 300_000) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits only")

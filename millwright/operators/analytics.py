@@ -47,18 +47,26 @@ def timeline_counts(mentions: DataFrame) -> DataFrame:
     return timeline(mentions).groupBy("tag", "event_type", "severity").agg(F.count("*").alias("events"), F.max("created_at").alias("latest"))
 
 
+def _modes(mentions: DataFrame) -> tuple[DataFrame, list[str]]:
+    """tag, document_id, created_at of each mention and a flag for each failure mode, named as the mode."""
+    named = {name: contains_any(F.col("haystack"), keywords) for name, keywords in rules.FAILURE_MODES}
+    return with_haystack(mentions).select("tag", "document_id", "created_at", *(c.alias(n) for n, c in named.items())), [*named]
+
+
 def failure_modes(mentions: DataFrame) -> DataFrame:
-    """Events by tag and failure mode; repeated: two or more."""
-    m = with_haystack(mentions).select("tag", F.explode(rules.modes(F.col("haystack"))).alias("mode"))
-    return m.groupBy("tag", "mode").agg(F.count("*").alias("events")).withColumn("repeated", F.col("events") >= 2)
+    """Events by tag and failure mode; repeated: two or more. Counted by tag in one pass, then a row for each mode."""
+    m, names = _modes(mentions)
+    by = m.groupBy("tag").agg(*(F.count_if(n).alias(n) for n in names))
+    each = by.select("tag", F.explode(F.array(*(F.struct(F.lit(n).alias("mode"), F.col(n).alias("events")) for n in names))).alias("m")).select("tag", "m.*")
+    return each.where("events > 0").withColumn("repeated", F.col("events") >= 2)
 
 
 def failure_hotspots(mentions: DataFrame, limit: int = 10) -> DataFrame:
-    """Tags with most failure events, their documents, different modes, last date and coverage."""
-    m = with_haystack(mentions).withColumn("modes", rules.modes(F.col("haystack"))).where(F.size("modes") > 0)
-    by = m.groupBy("tag").agg(F.count("*").alias("failure_events"), F.countDistinct("document_id").alias("documents"), F.max("created_at").alias("last_failure"))
-    different = m.select("tag", F.explode("modes").alias("mode")).groupBy("tag").agg(F.countDistinct("mode").alias("distinct_modes"))
-    out = by.join(different, "tag").withColumn("coverage", rules.coverage(F.col("failure_events"), F.col("documents")))
+    """Tags with most failure events, their documents, different modes, last date and coverage: one pass, one shuffle."""
+    m, names = _modes(mentions)
+    by = m.withColumn("failed", F.greatest(*names)).where("failed").groupBy("tag").agg(F.count("*").alias("failure_events"), F.countDistinct("document_id").alias("documents"), F.max("created_at").alias("last_failure"), *(F.max(n).alias(n) for n in names))
+    different = sum((F.col(n).cast("long") for n in names), F.lit(0).cast("long"))
+    out = by.select("tag", "failure_events", "documents", "last_failure", different.alias("distinct_modes"), rules.coverage(F.col("failure_events"), F.col("documents")).alias("coverage"))
     return out.orderBy(F.desc("failure_events"), F.desc("distinct_modes"), "tag").limit(limit)
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules
+from ..functions import facts, rules
 
+# What may stand beside a tag, and what a tag looks like here.
 ALONE = (r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])")
 ANY_TAG = ALONE[0] + r"[A-Z]{1,5}-\d{1,4}[A-Za-z]?" + ALONE[1]
 
@@ -42,21 +43,28 @@ def _all_of(text: Column, groups: list[str]) -> Column:
     return out
 
 
+def newest() -> list[Column]:
+    return [F.desc_nulls_last("created_at"), F.desc("document_id"), F.asc("chunk_index"), F.asc("line_no"), F.asc("sentence_no")]
+
+
+def _found(evidence: DataFrame) -> DataFrame:
+    """segments with the gap_type that each has the patterns of, and the days that it says something is overdue."""
+    low = F.lower("span")
+    hits = F.filter(F.array(*(F.when(_all_of(low, r.span), F.lit(r.name)) for r in rules.GAPS)), lambda x: x.isNotNull())
+    days = F.regexp_extract(low, rules.OVERDUE_DAYS, 1)
+    return segments(evidence).withColumn("gap_type", F.explode(hits)).withColumn("days", F.when(days != "", days.cast("int")))
+
+
 def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
     """tag, gap_type, severity, n_evidence, evidence (chunks of the newest matches), ordered by severity.
 
     A gap needs its rule's patterns in one span and no closing evidence in any text of the asset; each text is searched
     on its own, so that no pattern spans two. Empty evidence gives no gaps.
     """
-    low = F.lower("span")
-    hits = F.filter(F.array(*(F.when(_all_of(low, r.span), F.lit(r.name)) for r in rules.GAPS)), lambda x: x.isNotNull())
-    found = segments(evidence).withColumn("gap_type", F.explode(hits))
-    newest = [F.desc_nulls_last("created_at"), F.desc("document_id"), F.asc("chunk_index"), F.asc("line_no"), F.asc("sentence_no")]
-    days = F.regexp_extract(low, rules.OVERDUE_DAYS, 1)
-    found = found.withColumn("days", F.when(days != "", days.cast("int")))
+    found, order = _found(evidence), newest()
     by = found.groupBy("tag", "gap_type").agg(F.count("*").alias("n_evidence"), F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"))
-    dated = found.where("days is not null and gap_type = 'calibration_overdue'").withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(*newest))).where("r = 1").select("tag", "gap_type", "days")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("tag", "gap_type").orderBy(*newest))).where(F.col("r") <= most_evidence)
+    dated = found.where("days is not null and gap_type = 'calibration_overdue'").withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(*order))).where("r = 1").select("tag", "gap_type", "days")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("tag", "gap_type").orderBy(*order))).where(F.col("r") <= most_evidence)
     cited = best.groupBy("tag", "gap_type").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("c")))).alias("e"))
     corpus = F.lower("text")
     closed = [r for r in rules.GAPS if r.closed]
@@ -77,3 +85,32 @@ def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
 def gap_counts(evidence: DataFrame) -> DataFrame:
     """gap_type, severity, gaps, assets."""
     return gaps(evidence).groupBy("gap_type", "severity").agg(F.count("*").alias("gaps"), F.countDistinct("tag").alias("assets"))
+
+
+def gap_records(evidence: DataFrame) -> DataFrame:
+    """tag, gap_type, severity, certified (the date of an expired certificate), standard (of the newest match's sentence),
+    reason, action, said (that sentence, cut)."""
+    order = Window.partitionBy("tag", "gap_type").orderBy(*newest())
+    found = _found(evidence)
+    first = found.withColumn("r", F.row_number().over(order)).where("r = 1").select("tag", "gap_type", "span", "sentence")
+    said = found.groupBy("tag", "gap_type").agg(F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"))
+    each = gaps(evidence).select("tag", "gap_type", "severity").join(first, ["tag", "gap_type"]).join(said, ["tag", "gap_type"])
+    text = lambda kind: F.element_at(F.create_map(*(F.lit(x) for g, t in rules.GAP_TEXTS.items() for x in (g, t[kind]))), F.col("gap_type"))
+    filled = lambda kind: F.replace(F.replace(text(kind), F.lit("{tag}"), F.col("tag")), F.lit("{n}"), F.col("different").cast("string"))
+    certified = F.when(F.col("gap_type") == "certificate_expired", facts.first_date(F.col("span")))
+    return each.select("tag", "gap_type", "severity", certified.alias("certified"), facts.standard(F.col("sentence")).alias("standard"), filled(0).alias("reason"), filled(1).alias("action"), facts.cut(F.col("sentence"), 320, "…").alias("said"))
+
+
+def filtered(gaps_: DataFrame, tag: str | None = None, severity: str | None = None, gap_type: str | None = None) -> DataFrame:
+    """gaps of a tag, a severity, a type; case doesn't matter, None takes all."""
+    for column, value in (("tag", tag), ("severity", severity), ("gap_type", gap_type)):
+        if value is not None:
+            gaps_ = gaps_.where(F.lower(column) == value.strip().lower())
+    return gaps_
+
+
+def gap_tabs(evidence: DataFrame) -> DataFrame:
+    """tab, gaps: counts of certificates, of what is overdue, of severe gaps and of pumps'."""
+    tabs = {"certificates": F.col("gap_type").startswith("certificate"), "overdue": F.col("gap_type").isin("calibration_overdue", "inspection_overdue", "sop_review_overdue"), "severe": F.col("severity") == "high", "pumps": F.col("tag").startswith("P-")}
+    one = gaps(evidence).agg(*(F.count_if(c).alias(n) for n, c in tabs.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("tab"), F.col(n).alias("gaps")) for n in tabs))).alias("t")).select("t.*")

@@ -14,11 +14,20 @@ from ..functions import text as tx
 MOST_QUERIES = 10_000
 
 
+def _dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
+
+
 def cosine(a: str, b: str) -> Column:
-    """0 where a vector has no length."""
-    dot = f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
-    norm = "sqrt(aggregate({0}, 0D, (s, v) -> s + double(v) * double(v)))"
-    return F.expr(f"coalesce(try_divide({dot}, {norm.format(a)} * {norm.format(b)}), 0D)")
+    """0 where a vector has no length, or the two have different dimensions."""
+    return F.expr(f"if(size({a}) = size({b}), coalesce(try_divide({_dot(a, b)}, sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})), 0D), 0D)")
+
+
+def fitted(vector: Column, dimension: int) -> Column:
+    """Cut or padded with zeros to the dimension, then of length 1 (a vector of zeros stays)."""
+    v = F.slice(F.concat(vector.cast("array<double>"), F.array_repeat(F.lit(0.0), dimension)), 1, dimension)
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, per_label: int | None = None) -> DataFrame:
@@ -34,8 +43,11 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, per_label: i
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, per_label: int | None) -> DataFrame:
-    """vector_topk of a block of queries that can be sent."""
-    scored = vectors.join(F.broadcast(queries)).where("vec_id <> query_id").withColumn("score", F.round(cosine("embedding", "query"), 4))
+    """vector_topk of a block of queries that can be sent. Each vector's length is computed once, before they meet."""
+    v = vectors.withColumn("length", F.expr(f"sqrt({_dot('embedding', 'embedding')})"))
+    q = queries.withColumn("query_length", F.expr(f"sqrt({_dot('query', 'query')})"))
+    score = F.expr(f"if(size(embedding) = size(query), coalesce(try_divide({_dot('embedding', 'query')}, length * query_length), 0D), 0D)")
+    scored = v.join(F.broadcast(q)).where("vec_id <> query_id").withColumn("score", F.round(score, 4))
     order = [F.desc("score"), F.col("vec_id")]
     if per_label is not None:
         scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("r") <= per_label)
@@ -43,15 +55,21 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, per_label: int | No
     return best.select("query_id", "place", "vec_id", "label", "score")
 
 
-def hashing_embedding(docs: DataFrame, dimension: int = 384) -> DataFrame:
-    """doc_id, bucket, value of the non-zero places: signed counts of hashed words over their length."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
+def signed_counts(docs: DataFrame, dimension: int = 384) -> DataFrame:
+    """id, bucket, v (not 0): of each text (id, text) the sum of its hashed words' signs."""
+    words = docs.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("w"))
+    counts = words.groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
     bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dimension
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("long") % 2 == 1, 1).otherwise(-1)
-    places = counts.select("doc_id", bucket.alias("bucket"), (sign * F.col("n")).alias("v")).groupBy("doc_id", "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
-    return places.select("doc_id", "bucket", F.round(F.col("v") / length, 4).alias("value"))
+    places = counts.select("id", bucket.alias("bucket"), (sign * F.col("n")).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v"))
+    return places.where("v <> 0")
+
+
+def hashing_embedding(docs: DataFrame, dimension: int = 384) -> DataFrame:
+    """doc_id, bucket, value of the non-zero places: signed counts of hashed words over their length."""
+    places = signed_counts(docs.select(F.col("doc_id").alias("id"), "text"), dimension)
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
+    return places.select(F.col("id").alias("doc_id"), "bucket", F.round(F.col("v") / length, 4).alias("value"))
 
 
 def chunk_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as tx
-from ..operators import analytics, compliance, retrieval
+from ..operators import analytics, compliance, evaluation, retrieval
 from ..sources import star
+from . import graph_queries, text_queries
+from .sql import GAPS, MODES, RISK, SEGMENTS, STAR, case, contains
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,8 +81,7 @@ def _filtered_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = star.table(spark, sf_dir, "labels").join(star.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     said, gold = F.col("n_chars") > 1000, F.col("quality") == 1
     c = j.agg(F.count_if(said & gold).alias("tp"), F.count_if(said & ~gold).alias("fp"), F.count_if(~said & gold).alias("fn"))
-    p, r = F.expr("coalesce(try_divide(tp, tp + fp), 0D)"), F.expr("coalesce(try_divide(tp, tp + fn), 0D)")
-    return c.select("tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"))
+    return evaluation.scored(c)
 
 
 QUERIES: dict[str, Query] = {
@@ -112,52 +113,7 @@ QUERIES: dict[str, Query] = {
     "chat_sessions": lambda s, d: retrieval.chat_sessions(star.table(s, d, "conversations")),
     "json_props": _json_props,
     "eval_precision_recall": _filtered_label_quality,
-}
-
-
-def _any(keywords: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(haystack, '{k}')" for k in keywords) + ")"
-
-
-def _case(named: list[tuple[str, list[str]]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {_any(k)} THEN '{n}'" for n, k in named) + f" ELSE '{default}' END"
-
-
-PREFIX = "CASE " + " ".join(f"WHEN starts_with(p_type, '{w}') THEN '{p}'" for w, p in star.PREFIXES.items()) + " ELSE 'C' END"
-FILE = "CASE " + " ".join(f"WHEN starts_with(o_orderpriority, '{w}') THEN '{p}'" for w, p in star.FILES.items()) + " ELSE 'rca_' END"
-TYPE = "CASE split_part(tag, '-', 1) " + " ".join(f"WHEN '{p}' THEN '{t}'" for p, t in tx.ASSET_TYPES.items()) + " END"
-STAR = f"""WITH assets AS (SELECT p_partkey, tag, {TYPE} AS asset_type FROM (SELECT p_partkey, {PREFIX} || '-' || CAST(p_partkey % 10000 AS VARCHAR) AS tag FROM part)),
-docs AS (SELECT o_orderkey AS document_id, {FILE} || CAST(o_orderkey AS VARCHAR) || '.txt' AS filename, o_orderdate AS created_at FROM orders),
-items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS chunk_index FROM lineitem),
-bare AS (SELECT tag, asset_type, document_id, filename, created_at, chunk_index, l_suppkey AS entity_id, 'Equipment_ID: ' || tag || chr(10) || CASE
-  WHEN l_returnflag = 'R' AND p_partkey % 7 = 0 THEN 'Repeated failure: high vibration and bearing wear.'
-  WHEN l_returnflag = 'A' AND p_partkey % 5 = 0 THEN 'Certificate expired; follow-up pending.'
-  WHEN l_linestatus = 'O' AND p_partkey % 3 = 0 THEN 'Inspection reading abnormal, alarm exceeds threshold.'
-  WHEN l_returnflag = 'N' AND p_partkey % 4 = 1 THEN 'Work order: replaced seal, oil leak repaired.'
-  ELSE 'Routine startup procedure checked.' END AS text
-  FROM items JOIN assets ON l_partkey = p_partkey JOIN docs ON l_orderkey = document_id),
-star AS (SELECT *, lower(filename) || ' ' || lower(text) AS haystack FROM bare)
-"""
-_FLAGS = ", ".join(f"max(CASE WHEN {_any(k)} THEN 1 ELSE 0 END) AS {n}" for n, _, k in rules.RISK)
-_SCORE = " + ".join(f"{n} * {p}" for n, p, _ in rules.RISK)
-_REASONS = "concat_ws('|', " + ", ".join(f"CASE WHEN {n} = 1 THEN '{n}' END" for n, _, _ in rules.RISK) + ")"
-RISK = f"""{STAR}, flags AS (SELECT tag, {_FLAGS}, count(*) AS mentions, count(DISTINCT document_id) AS documents, max(created_at) AS last_seen FROM star GROUP BY tag),
-risk AS (SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT tag, CAST({_SCORE} AS BIGINT) AS score, {_REASONS} AS reasons, mentions, documents, last_seen FROM flags))
-"""
-MODES = f"{STAR}, hit AS (" + " UNION ALL ".join(f"SELECT tag, document_id, chunk_index, created_at, '{n}' AS mode FROM star WHERE {_any(k)}" for n, k in rules.FAILURE_MODES) + ")"
-
-_SAID = "list_extract([" + ", ".join(f"'{x}'" for x in star.FINDINGS) + f"], CAST((document_id + 7 * chunk_index + entity_id) % {len(star.FINDINGS)} + 1 AS INTEGER))"
-_CUT = " ".join(f"WHEN strpos(said, '{o}') > 0 AND split_part(tag, '-', 2) <> '{o[2:]}' THEN tag || ' ' || substring(said, 1, strpos(said, '{o}') - 1)" for o in ("Q-9901", "C-9902"))
-SEGMENTS = f"""{STAR}, said AS (SELECT DISTINCT tag, document_id, chunk_index, created_at, {_SAID} AS said FROM star),
-segments AS (SELECT *, CASE {_CUT} ELSE tag || ' ' || said END AS span, lower(said) AS corpus FROM said)
-"""
-_HITS = " UNION ALL ".join(f"SELECT *, '{g.name}' AS gap_type, '{g.severity}' AS usual FROM segments WHERE " + " AND ".join(f"regexp_matches(lower(span), '{p}')" for p in g.span) for g in rules.GAPS)
-_OPEN = " AND ".join(f"NOT (gap_type = '{g.name}' AND tag IN (SELECT tag FROM segments WHERE regexp_matches(corpus, '{g.closed}')))" for g in rules.GAPS if g.closed)
-GAPS = f"""{SEGMENTS}, found AS (SELECT *, row_number() OVER (PARTITION BY tag, gap_type ORDER BY created_at DESC, document_id DESC, chunk_index) AS r,
-  TRY_CAST(regexp_extract(lower(span), '{rules.OVERDUE_DAYS}', 1) AS INTEGER) AS days FROM ({_HITS})),
-g AS (SELECT tag, gap_type, any_value(usual) AS usual, count(*) AS n_evidence, count(DISTINCT said) AS different, string_agg(document_id || '-' || chunk_index, '|' ORDER BY r) FILTER (r <= 3) AS evidence, arg_min(days, r) FILTER (days IS NOT NULL) AS days FROM found GROUP BY tag, gap_type),
-gaps AS (SELECT tag, gap_type, CASE WHEN gap_type = 'calibration_overdue' AND days >= {rules.LONG_OVERDUE} THEN 'high' ELSE usual END AS severity, n_evidence, evidence FROM g WHERE {_OPEN} AND NOT (gap_type = 'repeated_failure_no_rca' AND different < 2))
-"""
+} | graph_queries.QUERIES | text_queries.QUERIES
 
 
 def _topk(capped: bool) -> str:
@@ -184,14 +140,14 @@ d AS (SELECT item_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a
     "asset_documents": f"{STAR}, g AS (SELECT tag, document_id, count(*) AS mentions, max(created_at) AS created_at FROM star GROUP BY tag, document_id) SELECT tag, CAST(place AS INTEGER) AS place, document_id, mentions FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY mentions DESC, created_at DESC, document_id DESC) AS place FROM g) WHERE place <= 3",
     "mention_edges": f"""{STAR}, e AS (SELECT DISTINCT * FROM (SELECT tag, 'mentioned_in' AS relation_type, CAST(document_id AS VARCHAR) AS target FROM star UNION ALL SELECT tag, 'supported_by_chunk', document_id || '-' || chunk_index FROM star UNION ALL SELECT tag, 'has_entity', CAST(entity_id AS VARCHAR) FROM star))
 SELECT relation_type, count(*) AS edges, count(DISTINCT tag) AS assets FROM e GROUP BY relation_type""",
-    "timeline_events": f"{STAR}, t AS (SELECT tag, created_at, {_case(rules.TIMELINE, 'evidence_mention')} AS event_type, {_case(rules.SEVERITY, 'low')} AS severity FROM star) SELECT tag, event_type, severity, count(*) AS events, max(created_at) AS latest FROM t GROUP BY tag, event_type, severity",
+    "timeline_events": f"{STAR}, t AS (SELECT tag, created_at, {case(rules.TIMELINE, 'evidence_mention')} AS event_type, {case(rules.SEVERITY, 'low')} AS severity FROM star) SELECT tag, event_type, severity, count(*) AS events, max(created_at) AS latest FROM t GROUP BY tag, event_type, severity",
     "risk_assets": f"{RISK} SELECT * FROM risk",
     "risk_summary": f"{RISK} SELECT * FROM risk ORDER BY score DESC, mentions DESC, tag LIMIT 10",
     "risk_histogram": f"{RISK} SELECT level, count(*) AS assets FROM risk GROUP BY level",
     "failure_modes": f"{MODES} SELECT tag, mode, count(*) AS events, count(*) >= 2 AS repeated FROM hit GROUP BY tag, mode",
     "failure_hotspots": f"""{MODES}, ev AS (SELECT DISTINCT tag, document_id, chunk_index, created_at FROM hit), g AS (SELECT tag, count(*) AS failure_events, count(DISTINCT document_id) AS documents, max(created_at) AS last_failure FROM ev GROUP BY tag),
 d AS (SELECT tag, count(DISTINCT mode) AS distinct_modes FROM hit GROUP BY tag) SELECT tag, failure_events, documents, last_failure, distinct_modes, CASE WHEN failure_events >= 4 AND documents >= 2 THEN 'high' WHEN failure_events >= 2 THEN 'medium' ELSE 'low' END AS coverage FROM g JOIN d USING (tag) ORDER BY failure_events DESC, distinct_modes DESC, tag LIMIT 10""",
-    "maintenance_actions": f"{STAR} SELECT tag, CAST(place AS INTEGER) AS place, document_id, CAST(chunk_index AS INTEGER) AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY created_at DESC NULLS LAST, document_id DESC, chunk_index) AS place FROM star WHERE {_any(rules.MAINTENANCE)}) WHERE place <= 8",
+    "maintenance_actions": f"{STAR} SELECT tag, CAST(place AS INTEGER) AS place, document_id, CAST(chunk_index AS INTEGER) AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY created_at DESC NULLS LAST, document_id DESC, chunk_index) AS place FROM star WHERE {contains(rules.MAINTENANCE)}) WHERE place <= 8",
     "compliance_segments": f"{SEGMENTS} SELECT tag, document_id, CAST(chunk_index AS INTEGER) AS chunk_index, span FROM segments",
     "compliance_gaps": f"{GAPS} SELECT * FROM gaps",
     "compliance_counts": f"{GAPS} SELECT gap_type, severity, count(*) AS gaps, count(DISTINCT tag) AS assets FROM gaps GROUP BY gap_type, severity",
@@ -203,5 +159,5 @@ d AS (SELECT tag, count(DISTINCT mode) AS distinct_modes FROM hit GROUP BY tag)
     "chat_sessions": "SELECT conv_id, count(*) AS message_count, greatest(count(*) - 6, 0) AS summarized, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS user_messages FROM conversations GROUP BY conv_id",
     "json_props": "SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS largest FROM events GROUP BY event_type",
     "eval_precision_recall": """WITH c AS (SELECT count(*) FILTER (n_chars > 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars > 1000 AND quality <> 1) AS fp, count(*) FILTER (NOT n_chars > 1000 AND quality = 1) AS fn FROM labels JOIN documents USING (doc_id))
-SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 4) AS recall FROM c""",
-}
+SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 4) AS f1 FROM c""",
+} | graph_queries.ORACLE_SQL | text_queries.ORACLE_SQL

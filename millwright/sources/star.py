@@ -50,9 +50,55 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("tag", "asset_type", "document_id", "filename", "created_at", "chunk_index", text.alias("text"), F.col("l_suppkey").alias("entity_id"))
 
 
+def gone(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Mentions, documents, chunks and entities of which some are gone: orders of status P, every fifth chunk of an order,
+    every seventh supplier."""
+    m = mentions(spark, sf_dir).withColumn("mention_id", F.col("document_id") * 1000 + F.col("chunk_index"))
+    kept = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("document_id"))
+    return {
+        "mentions": m.select("mention_id", "tag", "document_id", "chunk_index", "entity_id"),
+        "documents": documents(spark, sf_dir).join(kept, "document_id", "left_semi"),
+        "chunks": m.where("chunk_index % 5 <> 4").select("document_id", "chunk_index", "text"),
+        "entities": table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")),
+    }
+
+
+#: What the reports of a mention say after its tag: by (document + 3 * chunk) modulo their number.
+REPORTS = [
+    "Vibration 7.8 mm/s at the bearing; follow-up required per ISO 10816.", "Replace the mechanical seal MS-45-CR per SOP-PUMP-STARTUP.", "High risk: seal leak, immediate action required (OISD-137).",
+    "Low suction pressure of 2 bar, do not restart.", "[Page 3] Inspect impeller for wear.", "Bearing wear found 01-Feb-2025; rake a work order.", "Certificate of March 2024 under Factories Act Section 31 and PESO.", "Nothing to report.",
+]
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag, document_id, chunk_index, text: one report of each mention."""
+    k = (F.col("document_id") + 3 * F.col("chunk_index")) % len(REPORTS)
+    said = F.element_at(F.array(*map(F.lit, REPORTS)), (k + 1).cast("int"))
+    return mentions(spark, sf_dir).select("tag", "document_id", "chunk_index", F.concat("tag", F.lit(": "), said).alias("text"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of files: chunk_id, file_name, text, summary, questions, tags, row_start."""
+    d = table(spark, sf_dir, "documents")
+    kinds = F.array(*map(F.lit, ["work_order_", "inspection_report_", "sop_", "compliance_checklist_", "rca_"]))
+    name = F.concat(F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")), (F.col("doc_id") % 40).cast("string"), F.lit(".txt"))
+    tag = F.array(F.concat(F.lit("P-"), (F.col("doc_id") % 50).cast("string")))
+    return d.select(F.col("doc_id").alias("chunk_id"), name.alias("file_name"), F.coalesce("text", F.lit("")).alias("text"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 201, 150).alias("questions"), tag.alias("tags"), (F.col("doc_id") % 9).cast("int").alias("row_start"))
+
+
+#: What is asked besides an item's beginning, by item_id modulo their number.
+ASKED = [" What inspection readings are pending", " Which work order replaced it", " Why has the certificate expired", ""]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, question: the beginning of each benchmark item, with an asset."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.substring("text", 1, 160), asked, F.lit(" for P-"), (F.col("item_id") % 50).cast("string")).alias("question"))
+
+
 #: What the findings of a mention say after its tag: by (document + 7 * chunk + entity) modulo their number.
 FINDINGS = [
-    "test certificate expired.", "calibration overdue by 45 days.", "calibration is past due.", "vibration exceeds its limit near Q-9901 where a seal failed.",
+    "test certificate of 01-Feb-2025 expired, Factories Act Section 31.", "calibration overdue by 45 days per ISO 10816:2009.", "calibration is past due.", "vibration exceeds its limit near Q-9901 where a seal failed.",
     "SOP review overdue.", "seal failure with leakage.", "breakdown during startup.", "needs seal replacement.", "alignment completed.", "root cause recorded.",
     "lockout applied.", "stands by C-9902 whose certificate expired.", "calibration overdue by 5 days.", *["checked."] * 16,
 ]

@@ -19,21 +19,21 @@ def _place(text: str, tag: str) -> str:
 
 
 def segments(evidence: DataFrame) -> DataFrame:
-    """tag, document_id, chunk_index, created_at, span, sentence of each sentence that names its mention's tag.
+    """tag, document_id, chunk_index, created_at, span, sentence, line of each sentence that names its mention's tag.
 
     The span runs from the tag to the next tag with another number. Of one chunk's spans with the same first 60
     characters the first counts. Texts that are null or name no tag give no rows.
     """
     lines = evidence.dropDuplicates(["tag", "document_id", "chunk_index"]).select("tag", "document_id", "chunk_index", "created_at", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line"))
-    each = lines.select("tag", "document_id", "chunk_index", "created_at", "line_no", F.posexplode(F.split("line", r"(?<=[.!?])\s+")).alias("sentence_no", "sentence")).withColumn("sentence", F.trim("sentence"))
+    each = lines.select("tag", "document_id", "chunk_index", "created_at", "line_no", "line", F.posexplode(F.split("line", r"(?<=[.!?])\s+")).alias("sentence_no", "sentence")).withColumn("sentence", F.trim("sentence"))
     found = each.withColumn("hit", F.expr(_place("sentence", "tag"))).where("hit > 0").withColumn("rest", F.expr("substring(sentence, hit + length(tag))"))
     other = f"filter(regexp_extract_all(rest, r'{ANY_TAG}', 0), o -> regexp_extract(o, r'\\d+', 0) <> regexp_extract(tag, r'\\d+', 0))"
     found = found.withColumn("other", F.expr(f"get({other}, 0)"))
     kept = f"if(other is null, rest, substring(rest, 1, {_place('rest', 'other')} - 1))"
     found = found.withColumn("span", F.expr(f"concat(substring(sentence, hit, length(tag)), {kept})"))
     keys = ("tag", "document_id", "chunk_index", "created_at")
-    first = found.groupBy(*keys, F.lower(F.substring("span", 1, 60)).alias("start")).agg(F.min(F.struct("line_no", "sentence_no", "span", "sentence")).alias("s"))
-    return first.select(*keys, "s.line_no", "s.sentence_no", "s.span", "s.sentence")
+    first = found.groupBy(*keys, F.lower(F.substring("span", 1, 60)).alias("start")).agg(F.min(F.struct("line_no", "sentence_no", "span", "sentence", "line")).alias("s"))
+    return first.select(*keys, "s.line_no", "s.sentence_no", "s.span", "s.sentence", "s.line")
 
 
 def _all_of(text: Column, groups: list[str]) -> Column:
@@ -88,17 +88,17 @@ def gap_counts(evidence: DataFrame) -> DataFrame:
 
 
 def gap_records(evidence: DataFrame) -> DataFrame:
-    """tag, gap_type, severity, certified (the date of an expired certificate), standard (of the newest match's sentence),
-    reason, action, said (that sentence, cut)."""
+    """tag, gap_type, severity, certified (the date of an expired certificate), standard (of the newest match's line),
+    reason, action, said (its sentence, cut)."""
     order = Window.partitionBy("tag", "gap_type").orderBy(*newest())
     found = _found(evidence)
-    first = found.withColumn("r", F.row_number().over(order)).where("r = 1").select("tag", "gap_type", "span", "sentence")
+    first = found.withColumn("r", F.row_number().over(order)).where("r = 1").select("tag", "gap_type", "span", "sentence", "line")
     said = found.groupBy("tag", "gap_type").agg(F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"))
     each = gaps(evidence).select("tag", "gap_type", "severity").join(first, ["tag", "gap_type"]).join(said, ["tag", "gap_type"])
     text = lambda kind: F.element_at(F.create_map(*(F.lit(x) for g, t in rules.GAP_TEXTS.items() for x in (g, t[kind]))), F.col("gap_type"))
     filled = lambda kind: F.replace(F.replace(text(kind), F.lit("{tag}"), F.col("tag")), F.lit("{n}"), F.col("different").cast("string"))
     certified = F.when(F.col("gap_type") == "certificate_expired", facts.first_date(F.col("span")))
-    return each.select("tag", "gap_type", "severity", certified.alias("certified"), facts.standard(F.col("sentence")).alias("standard"), filled(0).alias("reason"), filled(1).alias("action"), facts.cut(F.col("sentence"), 320, "…").alias("said"))
+    return each.select("tag", "gap_type", "severity", certified.alias("certified"), facts.standard(F.col("line")).alias("standard"), filled(0).alias("reason"), filled(1).alias("action"), facts.cut(F.col("sentence"), 320, "…").alias("said"))
 
 
 def filtered(gaps_: DataFrame, tag: str | None = None, severity: str | None = None, gap_type: str | None = None) -> DataFrame:

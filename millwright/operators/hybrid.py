@@ -1,13 +1,16 @@
 """Hybrid retrieval for a table of questions: keyword and vector candidates, their fusion, and a diverse selection.
 
 chunks: chunk_id, file_name, text, summary, questions, tags (array), row_start, and any others. queries: item_id, question.
-Every question meets every chunk, as in exact search; the questions are a stated set, cut into blocks by the caller.
+The questions are a stated set, cut into blocks by the caller: their terms and vectors are sent to every task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,8 @@ from .retrieval import signed_counts
 # Weights of fusion and diversification.
 VECTOR_WEIGHT, KEYWORD_WEIGHT, RRF_K = 0.7, 0.3, 60
 MMR_LAMBDA, MOST_OF_FILE, BOOST_CAP = 0.72, 2, 0.55
+# What a token and an asset of the question are worth in a chunk's summary, text and questions, and an asset among its tags.
+TOKEN, ASSET, TAGGED = (2.0, 1.0, 3.0), (4.0, 2.0, 4.0), 8.0
 SAME_FILE, NEAR_ROW = 0.08, 0.12
 LEAST_SCORE, PREVIEW = 0.15, 600
 INSUFFICIENT = "I could not find enough evidence in the indexed documents to answer this question."
@@ -33,16 +38,8 @@ def with_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumn("tokens", tx.query_tokens(F.col("question"))).withColumn("assets", facts.question_tags(F.col("question")))
 
 
-def _count(items: str, text: str, lowered: bool = False) -> Column:
-    x = "lower(x)" if lowered else "x"
-    return F.expr(f"size(filter({items}, x -> contains({text}, {x})))")
-
-
-def keyword_score() -> Column:
-    """Of a row with tokens, assets, and a chunk's low_summary, low_text, low_questions, tags."""
-    by_token = 2 * _count("tokens", "low_summary") + _count("tokens", "low_text") + 3 * _count("tokens", "low_questions")
-    by_asset = 8 * F.size(F.array_intersect("assets", "tags")) + 4 * _count("assets", "low_summary", True) + 2 * _count("assets", "low_text", True) + 4 * _count("assets", "low_questions", True)
-    return (by_token + by_asset).cast("double")
+def _count(items: str, text: str) -> Column:
+    return F.expr(f"size(filter({items}, x -> contains({text}, x)))")
 
 
 def _lowered(chunks: DataFrame) -> DataFrame:
@@ -50,10 +47,51 @@ def _lowered(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "file_name", "row_start", F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.upper).alias("tags"), text("summary").alias("low_summary"), text("text").alias("low_text"), text("questions").alias("low_questions"))
 
 
+def terms_found(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """chunk_id, term, of_token, of_asset: what each term that a chunk has as a substring is worth, by the texts it is in.
+
+    One pass of an automaton over each text finds all terms at once, where built-in functions would search it for each.
+    terms: of a stated set of questions, sent to each task.
+    """
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        weights = {"summary": (TOKEN[0], ASSET[0]), "text": (TOKEN[1], ASSET[1]), "questions": (TOKEN[2], ASSET[2])}
+        for b in batches:
+            at: list[int] = []
+            out: tuple[list, list, list] = ([], [], [])
+            for row, said in enumerate(zip(*(b.column(c).to_pylist() for c in weights), strict=True)):
+                worth: dict[int, list[float]] = {}
+                for text, w in zip(said, weights.values(), strict=True):
+                    for i in {i for _, i in automaton.iter((text or "").lower())} if terms else ():
+                        held = worth.setdefault(i, [0.0, 0.0])
+                        held[0], held[1] = held[0] + w[0], held[1] + w[1]
+                for i, (token, asset) in worth.items():
+                    at.append(row)
+                    for column, x in zip(out, (terms[i], token, asset), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(at, pa.int32())), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=["chunk_id", "term", "of_token", "of_asset"])
+
+    return chunks.select("chunk_id", "summary", "text", "questions").mapInArrow(run, f"chunk_id {kind}, term string, of_token double, of_asset double")
+
+
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """item_id, rank, chunk_id, score (above 0): the k best chunks of each question; ties by file name from the last,
-    by row from the first."""
-    scored = _lowered(chunks).join(F.broadcast(with_terms(queries))).withColumn("score", keyword_score()).where("score > 0")
+    by row from the first. Only questions and chunks that share a term meet."""
+    q = with_terms(queries)
+    asked = q.select("item_id", F.explode("tokens").alias("term"), F.lit(False).alias("asset")).union(q.select("item_id", F.explode(F.transform("assets", F.lower)), F.lit(True)))
+    terms = [r[0] for r in asked.select("term").distinct().toLocalIterator()]  # of a stated set of questions
+    found = terms_found(chunks, sorted(terms)).join(F.broadcast(asked), "term")
+    each = found.select("item_id", "chunk_id", F.when(F.col("asset"), F.col("of_asset")).otherwise(F.col("of_token")).alias("score"))
+    tagged = chunks.select("chunk_id", F.explode(F.array_distinct(F.transform("tags", F.upper))).alias("tag")).join(F.broadcast(q.select("item_id", F.explode("assets").alias("tag"))), "tag")
+    scored = each.union(tagged.select("item_id", "chunk_id", F.lit(TAGGED).alias("score"))).groupBy("item_id", "chunk_id").agg(F.sum("score").alias("score")).where("score > 0")
+    scored = scored.join(chunks.select("chunk_id", "file_name", "row_start"), "chunk_id")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("file_name"), F.coalesce("row_start", F.lit(0)), "chunk_id")
     return scored.select("item_id", "chunk_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 

@@ -92,7 +92,7 @@ def _documents_with_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vector_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = star.table(spark, sf_dir, "embeddings").where("embedding is not null")
-    three = F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 4).cast("string"))
+    three = F.transform(F.slice("embedding", 1, 3), lambda x: F.format_string("%.4f", x.cast("double")))
     return v.select("vec_id", F.size("embedding").alias("dimension"), F.array_join(three, "|").alias("preview"))
 
 
@@ -257,7 +257,7 @@ tags AS (SELECT document_id, chunk_index, said, unnest(list_filter(found, lambda
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "tag_extract": f"{_TAGS} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, tag, CAST(strpos(said, tag) - 1 AS INTEGER) AS position, {TYPE} AS asset_type, CASE WHEN {TYPE} IS NULL THEN 0.6 ELSE 0.95 END AS confidence FROM tags",
+    "tag_extract": f"{_TAGS} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, upper(tag) AS tag, CAST(strpos(said, tag) - 1 AS INTEGER) AS position, {TYPE} AS asset_type, CASE WHEN {TYPE} IS NULL THEN 0.6 ELSE 0.95 END AS confidence FROM tags",
     "asset_mentions": f"{GONE} SELECT tag, CAST(row_number() OVER (PARTITION BY tag ORDER BY created_at DESC NULLS LAST, chunk_index ASC NULLS LAST, mention_id) AS INTEGER) AS place, mention_id, document_id, filename, CAST(chunk_index AS INTEGER) AS chunk_index, entity_name, {_PREVIEW} AS preview FROM ev",
     "asset_timeline": f"{EVENTS} SELECT tag, mention_id, event_type, severity, reasons, title, date, preview FROM tl",
     "graph_edges": f"{EDGES} SELECT * FROM e",
@@ -275,7 +275,7 @@ SELECT DISTINCT tag, entity_id, CAST(chunk AS INTEGER) AS chunk FROM x WHERE new
     "reindex_queue": "SELECT doc_id AS chunk_id, md5(CASE WHEN doc_id % 2 = 0 AND trim(substring(text, 1, 200), ' ') <> '' THEN trim(substring(text, 1, 200), ' ') ELSE text END) AS digest FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE doc_id % 3 <> 0",
     "endpoint_edges": f"{STAR} SELECT DISTINCT 'asset:' || tag AS source, relation_type, target FROM (SELECT tag, 'mentioned_in' AS relation_type, 'document:' || document_id AS target FROM star UNION ALL SELECT tag, 'supported_by_chunk', 'chunk:' || document_id || '-' || chunk_index FROM star UNION ALL SELECT tag, 'has_entity', 'entity:' || entity_id FROM star) WHERE tag = 'P-101' OR target = 'entity:3'",
     "mentioned_documents": f"{GONE} SELECT DISTINCT document_id, filename FROM ev WHERE found_document AND contains(text, 'Repeated failure')",
-    "vector_preview": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, array_to_string(list_transform(embedding[1:3], lambda x: CAST(round(CAST(x AS DOUBLE), 4) AS VARCHAR)), '|') AS preview FROM embeddings WHERE embedding IS NOT NULL",
+    "vector_preview": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, array_to_string(list_transform(embedding[1:3], lambda x: printf('%.4f', CAST(x AS DOUBLE))), '|') AS preview FROM embeddings WHERE embedding IS NOT NULL",
     "dashboard_summary": f"""{RISK} SELECT 'risk' AS section, level AS name, count(*) AS value FROM risk GROUP BY level UNION ALL SELECT 'reason', reason, count(*) FROM (SELECT unnest(string_split(reasons, '|')) AS reason FROM risk) WHERE reason <> '' GROUP BY reason
 UNION ALL (SELECT 'top', tag, count(*) FROM star GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 5) UNION ALL SELECT 'rows', 'documents', count(*) FROM orders UNION ALL SELECT 'rows', 'chunks', count(*) FROM lineitem UNION ALL SELECT 'rows', 'assets', count(*) FROM part UNION ALL SELECT 'rows', 'entities', count(*) FROM supplier
 UNION ALL SELECT 'rows', 'sessions', count(*) FROM conversations UNION ALL SELECT 'rows', 'events', count(*) FROM events""",

@@ -239,12 +239,12 @@ clean AS (SELECT upper(trim(id)) AS "Equipment_ID", CASE upper(trim(kind)) WHEN
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "free_text_facts": f"""{STAR} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, {_by_report(['7.8 mm/s', None, None, '2 bar', None, None, None, None])} AS inspection_reading, {_by_report([None, 'SOP-PUMP-STARTUP'])} AS sop_reference, {_by_report(['ISO 1081'[:0] or None, None, 'OISD-137', None, None, None, 'PESO'])} AS compliance_reference,
+    "free_text_facts": f"""{STAR} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, {_by_report(['7.8 mm/s', None, None, '2 bar', None, None, None, None])} AS inspection_reading, {_by_report([None, 'SOP-PUMP-STARTUP'])} AS sop_reference, {_by_report([None, None, 'OISD-137', None, None, None, 'PESO'])} AS compliance_reference,
 {_by_report([None, 'MS-45-CR'])} AS spare_part, {_by_report([None, None, 'leakage', 'low suction pressure', None, 'bearing failure'])} AS failure_mode, {_by_report([None, None, 'immediate action required'])} AS risk_phrase, {_by_report(['follow-up required', None, 'action required', 'do not restart', None, 'raise work order'])} AS open_action, {_by_report([None, 'Replace the mechanical seal MS', None, None, 'Inspect impeller for wear'])} AS maintenance_action,
-CAST({_by_report([None, None, None, None, '3'])} AS INTEGER) AS page, {_by_report(['ISO 10816', None, 'OISD-137', None, None, None, 'Factories Act Section 31 / PESO'])} AS standards, {_by_report([None, None, None, None, None, '2025-02-01', '2024-03-01'])} AS date FROM star""",
+CAST({_by_report([None, None, None, None, '3'])} AS INTEGER) AS page, {_by_report(['ISO 10816', None, 'OISD-137', None, None, None, 'Factories Act Section 31 / PESO'])} AS standards, CASE WHEN (document_id + 3 * chunk_index) % 8 <> 6 OR NOT regexp_matches(tag, '^[A-Z]{{3,}}-[0-9]{{4}}$') THEN {_by_report([None, None, None, None, None, '2025-02-01', '2024-03-01'])} END AS date FROM star""",
     "row_chunks": f"""WITH {CELL_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_linenumber AS VARCHAR), l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS i, concat_ws(chr(10), {', '.join(_CELL.format(c) for c in CELLS)}) AS text FROM cells),
-o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM n)
-SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_index, md5(text) AS digest, CAST(at AS BIGINT) AS char_start, CAST(at + length(text) AS BIGINT) AS char_end, trim(part_no) AS fact_spare_part, CASE WHEN status <> 'nan' THEN status END AS fact_open_action FROM o""",
+o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM n)
+SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_index, md5(text) AS digest, CAST(begin_at AS BIGINT) AS char_start, CAST(begin_at + length(text) AS BIGINT) AS char_end, trim(part_no) AS fact_spare_part, CASE WHEN status <> 'nan' THEN status END AS fact_open_action FROM o""",
     "labelled_rows": f"WITH {CELL_ROWS} SELECT concat_ws(' ', {', '.join(_LABEL.format(c) for c in CELLS)}) AS text, count(*) AS rows FROM cells GROUP BY 1",
     "question_intents": f"WITH {QUESTIONS}, every AS (SELECT question FROM q UNION ALL SELECT text FROM conversations WHERE role = 'user') SELECT {_INTENT} AS intent, count(*) AS questions FROM every WHERE {_ASCII} GROUP BY 1",
     "file_boosts": f"WITH {QUESTIONS} SELECT item_id, file_name, {_boost('question', 'file_name')} AS file_boost, {_SOURCE} AS source_boost FROM q, (SELECT unnest(['work_order_7.txt', 'inspection_report_7.txt', 'sop_7.txt', 'compliance_checklist_7.txt', 'rca_7.txt']) AS file_name) WHERE {_ASCII}",

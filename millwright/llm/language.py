@@ -19,16 +19,62 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, table
 
 BUCKETS, EVIDENCE = 1 << 15, 200.0
-#: Labelled documents a language, and characters of each, that the text model is fitted on.
-SAMPLE, SAMPLE_CHARS = 1500, 4000
+#: Different labelled texts a language that the text model is fitted on, whole.
+SAMPLE, MOST_SENT = 1500, 300_000
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
-HIDDEN = re.compile(r"<(script|style|noscript|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: A key of more than one in so many rows is common: its row is sent, not shuffled.
+COMMON = 256
+#: Elements whose text isn't the page's.
+HIDDEN = (b"script", b"style", b"noscript", b"nav")
+NAME = re.compile(rb"/?([a-z][a-z0-9]*)")
+DECLARED = re.compile(rb"\slang\s*=\s*[\"']?([a-z]{2,3})")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+# Second labels below a country's under which names are given out.
+SHARED = {"ac", "co", "com", "edu", "gov", "net", "org"}
+
+
+def visible(page: str) -> tuple[str, str | None]:
+    """The text of a page outside tags, comments and hidden elements, and the language that its html tag declares. Each
+    kind of end is looked for once when there is none left, so that time goes with the page's length."""
+    raw = page.encode("utf-8", "surrogatepass")
+    low, pieces, at, declared = raw.lower(), [], 0, None
+    none_after: set[bytes] = set()
+
+    def find(what: bytes, start: int) -> int:
+        if what in none_after:
+            return -1
+        found = low.find(what, start)
+        if found < 0:
+            none_after.add(what)
+        return found
+
+    while (start := find(b"<", at)) >= 0:
+        pieces.append(raw[at:start])
+        at = -1
+        if low.startswith(b"<!--", start) and (end := find(b"-->", start + 4)) >= 0:
+            at = end + 3
+        elif (end := find(b">", start)) >= 0:
+            name = m[1] if (m := NAME.match(low, start + 1)) else b""
+            if name == b"html" and declared is None and (m := DECLARED.search(low, start, end)):
+                declared = m[1].decode()
+            at = end + 1
+            if name in HIDDEN and low[start + 1] != 0x2F and (close := find(b"</" + name, at)) >= 0 and (end := find(b">", close)) >= 0:
+                at = end + 1
+        if at < 0:
+            pieces.append(raw[start:])
+            at = len(raw)
+    pieces.append(raw[at:])
+    return b" ".join(pieces).decode("utf-8", "surrogatepass"), declared
+
+
+def domain_of(host: str) -> str:
+    labels = host.split(".")
+    return ".".join(labels[-3:] if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SHARED else labels[-2:])
 
 
 def triples(text: str) -> np.ndarray:
@@ -40,17 +86,12 @@ def triples(text: str) -> np.ndarray:
 
 def fitted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithm of each triple's probability in each. docs: lang, text."""
-    from pyspark.sql.window import Window
-
-    def first(rows: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("h", "text")
-        return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE // 2).drop("r")
-
-    # half of the sample by each parity of the hash: Spark limits groups of up to 1,000 before it shuffles; first within
-    # shares of the input, so that no task holds a language's rows from all partitions
-    named = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), (F.spark_partition_id() % 256).alias("share"))
-    named = named.withColumn("h", F.xxhash64("text")).withColumn("half", F.expr("h & 1"))
-    sample = first(first(named, "lang", "half", "share"), "lang", "half")
+    named = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    # half of the sample by each parity of the hash: Spark limits groups of up to 1,000 before it shuffles
+    order = Window.partitionBy("lang", F.col("h").bitwiseAND(1)).orderBy("h")
+    chosen = named.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE // 2).drop("r")
+    chosen = stored(chosen, "language-sample")  # SAMPLE rows a language at most
+    sample = named.join(F.broadcast(chosen) if len(chosen.take(MOST_SENT + 1)) <= MOST_SENT else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,14 +118,13 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
         for b in batches:
             out = []
             for url, page in zip(b["url"], b["html"], strict=True):
-                page = page or ""
-                t = triples(entities.unescape(HIDDEN.sub(" ", page)))
+                said, declared = visible(page or "")
+                t = triples(entities.unescape(said))
                 ll = sent.value[:, t].sum(axis=1, dtype=np.float64) * min(1.0, EVIDENCE / max(1, len(t)))
                 ll -= ll.max(initial=-np.inf) if len(ll) else 0
                 p = np.exp(ll) / np.exp(ll).sum()
                 host = (m[1].lower().rstrip(".") if (m := HOST.match(url or "")) else "")
-                declared = m[1].lower() if (m := DECLARED.search(page)) else None
-                out.append((host, ".".join(host.split(".")[-2:]), host.rsplit(".", 1)[-1], declared, ll, p))
+                out.append((host, domain_of(host), host.rsplit(".", 1)[-1], declared, ll, p))
             frame = pd.DataFrame(out, columns=["host", "domain", "suffix", "declared", "ll", "p"])
             frame.insert(0, "page_id", b["page_id"].to_numpy())
             yield frame
@@ -105,8 +145,19 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return pages.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("host"))
     seen = stored(evidence(pages, langs, model), "evidence")
 
-    def sums(by: str) -> DataFrame:
-        return seen.groupBy(by).agg(F.array(*(F.sum(F.col("p")[i]) for i in range(k))).alias(f"of_{by}"))
+    n_pages = seen.count()
+
+    def with_sums(out: DataFrame, by: str) -> DataFrame:
+        """out with of_<by>: the sums of its key. Common keys, COMMON at most, are sent; in the join of all others a row of
+        a common key has a key of its own, so that none of them goes to one task."""
+        sums = stored(seen.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("key")).agg(F.array(*(F.sum(F.col("p")[i]) for i in range(k))).alias("sums"), F.count("*").alias("n")), "sums")
+        often = F.col("n") > n_pages / COMMON
+        common = sums.where(often).select("key", F.col("sums").alias("common"))
+        rare = sums.where(~often).select(F.col("key").alias("rare_key"), F.col("sums").alias("rare"))
+        out = out.join(F.broadcast(common), F.col(by) == F.col("key"), "left").drop("key")
+        own = F.when(F.col("common").isNull() & F.col(by).isNotNull(), F.col(by)).otherwise(F.concat(F.lit("\x00"), F.monotonically_increasing_id()))
+        out = out.withColumn("own", own).join(rare, F.col("own") == F.col("rare_key"), "left")
+        return out.withColumn(f"of_{by}", F.coalesce("common", "rare")).drop("common", "rare", "rare_key", "own")
 
     whole = seen.agg(*(F.sum(F.col("p")[i]) for i in range(k))).first()
     whole = [x or 0.0 for x in whole]
@@ -114,7 +165,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     # one vote a host's page in each table: what a page itself added goes again
     out = seen
     for by in ("host", "domain", "suffix", "declared"):
-        out = out.join(sums(by).withColumnRenamed(by, f"by_{by}"), F.col(by) == F.col(f"by_{by}"), "left").drop(f"by_{by}")
+        out = with_sums(out, by)
 
     def less(x: str) -> str:
         return f"transform({x}, (v, i) -> greatest(v - p[i], 0D))"

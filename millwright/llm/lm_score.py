@@ -3,7 +3,8 @@
 Documents are dealt into blocks by hash. A block sends its different n-grams of each order, as sorted keys, to the count
 tables, which are partitioned by ranges of the keys' hash; each partition adds up what it gets and answers every block
 with the totals of that block's n-grams. The join's rows are such lists, not single n-grams: a few bytes for an n-gram,
-and none larger than a block's share of a partition. Each block then sums up its documents' scores.
+and none larger than a block's share of a partition. A list holds one n-gram at least, so there are never more rows than
+n-grams, however many blocks and partitions meet. Each block then sums up its documents' scores.
 
 A document's own n-grams are taken off the totals first, so it is scored by the others only:
 
@@ -25,7 +26,7 @@ from xxhash import xxh64_intdigest
 from .common import table
 
 ORDER, BACKOFF = 3, 0.4
-KEY_BITS = 46  # of an n-gram's hash; of 10**8 different n-grams, one or two in a million share a key with another
+KEY_BITS = 48  # of an n-gram's hash; of 10**8 different n-grams, one in three million shares a key with another
 BLOCK_CHARS, PARTITION_CHARS = 6_000_000, 6_000_000
 
 
@@ -74,9 +75,10 @@ def _counts(n: np.ndarray) -> bytes:
 
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, log_score (sum of the natural logarithms of S), mean_log_score (null without words) of each row.
+    """doc_id, n_words, score (mean of the natural logarithms of S by word, null without words), log_sum (their sum) of each
+    row.
 
-    Null and empty texts have no words, a log_score of 0. Rows that share a doc_id, or all their values, are documents
+    Null and empty texts have no words, a log_sum of 0. Rows that share a doc_id, or all their values, are documents
     each. Other columns aren't read. An empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -133,13 +135,13 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             best = value
         sums = np.add.reduceat(np.append(best, 0.0), starts) * (n > 0) if len(n) else np.zeros(0)
         mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-        out = pd.DataFrame({"doc_id": rows["doc_id"], "n_words": n, "log_score": sums.round(6)})
-        out["mean_log_score"] = pd.Series(mean.round(6), index=out.index).astype(object).where(n > 0, None)
+        out = pd.DataFrame({"doc_id": rows["doc_id"], "n_words": n, "log_sum": sums.round(6)})
+        out.insert(2, "score", pd.Series(mean.round(6), index=out.index).astype(object).where(n > 0, None))
         return out
 
     requests = dealt.groupBy("block").applyInPandas(asked, "part int, n int, block long, keys binary, counts binary")
     answers = requests.groupBy("part").applyInPandas(answered, "block long, n int, part int, totals binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, f"doc_id {kind}, n_words long, score double, log_sum double")
 
 
 def _places(n: np.ndarray, k: int, ends: np.ndarray) -> np.ndarray:

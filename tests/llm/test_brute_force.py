@@ -163,7 +163,7 @@ def test_clashing_columns(spark):
         assert stage(spark, given.limit(0), SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, given, SF).count() == 4
     kept = {r.doc_id: r for r in quality.assessed(given).collect()}
-    assert kept[1].words == "a1" and kept[1].n_words == 152
+    assert kept[1].words == "a1" and kept[1].n_words == 156
 
 
 def test_quality_counts(docs, texts):

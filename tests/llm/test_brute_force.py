@@ -68,7 +68,9 @@ HELD_OUT = [
 CLEAN = ["The committee shall grant permission to any person to attend the meeting free of charge", "She got her driving licence in May.", "The warranty on the pump ended last year.", "He reserved a table for four.", "Public transport is free of charge for students.", "All copies of the book were sold out."]
 
 
-def test_licence_recall(spark, docs):
+def test_licence_recall(spark):
+    """On a table with enough paragraphs for the limit's share of false alarms; of sf0.001 the 200 documents aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(HELD_OUT + CLEAN)], "doc_id long, text string")
     got = {r.doc_id for r in licenses.scan(docs.select("doc_id", "text").union(planted)).where("doc_id < 0").collect()}
     assert sum(-1 - i in got for i in range(len(HELD_OUT))) >= 0.9 * len(HELD_OUT)

@@ -175,7 +175,7 @@ def fitted(docs: DataFrame) -> tuple[object, float, tuple[float, float]]:
     every = sample.union(examples).withColumn("label", label)
     train = every.where("fold = 0").withColumn("weight", F.when(F.col("family") == "unknown", 1.0).otherwise(max(1.0, counts / 500)))
     stages = [NGram(n=2, inputCol="words", outputCol="pairs"), HashingTF(numFeatures=BUCKETS, binary=True, inputCol="words", outputCol="one"), HashingTF(numFeatures=BUCKETS, binary=True, inputCol="pairs", outputCol="two"), VectorAssembler(inputCols=["one", "two"], outputCol="features"), LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, weightCol="weight", featuresCol="features", labelCol="label")]
-    model = Pipeline(stages=stages).fit(train)
+    model = Pipeline(stages=stages).fit(train.coalesce(1))  # bounded by SAMPLE; every step sends the gradient once for each partition
     held = _odds(model.transform(every.where("fold = 1"))).select("odds", (F.col("label") > 0).cast("double").alias("licence"), F.when(F.col("label") > 0, 1.0).otherwise(0.1).alias("weight"))
     held = VectorAssembler(inputCols=["odds"], outputCol="features").transform(stored(held, "licence-held"))
     scale = LogisticRegression(regParam=1e-3, featuresCol="features", labelCol="licence", weightCol="weight").fit(held)

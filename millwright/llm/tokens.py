@@ -158,13 +158,13 @@ class Encoder:
         return np.unique(np.searchsorted(ends, np.concatenate(at), side="right")).tolist()
 
 
-def by_size(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of some BATCH_BYTES of text, one row at least."""
+def by_size(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some `most` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         before = int(size[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(size, before + BATCH_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 

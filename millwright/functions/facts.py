@@ -143,7 +143,7 @@ def row_facts(rows: DataFrame) -> dict[str, Column]:
 
 
 def intent(question: Column) -> Column:
-    return F.coalesce(*(F.when(question.rlike(f"(?i){p}"), name) for name, p in INTENTS), F.lit("general"))
+    return F.coalesce(*(F.when(question.rlike(f"(?iU){p}"), name) for name, p in INTENTS), F.lit("general"))
 
 
 def _has_any(name: Column, parts: list[str]) -> Column:
@@ -157,7 +157,7 @@ def file_boost(question: Column, file_name: Column, boost: float = 0.12) -> Colu
     """What a file gains whose name has a hint of a kind that the question asks for."""
     fits = F.lit(False)
     for pattern, hints in FILE_HINTS:
-        fits = fits | (question.rlike(f"(?i){pattern}") & _has_any(file_name, hints))
+        fits = fits | (question.rlike(f"(?iU){pattern}") & _has_any(file_name, hints))
     return F.when(fits, boost).otherwise(0.0)
 
 

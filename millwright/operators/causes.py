@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from string import Formatter
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import facts, rules
 from ..functions.text import contains_any
+from . import search
 
 
 class Cause(NamedTuple):
@@ -57,10 +59,19 @@ def root_causes(symptoms: DataFrame, evidence: DataFrame, most: int = 10, cited:
     named = evidence.where(F.expr(r"regexp_like(text, concat('(?i)\\b\\Q', tag, '\\E\\b'))"))
     newest = Window.partitionBy("tag").orderBy(F.desc_nulls_last("created_at"), F.desc("document_id"), "chunk_index")
     kept = named.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= most)
+    by = kept.groupBy("tag").agg(_entries(F.concat_ws("-", "document_id", "chunk_index")))  # `most` rows a tag
+    return _by_rules(symptoms.select("tag", "symptom").join(by, "tag"), cited)
+
+
+def _entries(chunk: Column) -> Column:
+    """e: the chunks of a group by r, and which rule's indicators each has."""
     low = F.lower("text")
-    each = F.struct("r", F.concat_ws("-", "document_id", "chunk_index").alias("chunk"), *(contains_any(low, c.indicators).alias(f"has_{i}") for i, c in enumerate(CAUSES)))
-    by = kept.groupBy("tag").agg(F.array_sort(F.collect_list(each)).alias("e"))  # `most` rows a tag
-    joined = symptoms.select("tag", "symptom").join(by, "tag").withColumn("low", F.lower("symptom"))
+    return F.array_sort(F.collect_list(F.struct("r", chunk.alias("chunk"), *(contains_any(low, c.indicators).alias(f"has_{i}") for i, c in enumerate(CAUSES))))).alias("e")
+
+
+def _by_rules(joined: DataFrame, cited: int) -> DataFrame:
+    """(tag, symptom, e) -> what root_causes returns."""
+    joined = joined.withColumn("low", F.lower("symptom"))
 
     def rule(i: int, c: Cause) -> Column:
         holds = F.expr(f"filter(e, x -> x.has_{i})")
@@ -80,6 +91,44 @@ def root_causes(symptoms: DataFrame, evidence: DataFrame, most: int = 10, cited:
     return rows.select("tag", "symptom", "c.number", "c.cause", cause_confidence(F.col("c.support")).alias("confidence"), "c.support", "c.evidence", "c.actions", "c.missing")
 
 
+# The question for evidence, and what a symptom without any is told.
+ASK = "Evidence for root cause of '{symptom}' on asset {tag}"
+NOT_SPECIFIC = "Insufficient evidence specific to {tag} was retrieved to determine a root cause for '{symptom}'. Retrieved documents did not reference this asset."
+NOTHING = "No documents were retrieved for {tag}, so a root cause for '{symptom}' cannot be determined."
+ANALYSIS = "Analysis of {n_evidence} evidence item(s) retrieved for {tag} indicates {n_causes} likely cause(s) for '{symptom}' (top confidence {top})."
+REVIEW = ["Manually review maintenance logs and inspection reports for {tag}.", "Confirm that documentation for {tag} has been ingested into the knowledge base."]
+RECORDS = ["Any maintenance, inspection or work-order records that explicitly reference {tag}."]
+
+
+def _said(pattern: str, **values: Column) -> Column:
+    parts = [(F.lit(text), values[name] if name else F.lit("")) for text, name, *_ in Formatter().parse(pattern)]
+    return F.concat(*(x for pair in parts for x in pair))
+
+
+def retrieved_causes(symptoms: DataFrame, chunks: DataFrame, k: int = 10, cited: int = 3) -> DataFrame:
+    """What root_causes returns, and summary, n_retrieved, n_evidence: of the k chunks that search finds for each symptom
+    (tag, symptom, model) those that name its tag are the evidence. A symptom without any has one row with a null number
+    and cause, and says what to look for. Rows of one tag and symptom are one symptom; a null tag or symptom is ''."""
+    once = symptoms.select(F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("symptom", F.lit("")).alias("symptom"), "model").dropDuplicates(["tag", "symptom"])
+    tag, symptom = F.col("tag"), F.col("symptom")
+    asked = once.select(F.struct("tag", "symptom").alias("question_id"), _said(ASK, tag=tag, symptom=symptom).alias("question"), "tag", "model")
+    found = search.evidence(chunks, asked, k).select("question_id.tag", "question_id.symptom", F.col("place").alias("r"), F.col("chunk_id").cast("string").alias("chunk"), "text")
+    names = search.names(F.col("text"), tag)
+    by = found.where(names).groupBy("tag", "symptom").agg(_entries(F.col("chunk")))  # k rows a symptom
+    counted = found.groupBy("tag", "symptom").agg(F.count("*").alias("n_retrieved"), F.count_if(names).alias("n_evidence"))
+    said = _by_rules(by, cited).join(counted, ["tag", "symptom"])
+    group = Window.partitionBy("tag", "symptom")  # a row for each rule
+    top = F.format_string("%.2f", F.max("confidence").over(group))
+    said = said.withColumn("summary", _said(ANALYSIS, tag=tag, symptom=symptom, n_evidence=F.col("n_evidence").cast("string"), n_causes=F.count("*").over(group).cast("string"), top=top))
+    without = once.join(counted, ["tag", "symptom"], "left").where("coalesce(n_evidence, 0) = 0")
+    none = F.when(F.coalesce("n_retrieved", F.lit(0)) > 0, _said(NOT_SPECIFIC, tag=tag, symptom=symptom)).otherwise(_said(NOTHING, tag=tag, symptom=symptom))
+    rest = without.select(
+        "tag", "symptom", F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("cause"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("support"), F.array().cast("array<string>").alias("evidence"),
+        F.array(*(_said(x, tag=tag) for x in REVIEW)).alias("actions"), F.array(*(_said(x, tag=tag) for x in RECORDS)).alias("missing"), F.coalesce("n_retrieved", F.lit(0)).alias("n_retrieved"), F.lit(0).cast("long").alias("n_evidence"), none.alias("summary"),
+    )
+    return said.unionByName(rest)
+
+
 # Which events are evidence of which kind, and what a package says is missing.
 INSPECTION_EVENTS, MAINTENANCE_EVENTS = ["inspection", "failure", "compliance"], ["work_order", "procedure"]
 MISSING = [

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import facts
 from ..functions import text as tx
+from . import blocked
 from .retrieval import signed_counts
 
 # Weights of fusion and diversification.
@@ -26,6 +27,7 @@ MMR_LAMBDA, MOST_OF_FILE, BOOST_CAP = 0.72, 2, 0.55
 TOKEN, ASSET, TAGGED = (2.0, 1.0, 3.0), (4.0, 2.0, 4.0), 8.0
 SAME_FILE, NEAR_ROW = 0.08, 0.12
 LEAST_SCORE, PREVIEW = 0.15, 600
+DIMENSION = 384
 INSUFFICIENT = "I could not find enough evidence in the indexed documents to answer this question."
 
 
@@ -96,17 +98,19 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.select("item_id", "chunk_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """id, places (at, value: the places of the hashing embedding that aren't 0, before they are divided by its length)."""
+    entry = F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("int").alias("at"), F.col("v").cast("double").alias("value"))))  # DIMENSION at most
+    return signed_counts(docs, DIMENSION).groupBy("id").agg(entry.alias("e")).select("id", F.struct(F.col("e.at").alias("at"), F.col("e.value").alias("value")).alias("places"))
+
+
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """item_id, rank, chunk_id, score: the k chunks of the largest cosine of hashing embeddings, ties by chunk_id. Sparse
-    vectors meet by bucket; counts are whole numbers, so sums are exact in any order."""
-    c = signed_counts(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("id", "chunk_id")
-    q = signed_counts(queries.select(F.col("item_id").alias("id"), F.col("question").alias("text"))).select(F.col("id").alias("item_id"), "bucket", F.col("v").alias("w"))
-    of_chunk = c.groupBy("chunk_id").agg(F.sum(F.col("v") * F.col("v")).alias("n_chunk"))
-    of_question = q.groupBy("item_id").agg(F.sum(F.col("w") * F.col("w")).alias("n_question"))
-    dot = c.join(F.broadcast(q), "bucket").groupBy("item_id", "chunk_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dot.join(of_chunk, "chunk_id").join(F.broadcast(of_question), "item_id").withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("n_chunk").cast("double") * F.col("n_question")), 6))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.select("item_id", "chunk_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    """item_id, rank, chunk_id, score: the k chunks of the largest cosine of hashing embeddings, ties by chunk_id; of the
+    chunks and questions that have a word. Counts are whole numbers, so products are exact in any order."""
+    rows = hashed(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("places", "vector")
+    asked = hashed(queries.select(F.col("item_id").alias("id"), F.col("question").alias("text"))).select(F.col("id").alias("query_id"), F.col("places").alias("query"))
+    found = blocked.nearest(rows, asked, k, ["id"], blocked.Rules(digits=6), dimension=DIMENSION)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("chunk_id"), "score", F.col("place").alias("rank"))
 
 
 def fused(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

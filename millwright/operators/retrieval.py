@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import blocked
 
-#: Question vectors in one search; more are searched for in several.
+#: Question vectors in one block; more go in several.
 MOST_QUERIES = 10_000
 
 
@@ -31,28 +30,11 @@ def fitted(vector: Column, dimension: int) -> Column:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, per_label: int | None = None) -> DataFrame:
-    """The k nearest vectors of each query (query_id, query), ties by vec_id; at most per_label of one label.
-
-    Every query meets every row, as exact search needs. More than MOST_QUERIES are cut by the hash of query_id into
-    blocks of half as many on average; each block is sent, meets all rows, and the results are put together.
-    """
-    n = queries.count()
-    blocks = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.union, [_nearest(vectors, queries.where(block == b) if blocks > 1 else queries, k, per_label) for b in range(blocks)])
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, per_label: int | None) -> DataFrame:
-    """vector_topk of a block of queries that can be sent. Each vector's length is computed once, before they meet."""
-    v = vectors.withColumn("length", F.expr(f"sqrt({_dot('embedding', 'embedding')})"))
-    q = queries.withColumn("query_length", F.expr(f"sqrt({_dot('query', 'query')})"))
-    score = F.expr(f"if(size(embedding) = size(query), coalesce(try_divide({_dot('embedding', 'query')}, length * query_length), 0D), 0D)")
-    scored = v.join(F.broadcast(q)).where("vec_id <> query_id").withColumn("score", F.round(score, 4))
-    order = [F.desc("score"), F.col("vec_id")]
-    if per_label is not None:
-        scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("r") <= per_label)
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
-    return best.select("query_id", "place", "vec_id", "label", "score")
+    """query_id, place, vec_id, label, score: the k nearest vectors (vec_id, embedding, label) of each query (query_id,
+    query), ties by vec_id; at most per_label of one label. A vector isn't met by the query of its own id."""
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    found = blocked.nearest(rows, queries, k, ["id"], blocked.Rules(cap=per_label, skip_same=True), most_queries=MOST_QUERIES)
+    return found.select("query_id", "place", F.col("id").alias("vec_id"), "label", "score")
 
 
 def signed_counts(docs: DataFrame, dimension: int = 384) -> DataFrame:

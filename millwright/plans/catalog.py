@@ -11,7 +11,7 @@ from ..functions import rules
 from ..functions import text as tx
 from ..operators import analytics, compliance, evaluation, retrieval
 from ..sources import star
-from . import graph_queries, text_queries
+from . import graph_queries, search_queries, text_queries
 from .sql import GAPS, MODES, RISK, SEGMENTS, STAR, case, contains
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +113,7 @@ QUERIES: dict[str, Query] = {
     "chat_sessions": lambda s, d: retrieval.chat_sessions(star.table(s, d, "conversations")),
     "json_props": _json_props,
     "eval_precision_recall": _filtered_label_quality,
-} | graph_queries.QUERIES | text_queries.QUERIES
+} | graph_queries.QUERIES | text_queries.QUERIES | search_queries.QUERIES
 
 
 def _topk(capped: bool) -> str:
@@ -160,4 +160,4 @@ d AS (SELECT tag, count(DISTINCT mode) AS distinct_modes FROM hit GROUP BY tag)
     "json_props": "SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS largest FROM events GROUP BY event_type",
     "eval_precision_recall": """WITH c AS (SELECT count(*) FILTER (n_chars > 1000 AND quality = 1) AS tp, count(*) FILTER (n_chars > 1000 AND quality <> 1) AS fp, count(*) FILTER (NOT n_chars > 1000 AND quality = 1) AS fn FROM labels JOIN documents USING (doc_id))
 SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 4) AS f1 FROM c""",
-} | graph_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+} | graph_queries.ORACLE_SQL | text_queries.ORACLE_SQL | search_queries.ORACLE_SQL

@@ -41,15 +41,15 @@ def _labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = star.questions(spark, sf_dir).where("question rlike '^[\\\\x00-\\\\x7F]*$'")
-    said = star.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("item_id"), F.col("text").alias("question")).where("question rlike '^[\\\\x00-\\\\x7F]*$'")
+    q = star.questions(spark, sf_dir)
+    said = star.table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("item_id"), F.col("text").alias("question"))
     return q.unionByName(said).groupBy(facts.intent(F.col("question")).alias("intent")).agg(F.count("*").alias("questions"))
 
 
 def _boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each file kind gains for each kind of question."""
     kinds = spark.createDataFrame([(x + "7.txt",) for x in ("work_order_", "inspection_report_", "sop_", "compliance_checklist_", "rca_")], "file_name string")
-    q = star.questions(spark, sf_dir).where("question rlike '^[\\\\x00-\\\\x7F]*$'")
+    q = star.questions(spark, sf_dir)
     each = q.join(F.broadcast(kinds))  # five rows
     return each.select("item_id", "file_name", facts.file_boost(F.col("question"), F.col("file_name")).alias("file_boost"), facts.source_boost(facts.intent(F.col("question")), F.col("file_name")).alias("source_boost"))
 
@@ -116,8 +116,8 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file of the first document that has an item's first 60 characters; no file is there for every seventh item."""
-    p, q = star.passages(spark, sf_dir), star.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("start"))
+    """The file of the first document that has an item's text; no file is there for every seventh item."""
+    p, q = star.passages(spark, sf_dir), star.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("start"))
     found = p.join(F.broadcast(q), F.contains("text", F.col("start")))  # a stated set of questions
     named = found.groupBy("item_id").agg(F.min_by("file_name", "chunk_id").alias("file_name"))
     return named.withColumn("file_name", F.when(F.col("item_id") % 7 == 0, "elsewhere.pdf").otherwise(F.col("file_name")))
@@ -176,9 +176,13 @@ def _by_report(values: list[str | None], null: str = "NULL") -> str:
     return "CASE (document_id + 3 * chunk_index) % 8 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None) + f" ELSE {null} END"
 
 
-_ASCII = "regexp_full_match(question, '[\\x00-\\x7F]*')"
-_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(question, '(?i){p}') THEN '{n}'" for n, p in facts.INTENTS) + " ELSE 'general' END"
-QUESTIONS = f"q AS (SELECT item_id, substring(text, 1, 160) || list_extract([{', '.join(repr(x) for x in star.ASKED)}], CAST(item_id % {len(star.ASKED)} + 1 AS INTEGER)) || ' for P-' || (item_id % 50) AS question FROM benchmark)"
+def _plain(text: str) -> str:
+    """Letters and digits beyond ASCII as _, so that RE2's \\b and \\w take them for what they are; spaces as such."""
+    return f"regexp_replace(regexp_replace(translate({text}, 'ſK', 'sk'), '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]|[^\\x00-\\x7F\\P{{M}}]', '_', 'g'), '[^\\x00-\\x7F\\P{{Z}}]', ' ', 'g')"
+
+
+INTENT = "CASE " + " ".join(f"WHEN regexp_matches({_plain('question')}, '(?i){p}') THEN '{n}'" for n, p in facts.INTENTS) + " ELSE 'general' END"
+QUESTIONS = f"q AS (SELECT item_id, text || list_extract([{', '.join(repr(x) for x in star.ASKED)}], CAST(item_id % {len(star.ASKED)} + 1 AS INTEGER)) || ' for P-' || (item_id % 50) AS question FROM benchmark)"
 PASSAGES = """c AS (SELECT doc_id AS chunk_id, list_extract(['work_order_', 'inspection_report_', 'sop_', 'compliance_checklist_', 'rca_'], CAST(doc_id % 5 + 1 AS INTEGER)) || (doc_id % 40) || '.txt' AS file_name, lower(coalesce(text, '')) AS body,
 lower(coalesce(substring(text, 1, 200), '')) AS summary, lower(coalesce(substring(text, 201, 150), '')) AS asked, 'P-' || (doc_id % 50) AS tag, doc_id % 9 AS row_start, text FROM documents)"""
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -195,12 +199,12 @@ KEYWORD = f"""{PASSAGES}, {TERMS}, ks AS (SELECT item_id, chunk_id, file_name, r
 k AS (SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, file_name DESC, row_start, chunk_id) AS rank FROM ks WHERE score > 0) WHERE rank <= 50)"""
 
 
-def _counts(name: str, source: str, key: str, text: str) -> str:
+def counts(name: str, source: str, key: str, text: str) -> str:
     return f"""{name} AS (SELECT id, bucket, sum(s) AS v FROM (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS bucket, CASE WHEN CAST('0x' || substr(md5(w), 9, 2) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS s
   FROM (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) AS w FROM {source})) GROUP BY id, bucket HAVING sum(s) <> 0)"""
 
 
-VECTOR = f"""{_counts('cv', 'c', 'chunk_id', 'text')}, {_counts('qv', 'q', 'item_id', 'question')}, cn AS (SELECT id, sum(v * v) AS n FROM cv GROUP BY id), qn AS (SELECT id, sum(v * v) AS n FROM qv GROUP BY id),
+VECTOR = f"""{counts('cv', 'c', 'chunk_id', 'text')}, {counts('qv', 'q', 'item_id', 'question')}, cn AS (SELECT id, sum(v * v) AS n FROM cv GROUP BY id), qn AS (SELECT id, sum(v * v) AS n FROM qv GROUP BY id),
 vs AS (SELECT item_id, chunk_id, round(dot / sqrt(CAST(cn.n AS DOUBLE) * CAST(qn.n AS DOUBLE)), 6) AS score FROM (SELECT qv.id AS item_id, cv.id AS chunk_id, sum(qv.v * cv.v) AS dot FROM cv JOIN qv USING (bucket) GROUP BY qv.id, cv.id) d JOIN cn ON cn.id = chunk_id JOIN qn ON qn.id = item_id),
 v AS (SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50)"""
 FUSED = f"""WITH {KEYWORD}, {VECTOR}, nv AS (SELECT item_id, chunk_id, rank, greatest(0.0, score / coalesce(nullif(max(score) OVER (PARTITION BY item_id), 0), 1.0)) AS s FROM v), nk AS (SELECT item_id, chunk_id, rank, greatest(0.0, score / coalesce(nullif(max(score) OVER (PARTITION BY item_id), 0), 1.0)) AS s FROM k),
@@ -209,15 +213,15 @@ f AS (SELECT coalesce(nv.item_id, nk.item_id) AS item_id, coalesce(nv.chunk_id,
 
 
 def _boost(question: str, name: str) -> str:
-    return "CASE WHEN " + " OR ".join(f"(regexp_matches({question}, '(?i){p}') AND (" + " OR ".join(f"contains({name}, '{h}')" for h in hints) + "))" for p, hints in facts.FILE_HINTS) + " THEN 0.12 ELSE 0.0 END"
+    return "CASE WHEN " + " OR ".join(f"(regexp_matches({_plain(question)}, '(?i){p}') AND (" + " OR ".join(f"contains({name}, '{h}')" for h in hints) + "))" for p, hints in facts.FILE_HINTS) + " THEN 0.12 ELSE 0.0 END"
 
 
-_SOURCE = "CASE WHEN " + " OR ".join(f"({_INTENT} = '{n}' AND (" + " OR ".join(f"contains(file_name, '{h}')" for h in hints) + "))" for n, hints in facts.PREFERRED_FILES.items()) + " THEN 0.08 ELSE 0.0 END"
+SOURCE = "CASE WHEN " + " OR ".join(f"({INTENT} = '{n}' AND (" + " OR ".join(f"contains(file_name, '{h}')" for h in hints) + "))" for n, hints in facts.PREFERRED_FILES.items()) + " THEN 0.08 ELSE 0.0 END"
 _OVERLAP = "len(list_filter(tokens, lambda x: contains(asked, x)))"
 RANKED = f"""{FUSED}, r AS (SELECT f.*, row_start, round(0.7 * vector_score + 0.3 * keyword_score + rrf + least(0.55, CASE WHEN list_contains(assets, tag) THEN 0.25 ELSE 0.0 END + CASE WHEN {_OVERLAP} >= 2 THEN least(0.25, {_OVERLAP} * 0.05) ELSE 0.0 END
   + CASE WHEN len(list_filter(tokens, lambda x: contains(lower(tag), x))) > 0 THEN 0.05 ELSE 0.0 END) + {_boost('question', 'file_name')}, 9) AS raw FROM f JOIN c USING (chunk_id) JOIN terms USING (item_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, vector_score DESC, keyword_score DESC, row_start, chunk_id) AS place, greatest(0.0, least(1.0, raw / coalesce(nullif(max(raw) OVER (PARTITION BY item_id), 0), 1.0))) AS score FROM r)"""
-OUTCOMES = f"""WITH {KEYWORD}, ex AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'elsewhere.pdf' ELSE arg_min(file_name, chunk_id) END AS file_name FROM benchmark b JOIN c ON contains(coalesce(c.text, ''), substring(b.text, 1, 60)) GROUP BY item_id),
+OUTCOMES = f"""WITH {KEYWORD}, ex AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'elsewhere.pdf' ELSE arg_min(file_name, chunk_id) END AS file_name FROM benchmark b JOIN c ON contains(coalesce(c.text, ''), b.text) GROUP BY item_id),
 hf AS (SELECT item_id, file_name, min(rank) AS rank FROM k JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY item_id, file_name), hr AS (SELECT item_id, file_name, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS hit_at FROM hf),
 o AS (SELECT ex.item_id, coalesce(hit_at, 0) AS place, ex.file_name IN (SELECT file_name FROM c) AS answerable FROM ex LEFT JOIN hr ON hr.item_id = ex.item_id AND hr.file_name = ex.file_name)"""
 
@@ -246,8 +250,8 @@ CAST({_by_report([None, None, None, None, '3'])} AS INTEGER) AS page, {_by_repor
 o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM n)
 SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_index, md5(text) AS digest, CAST(begin_at AS BIGINT) AS char_start, CAST(begin_at + length(text) AS BIGINT) AS char_end, trim(part_no) AS fact_spare_part, CASE WHEN status <> 'nan' THEN status END AS fact_open_action FROM o""",
     "labelled_rows": f"WITH {CELL_ROWS} SELECT concat_ws(' ', {', '.join(_LABEL.format(c) for c in CELLS)}) AS text, count(*) AS rows FROM cells GROUP BY 1",
-    "question_intents": f"WITH {QUESTIONS}, every AS (SELECT question FROM q UNION ALL SELECT text FROM conversations WHERE role = 'user') SELECT {_INTENT} AS intent, count(*) AS questions FROM every WHERE {_ASCII} GROUP BY 1",
-    "file_boosts": f"WITH {QUESTIONS} SELECT item_id, file_name, {_boost('question', 'file_name')} AS file_boost, {_SOURCE} AS source_boost FROM q, (SELECT unnest(['work_order_7.txt', 'inspection_report_7.txt', 'sop_7.txt', 'compliance_checklist_7.txt', 'rca_7.txt']) AS file_name) WHERE {_ASCII}",
+    "question_intents": f"WITH {QUESTIONS}, every AS (SELECT question FROM q UNION ALL SELECT text FROM conversations WHERE role = 'user') SELECT {INTENT} AS intent, count(*) AS questions FROM every GROUP BY 1",
+    "file_boosts": f"WITH {QUESTIONS} SELECT item_id, file_name, {_boost('question', 'file_name')} AS file_boost, {SOURCE} AS source_boost FROM q, (SELECT unnest(['work_order_7.txt', 'inspection_report_7.txt', 'sop_7.txt', 'compliance_checklist_7.txt', 'rca_7.txt']) AS file_name)",
     "safe_names": "SELECT page_id, substring(trim(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), '.-'), 1, 64) AS component, substring(ltrim(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), '.'), 1, 200) AS file_name, 'rag-' || substring(sha1(lower(url)), 1, 20) AS stable_id FROM pages",
     "layout_elements": f"WITH {LAYOUT} SELECT doc_id, CAST(element AS INTEGER) AS element, element_type, md5(text) AS digest FROM el",
     "chat_summaries": f"WITH {SUMMARIES} SELECT conv_id, CAST(cursor AS BIGINT) AS cursor, CAST(length(summary) AS INTEGER) AS chars, md5(summary) AS digest FROM s",

@@ -86,14 +86,41 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), name.alias("file_name"), F.coalesce("text", F.lit("")).alias("text"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 201, 150).alias("questions"), tag.alias("tags"), (F.col("doc_id") % 9).cast("int").alias("row_start"))
 
 
-#: What is asked besides an item's beginning, by item_id modulo their number.
+#: What is asked besides an item's text, by item_id modulo their number.
 ASKED = [" What inspection readings are pending", " Which work order replaced it", " Why has the certificate expired", ""]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, question: the beginning of each benchmark item, with an asset."""
+    """item_id, question: each benchmark item, with an asset."""
     asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED) + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.substring("text", 1, 160), asked, F.lit(" for P-"), (F.col("item_id") % 50).cast("string")).alias("question"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", asked, F.lit(" for P-"), (F.col("item_id") % 50).cast("string")).alias("question"))
+
+
+#: What the record of a document says after its asset, by doc_id modulo their number; and symptoms, by item_id.
+SAID = ["shaft alignment checked after seal replacement.", "bearing noise, grease added.", "motor current above rating, trip.", "flange joint corroded, gasket leaking.", "nothing to report."]
+SYMPTOMS = ["high vibration after seal replacement", "motor overheating, then a trip", "oil leak and corrosion at the flange", "strange smell"]
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of forty files, each with an asset: document_id, chunk_id, chunk_index, filename, text, model.
+    Every eleventh was embedded by another model."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    text = F.concat(F.lit("P-"), (F.col("doc_id") % 50).cast("string"), F.lit(": "), said, F.lit(" "), F.coalesce("text", F.lit("")))
+    p = passages(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), F.col("file_name").alias("filename"), "text")
+    return p.select((F.col("doc_id") % 40).alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), "filename", text.alias("text"), F.when(F.col("doc_id") % 11 == 0, "other").otherwise("hash").alias("model"))
+
+
+def scoped_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question, tag (none for every fifth), model."""
+    tag = F.when(F.col("item_id") % 5 != 4, F.concat(F.lit("P-"), (F.col("item_id") % 50).cast("string")))
+    return questions(spark, sf_dir).select(F.col("item_id").alias("question_id"), "question", tag.alias("tag"), F.lit("hash").alias("model"))
+
+
+def symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag, symptom, model by item_id; of every ninth an asset that no record has."""
+    said = F.element_at(F.array(*map(F.lit, SYMPTOMS)), (F.col("item_id") % len(SYMPTOMS) + 1).cast("int"))
+    tag = F.when(F.col("item_id") % 9 == 8, F.concat(F.lit("Q-"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("P-"), (F.col("item_id") % 50).cast("string")))
+    return table(spark, sf_dir, "benchmark").select(tag.alias("tag"), said.alias("symptom"), F.lit("hash").alias("model"))
 
 
 #: What the findings of a mention say after its tag: by (document + 7 * chunk + entity) modulo their number.

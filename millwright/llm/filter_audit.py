@@ -44,7 +44,9 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64))
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
 _UP, _DOWN = _powers(BASE, CHUNK_BYTES), _powers(pow(BASE, -1, 1 << 64), CHUNK_BYTES)

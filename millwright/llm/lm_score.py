@@ -71,7 +71,13 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _counts(n: np.ndarray) -> bytes:
-    return zlib.compress(n.astype("<u4").tobytes(), 1)
+    """Counts in four bytes each, or in eight if one of them needs it."""
+    wide = int(n.max(initial=0)) >> 32 > 0
+    return bytes([wide]) + zlib.compress(n.astype("<u8" if wide else "<u4").tobytes(), 1)
+
+
+def _counted(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), "<u8" if data[0] else "<u4").astype(np.int64)
 
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -94,17 +100,17 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         out = []
         for k, key in enumerate(keys, 1):
             different, n = np.unique(key, return_counts=True)
-            bounds = np.searchsorted(different, edges)
-            for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if a < b:
-                    out.append((p, k, rows["block"].iloc[0], _packed(different[a:b]), _counts(n[a:b])))
+            part = np.searchsorted(edges, different, side="right") - 1  # only parts that have a key are walked over
+            bounds = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out.append((int(part[a]), k, rows["block"].iloc[0], _packed(different[a:b]), _counts(n[a:b])))
         return pd.DataFrame(out, columns=["part", "n", "block", "keys", "counts"])
 
     def answered(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, g in rows.groupby("n"):
             keys = [_unpacked(x) for x in g["keys"]]
-            counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in g["counts"]])
+            counts = np.concatenate([_counted(x) for x in g["counts"]])
             different, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(inverse, counts, len(different)).astype(np.int64)[inverse]
             for block, t in zip(g["block"], np.split(totals, np.cumsum([*map(len, keys)])[:-1]), strict=True):
@@ -117,7 +123,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for k, key in enumerate(keys, 1):
             different, inverse = np.unique(key, return_inverse=True)
             mine = answers[answers["n"] == k].sort_values("part")["totals"]
-            totals = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(zlib.decompress(x), "<u4") for x in mine)]).astype(np.int64)
+            totals = np.concatenate([np.zeros(0, np.int64), *map(_counted, mine)])
             pair = in_doc[k - 1] * len(different) + inverse
             _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
             others.append(totals[inverse] - own[at])

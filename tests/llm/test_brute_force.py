@@ -9,6 +9,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,6 +60,12 @@ def test_scores(docs, texts):
         assert got[i].log_sum == pytest.approx(want, rel=1e-6, abs=1e-4) and got[i].n_words == len(w)
 
 
+def test_large_counts():
+    """A count beyond 2^32 comes back as it is."""
+    for n in ([], [5, 0], [(1 << 32) + 5, 7]):
+        assert lm_score._counted(lm_score._counts(np.array(n, np.int64))).tolist() == n
+
+
 HELD_OUT = [
     "MIT License", "GNU GPL v3 only", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: BSD-2-Clause", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, express or implied, including the warranties of merchantability",
     "Redistributions of source code must retain the copyright notice and this list", "This file is part of a program distributed under the terms of the GNU General Public License version 2", "Code is available under the MIT licence, see COPYING", "Copyright (c) 2021 The Authors. All rights reserved.",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .parents import numbered
+
 # Words of headings, how a list item begins, sizes of parents and of the parts of a long element.
 HEADING_WORDS = ["procedure", "scope", "startup", "shutdown", "inspection", "checklist", "manual", "requirements", "findings", "limits", "maintenance"]
 LIST_ITEM = r"^\s*(?:[-*]|\d+[.)])\s+"
@@ -53,22 +55,9 @@ def parents(elements_: DataFrame, target: int = PARENT_CHARS) -> DataFrame:
     """doc_id, parent (number from 0), section, text, elements (how many), types (sorted) of the parent chunks.
 
     Elements of one section go together until the next one would pass the target; each counts two more than its length.
-    That is a fold over a document's elements, in order.
+    One pass over a document's elements, in order.
     """
-    each = split_long(elements_)
-    held = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element", "part", "section", "element_type", "text"))).alias("e"))
-    group = f"""aggregate(e, named_struct('g', -1, 'size', 0L, 'section', cast(null as string), 'out', cast(array() as array<int>)), (s, x) ->
-        if(s.g < 0 or not (s.section <=> x.section) or s.size + length(x.text) > {target},
-           named_struct('g', s.g + 1, 'size', bigint(length(x.text) + 2), 'section', x.section, 'out', array_append(s.out, s.g + 1)),
-           named_struct('g', s.g, 'size', s.size + length(x.text) + 2, 'section', x.section, 'out', array_append(s.out, s.g))), s -> s.out)"""
-    dealt = held.select("doc_id", F.explode(F.arrays_zip(F.expr(group).alias("parent"), F.col("e").alias("x"))).alias("z")).select("doc_id", "z.parent", "z.x.*")
+    length = F.length("text")
+    dealt = numbered(split_long(elements_), "doc_id", ["element", "part"], F.struct("section"), length + 2, length, F.lit(target))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element", "part", "text"))), lambda x: x["text"]), "\n")
     return dealt.groupBy("doc_id", "parent").agg(F.first("section").alias("section"), text.alias("text"), F.count("*").alias("elements"), F.array_sort(F.collect_set("element_type")).alias("types"))
-
-
-def summaries(parents_: DataFrame, most_questions: int = 5) -> DataFrame:
-    """parents with summary (its section and the beginning of its text) and questions from templates."""
-    about = F.coalesce("section", F.lit("this section"))
-    start = F.regexp_replace(F.substring("text", 1, 220), r"\s+", " ")
-    asked = F.array(*(F.concat(F.lit(a), about, F.lit("?")) for a in ("What does the document say about ", "Which procedure applies to ", "Which limits are given for ", "Which inspection concerns ", "Which action follows from ")))
-    return parents_.withColumn("summary", F.concat(about, F.lit(": "), start)).withColumn("questions", F.slice(asked, 1, most_questions))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts
 from ..functions import text as tx
-from ..operators import conversation, evaluation, hybrid, layout, retrieval, work_orders
+from ..operators import conversation, evaluation, hybrid, layout, parents, retrieval, work_orders
 from ..sources import files, star
 from ..streaming import events as stream
 from .sql import STAR
@@ -64,8 +64,12 @@ def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = layout.summaries(layout.parents(layout.elements(star.table(spark, sf_dir, "documents"))))
-    return p.select("doc_id", "parent", "section", "elements", F.array_join("types", "|").alias("types"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"), F.size("questions").alias("n_questions"))
+    p = parents.with_summaries(parents.parents(parents.atomic_summaries(star.layout_elements(spark, sf_dir))))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return p.select(
+        F.col("document_id").alias("doc_id"), "parent", F.col("section_title").alias("section"), "file_name", "source_type", "modality", "page_start", "page_end", "row_start", "row_end", F.size("element_ids").alias("elements"), F.array_join("element_types", "|").alias("types"),
+        F.array_join("asset_tags", "|").alias("asset_tags"), F.length("raw_text").alias("chars"), digest("raw_text").alias("digest"), digest("text_evidence").alias("evidence_digest"), F.size("summaries").alias("n_summaries"), digest("summary").alias("summary_digest"), F.md5(F.array_join("questions", "|").cast("binary")).alias("questions_digest"),
+    )
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +239,31 @@ kinds AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '#')
   FROM (SELECT *, trim(trim(line, '#'), {_BLANKS}) AS t FROM lines)),
 runs AS (SELECT *, sum(CAST(kind = 'heading' OR kind <> before AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT doc_id, line_no, kind, CASE WHEN kind <> 'heading' THEN line WHEN starts_with(line, '#') THEN trim(ltrim(line, '#'), {_BLANKS}) ELSE rtrim(line, ':') END AS line, lag(kind, 1, 'none') OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM kinds)),
 el AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS element, any_value(kind) AS element_type, string_agg(line, chr(10) ORDER BY line_no) AS text FROM runs WHERE kind <> 'blank' GROUP BY doc_id, run)"""
+_TEXT_LINE = "CASE WHEN element_type = 'heading' THEN text WHEN visual THEN element_type || ' original evidence for ' || element_id || ': ' || text WHEN row_index IS NOT NULL THEN 'Row ' || row_index || ': ' || text ELSE text END"
+_EVIDENCE_LINE = "CASE WHEN visual THEN '' WHEN element_type <> 'heading' AND row_index IS NOT NULL THEN 'Row ' || row_index || ': ' || text ELSE text END"
+# Elements as parts, their parents by a walk over the parts of all documents at once.
+PARENTS = f"""WITH RECURSIVE {LAYOUT}, sections AS (SELECT *, last_value(CASE WHEN element_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY element) AS section_title, list_extract(['txt', 'md', 'csv', 'pdf'], CAST(doc_id % 4 + 1 AS INTEGER)) AS source_type FROM el),
+e0 AS (SELECT doc_id, element, doc_id || ':element:' || element AS element_id, CASE WHEN source_type = 'pdf' AND element % 5 = 3 THEN 'table_block' WHEN source_type = 'pdf' AND element % 5 = 4 THEN 'image_caption' ELSE element_type END AS element_type, text, source_type, 'f' || doc_id || '.' || source_type AS file_name,
+  CASE WHEN source_type = 'pdf' THEN element // 6 + 1 END AS page_number, CASE WHEN source_type = 'csv' AND element % 4 <> 3 THEN element + 1 END AS row_index, section_title, CASE WHEN element % 3 = 0 THEN ['P-' || (element % 7)] ELSE [] END AS tags, CASE WHEN source_type = 'pdf' AND element % 5 = 3 THEN 'table' WHEN source_type = 'pdf' AND element % 5 = 4 THEN 'image' ELSE 'text' END AS modality FROM sections),
+e1 AS (SELECT *, modality <> 'text' AS visual, CASE WHEN modality = 'text' THEN NULL WHEN element % 10 = 3 THEN 'short table' ELSE element_type || ' element from ' || file_name || '. Asset tags: ' || CASE WHEN len(tags) > 0 THEN tags[1] ELSE 'none' END || '. Content representation: ' || substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1200) END AS summary FROM e0),
+cut AS (SELECT * REPLACE (CASE WHEN length(text) > 11000 THEN element_id || ':part:' || part ELSE element_id END AS element_id, CASE WHEN length(text) > 11000 THEN trim(substring(text, part * 11000 + 1, 11000), {_BLANKS}) ELSE text END AS text) FROM (SELECT *, unnest(range(CASE WHEN length(text) > 11000 THEN CAST(ceil(length(text) / 11000.0) AS BIGINT) ELSE 1 END)) AS part FROM e1)),
+parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY element, part) AS i, CASE source_type WHEN 'csv' THEN '' WHEN 'pdf' THEN CAST(page_number AS VARCHAR) ELSE coalesce('s' || section_title, '') END AS k FROM cut WHERE text <> ''),
+w AS (SELECT doc_id, i, k, source_type = 'csv' AS csv, CASE WHEN source_type = 'csv' THEN CAST(row_index IS NOT NULL AS INTEGER) ELSE length(text) + 2 END AS weight, CASE WHEN source_type = 'csv' THEN 1 ELSE length(text) END AS after FROM parts),
+walk AS (SELECT doc_id, i, k, weight AS held, 0 AS parent FROM w WHERE i = 1 UNION ALL
+  SELECT w.doc_id, w.i, w.k, CASE WHEN w.k <> walk.k OR walk.held + w.after > CASE WHEN w.csv THEN 1 ELSE 9000 END THEN w.weight ELSE walk.held + w.weight END, CASE WHEN w.k <> walk.k OR walk.held + w.after > CASE WHEN w.csv THEN 1 ELSE 9000 END THEN walk.parent + 1 ELSE walk.parent END FROM walk JOIN w ON w.doc_id = walk.doc_id AND w.i = walk.i + 1),
+said AS (SELECT parts.*, parent, trim({_TEXT_LINE}, {_BLANKS}) AS line, trim({_EVIDENCE_LINE}, {_BLANKS}) AS evidence FROM parts JOIN walk USING (doc_id, i)),
+modal AS (SELECT doc_id, parent, arg_min(modality, (-n, first_at)) AS modality FROM (SELECT doc_id, parent, modality, count(*) AS n, min(i) AS first_at FROM said GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT doc_id, parent, arg_min(section_title, i) FILTER (section_title <> '') AS section, any_value(file_name) AS file_name, any_value(source_type) AS source_type, min(page_number) AS page_start, max(page_number) AS page_end, min(row_index) AS row_start, max(row_index) AS row_end, count(*) AS elements,
+  list_sort(list(DISTINCT element_type)) AS types, list_sort(list_distinct(flatten(list(tags)))) AS tags, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '') AS raw_text, coalesce(string_agg(evidence, chr(10) ORDER BY i) FILTER (evidence <> ''), '') AS text_evidence,
+  count(summary) AS n_summaries, string_agg('- ' || element_type || ' ' || element_id || ': ' || summary, chr(10) ORDER BY i) AS atomic FROM said GROUP BY doc_id, parent),
+q AS (SELECT *, list_sort(list_distinct(list_concat(tags, list_transform(regexp_extract_all(raw_text, '\\b[A-Za-z]{{1,4}}-\\d{{1,4}}[A-Za-z]?\\b'), lambda t: upper(t))))) AS every_tag, CASE WHEN text_evidence <> '' THEN text_evidence ELSE raw_text END AS given, coalesce(array_to_string(nullif(tags, []), ', '), 'the referenced asset') AS about,
+  concat_ws(', ', 'section ' || section, 'pages ' || page_start || '-' || page_end, 'rows ' || row_start || '-' || row_end) AS places FROM p)
+SELECT doc_id, CAST(parent AS INTEGER) AS parent, section, file_name, source_type, modality, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end, CAST(row_start AS INTEGER) AS row_start, CAST(row_end AS INTEGER) AS row_end, CAST(elements AS INTEGER) AS elements, array_to_string(types, '|') AS types, coalesce(array_to_string(tags, '|'), '') AS asset_tags,
+  CAST(length(raw_text) AS INTEGER) AS chars, md5(raw_text) AS digest, md5(text_evidence) AS evidence_digest, CAST(n_summaries AS INTEGER) AS n_summaries,
+  md5(file_name || ' ' || CASE WHEN places <> '' THEN places ELSE 'source location unknown' END || '. Asset tags: ' || coalesce(array_to_string(nullif(every_tag, []), ', '), 'none') || '. Parent evidence summary input: ' || substring(CASE WHEN n_summaries = 0 THEN given ELSE 'Text evidence:' || chr(10) || given || chr(10) || chr(10) || 'Atomic visual summaries:' || chr(10) || atomic END, 1, 1600)) AS summary_digest,
+  md5('What information does ' || coalesce(section, file_name) || ' provide about ' || about || '?|Which checks, actions, or limits are stated for ' || about || ' in this chunk?|What source evidence is available for ' || about || ' in ' || file_name || '?|What status, date, or maintenance detail is mentioned for ' || about || '?|What operational or compliance issue can be answered from this chunk?') AS questions_digest
+FROM q JOIN modal USING (doc_id, parent)"""
+
 _CELL = "CASE WHEN {0} IS NOT NULL AND lower(trim(CAST({0} AS VARCHAR))) NOT IN ('', 'nan', 'none') THEN '{0}: ' || trim(CAST({0} AS VARCHAR)) END"
 _LABEL = "CASE WHEN {0} IS NOT NULL AND trim(CAST({0} AS VARCHAR)) <> '' THEN '''{0}'': ' || trim(CAST({0} AS VARCHAR)) || CASE WHEN regexp_matches(trim(CAST({0} AS VARCHAR)), '[.!?;:]$') THEN '' ELSE '.' END END"
 CELL_ROWS = "cells AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS l_quantity, l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'Open!' ELSE 'nan' END AS status, CASE WHEN l_partkey % 2 = 0 THEN ' 1234-' || l_partkey END AS part_no, l_partkey, l_suppkey, l_extendedprice, l_shipdate FROM lineitem)"
@@ -254,6 +283,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_i
     "file_boosts": f"WITH {QUESTIONS} SELECT item_id, file_name, {_boost('question', 'file_name')} AS file_boost, {SOURCE} AS source_boost FROM q, (SELECT unnest(['work_order_7.txt', 'inspection_report_7.txt', 'sop_7.txt', 'compliance_checklist_7.txt', 'rca_7.txt']) AS file_name)",
     "safe_names": "SELECT page_id, substring(trim(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), '.-'), 1, 64) AS component, substring(ltrim(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), '.'), 1, 200) AS file_name, 'rag-' || substring(sha1(lower(url)), 1, 20) AS stable_id FROM pages",
     "layout_elements": f"WITH {LAYOUT} SELECT doc_id, CAST(element AS INTEGER) AS element, element_type, md5(text) AS digest FROM el",
+    "parent_chunks": PARENTS,
     "chat_summaries": f"WITH {SUMMARIES} SELECT conv_id, CAST(cursor AS BIGINT) AS cursor, CAST(length(summary) AS INTEGER) AS chars, md5(summary) AS digest FROM s",
     "chat_context": f"""WITH {SUMMARIES}, l AS (SELECT conv_id, 0 AS place, 'assistant' AS role, 'Conversation summary: ' || summary AS said FROM s WHERE summary <> '' UNION ALL SELECT conv_id, place, role, said FROM h WHERE place > n - 6)
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n, arg_min(role, place) AS first_role, md5(string_agg(role || ': ' || said, chr(10) ORDER BY place)) AS digest FROM l GROUP BY conv_id""",

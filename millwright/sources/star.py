@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import asset_type
+from ..operators import layout
 
 PREFIXES = {"ECONOMY": "P", "STANDARD": "HX", "SMALL": "V", "MEDIUM": "MTR", "LARGE": "TK", "PROMO": "C"}
 FILES = {"1": "work_order_", "2": "inspection_report_", "3": "sop_", "4": "compliance_checklist_"}
@@ -123,6 +124,21 @@ def symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(tag.alias("tag"), said.alias("symptom"), F.lit("hash").alias("model"))
 
 
+def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of documents as those of txt, md, csv and pdf files in turn, with pages, rows, tags, tables and images."""
+    e = layout.elements(table(spark, sf_dir, "documents"))
+    kind = F.element_at(F.array(*map(F.lit, ["txt", "md", "csv", "pdf"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    n, pdf = F.col("element"), F.col("source_type") == "pdf"
+    e = e.withColumn("source_type", kind)
+    modality = F.when(pdf & (n % 5 == 3), "table").when(pdf & (n % 5 == 4), "image").otherwise("text")
+    element_type = F.when(pdf & (n % 5 == 3), "table_block").when(pdf & (n % 5 == 4), "image_caption").otherwise(F.col("element_type"))
+    return e.select(
+        F.col("doc_id").alias("document_id"), n.alias("position"), F.concat(F.col("doc_id").cast("string"), F.lit(":element:"), n.cast("string")).alias("element_id"), element_type.alias("element_type"), "text", "source_type",
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), "source_type").alias("file_name"), F.when(pdf, F.floor(n / 6).cast("int") + 1).alias("page_number"), F.when((F.col("source_type") == "csv") & (n % 4 != 3), n + 1).alias("row_index"),
+        F.col("section").alias("section_title"), F.when(n % 3 == 0, F.array(F.concat(F.lit("P-"), (n % 7).cast("string")))).otherwise(F.array().cast("array<string>")).alias("asset_tags"), modality.alias("modality"), F.when(pdf & (n % 10 == 3), "short table").alias("element_summary"),
+    )
+
+
 #: What the findings of a mention say after its tag: by (document + 7 * chunk + entity) modulo their number.
 FINDINGS = [
     "test certificate of 01-Feb-2025 expired, Factories Act Section 31.", "calibration overdue by 45 days per ISO 10816:2009.", "calibration is past due.", "vibration exceeds its limit near Q-9901 where a seal failed.",

@@ -62,9 +62,13 @@ def failure_modes(mentions: DataFrame) -> DataFrame:
 
 
 def failure_hotspots(mentions: DataFrame, limit: int = 10) -> DataFrame:
-    """Tags with most failure events, their documents, different modes, last date and coverage: one pass, one shuffle."""
+    """Tags with most failure events, their documents, different modes, last date and coverage. Each text is searched
+    once; a filter on what was found would search it again for each keyword. Documents are counted by a group of their
+    own, summed before it is sent."""
     m, names = _modes(mentions)
-    by = m.withColumn("failed", F.greatest(*names)).where("failed").groupBy("tag").agg(F.count("*").alias("failure_events"), F.countDistinct("document_id").alias("documents"), F.max("created_at").alias("last_failure"), *(F.max(n).alias(n) for n in names))
+    failed = m.withColumn("failed", F.greatest(*names))
+    of_document = failed.groupBy("tag", "document_id").agg(F.count_if("failed").alias("n"), F.max(F.when(F.col("failed"), F.col("created_at"))).alias("last_failure"), *(F.max(n).alias(n) for n in names))
+    by = of_document.groupBy("tag").agg(F.sum("n").alias("failure_events"), F.count_if(F.col("n") > 0).alias("documents"), F.max("last_failure").alias("last_failure"), *(F.max(n).alias(n) for n in names)).where("failure_events > 0")
     different = sum((F.col(n).cast("long") for n in names), F.lit(0).cast("long"))
     out = by.select("tag", "failure_events", "documents", "last_failure", different.alias("distinct_modes"), rules.coverage(F.col("failure_events"), F.col("documents")).alias("coverage"))
     return out.orderBy(F.desc("failure_events"), F.desc("distinct_modes"), "tag").limit(limit)

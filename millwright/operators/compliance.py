@@ -55,17 +55,20 @@ def _found(evidence: DataFrame) -> DataFrame:
     return segments(evidence).withColumn("gap_type", F.explode(hits)).withColumn("days", F.when(days != "", days.cast("int")))
 
 
-def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
-    """tag, gap_type, severity, n_evidence, evidence (chunks of the newest matches), ordered by severity.
+def open_gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
+    """tag, gap_type, severity, n_evidence, different (sentences), evidence (chunks of the newest matches), and span,
+    sentence and line of the newest, in no order.
 
     A gap needs its rule's patterns in one span and no closing evidence in any text of the asset; each text is searched
-    on its own, so that no pattern spans two. Empty evidence gives no gaps.
+    on its own, so that no pattern spans two. The segments are made once and dealt once. Empty evidence gives no gaps.
     """
-    found, order = _found(evidence), newest()
-    by = found.groupBy("tag", "gap_type").agg(F.count("*").alias("n_evidence"), F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"))
-    dated = found.where("days is not null and gap_type = 'calibration_overdue'").withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy(*order))).where("r = 1").select("tag", "gap_type", "days")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("tag", "gap_type").orderBy(*order))).where(F.col("r") <= most_evidence)
-    cited = best.groupBy("tag", "gap_type").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("c")))).alias("e"))
+    place = F.row_number().over(Window.partitionBy("tag", "gap_type").orderBy(*newest()))
+    found = _found(evidence).withColumn("r", place)
+    cited = F.struct("r", F.concat_ws("-", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("c"))
+    by = found.groupBy("tag", "gap_type").agg(
+        F.count("*").alias("n_evidence"), F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"), F.min_by("days", F.when(F.col("days").isNotNull(), F.col("r"))).alias("days"),
+        F.array_sort(F.collect_list(F.when(F.col("r") <= most_evidence, cited))).alias("e"), F.min_by(F.struct("span", "sentence", "line"), "r").alias("first"),
+    )
     corpus = F.lower("text")
     closed = [r for r in rules.GAPS if r.closed]
     flags = evidence.groupBy("tag").agg(*(F.max(corpus.rlike(r.closed)).alias(r.name) for r in closed))
@@ -76,25 +79,26 @@ def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
             open_gap = open_gap & ((F.col("gap_type") != r.name) | ~F.coalesce(F.col(r.name), F.lit(False)))
         if r.at_least > 1:
             open_gap = open_gap & ((F.col("gap_type") != r.name) | (F.col("different") >= r.at_least))
-    severity = F.when(F.col("days") >= rules.LONG_OVERDUE, "high").otherwise(severity)
-    out = by.join(flags, "tag").where(open_gap).join(dated, ["tag", "gap_type"], "left").join(cited, ["tag", "gap_type"])
-    out = out.select("tag", "gap_type", severity.alias("severity"), "n_evidence", F.expr("array_join(transform(e, x -> x.c), '|')").alias("evidence"))
-    return out.orderBy(F.desc(rules.severity_rank(F.col("severity"))), "tag", "gap_type")
+    severity = F.when((F.col("gap_type") == "calibration_overdue") & (F.col("days") >= rules.LONG_OVERDUE), "high").otherwise(severity)
+    out = by.join(flags, "tag").where(open_gap)
+    return out.select("tag", "gap_type", severity.alias("severity"), "n_evidence", "different", F.expr("array_join(transform(e, x -> x.c), '|')").alias("evidence"), "first.*")
+
+
+def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
+    """tag, gap_type, severity, n_evidence, evidence of the open gaps, ordered by severity."""
+    found = open_gaps(evidence, most_evidence).select("tag", "gap_type", "severity", "n_evidence", "evidence")
+    return found.orderBy(F.desc(rules.severity_rank(F.col("severity"))), "tag", "gap_type")
 
 
 def gap_counts(evidence: DataFrame) -> DataFrame:
     """gap_type, severity, gaps, assets."""
-    return gaps(evidence).groupBy("gap_type", "severity").agg(F.count("*").alias("gaps"), F.countDistinct("tag").alias("assets"))
+    return open_gaps(evidence).groupBy("gap_type", "severity").agg(F.count("*").alias("gaps"), F.countDistinct("tag").alias("assets"))
 
 
 def gap_records(evidence: DataFrame) -> DataFrame:
     """tag, gap_type, severity, certified (the date of an expired certificate), standard (of the newest match's line),
     reason, action, said (its sentence, cut)."""
-    order = Window.partitionBy("tag", "gap_type").orderBy(*newest())
-    found = _found(evidence)
-    first = found.withColumn("r", F.row_number().over(order)).where("r = 1").select("tag", "gap_type", "span", "sentence", "line")
-    said = found.groupBy("tag", "gap_type").agg(F.countDistinct(F.lower(F.substring("sentence", 1, 60))).alias("different"))
-    each = gaps(evidence).select("tag", "gap_type", "severity").join(first, ["tag", "gap_type"]).join(said, ["tag", "gap_type"])
+    each = open_gaps(evidence)
     text = lambda kind: F.element_at(F.create_map(*(F.lit(x) for g, t in rules.GAP_TEXTS.items() for x in (g, t[kind]))), F.col("gap_type"))
     filled = lambda kind: F.replace(F.replace(text(kind), F.lit("{tag}"), F.col("tag")), F.lit("{n}"), F.col("different").cast("string"))
     certified = F.when(F.col("gap_type") == "certificate_expired", facts.first_date(F.col("span")))
@@ -112,5 +116,5 @@ def filtered(gaps_: DataFrame, tag: str | None = None, severity: str | None = No
 def gap_tabs(evidence: DataFrame) -> DataFrame:
     """tab, gaps: counts of certificates, of what is overdue, of severe gaps and of pumps'."""
     tabs = {"certificates": F.col("gap_type").startswith("certificate"), "overdue": F.col("gap_type").isin("calibration_overdue", "inspection_overdue", "sop_review_overdue"), "severe": F.col("severity") == "high", "pumps": F.col("tag").startswith("P-")}
-    one = gaps(evidence).agg(*(F.count_if(c).alias(n) for n, c in tabs.items()))
+    one = open_gaps(evidence).agg(*(F.count_if(c).alias(n) for n, c in tabs.items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("tab"), F.col(n).alias("gaps")) for n in tabs))).alias("t")).select("t.*")

@@ -33,12 +33,37 @@ def categories(outcomes_: DataFrame) -> DataFrame:
     return outcomes_.groupBy("category").agg(F.count("*").alias("questions"))
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
-    """by, n, mean, percentile: of each group's values in order that of number share * (n - 1), rounded to even. The values
-    are ranked by a window, so that none is gathered in one row."""
-    w = Window.partitionBy(by)
-    each = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"), F.avg(value).over(w).alias("mean"))
-    return each.where(F.col("r") == F.bround(share * (F.col("n") - 1), 0).cast("long") + 1).select(by, "n", F.round("mean", 4).alias("mean"), F.round(value, 4).alias("percentile"))
+#: Ranges that a group's values are counted in, and rows of a range that may be ranked at once.
+RANGES, MOST_RANKED = 1024, 10_000
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, share: float = 0.95, most_ranked: int = MOST_RANKED) -> DataFrame:
+    """by, n, mean, percentile: of each group's values in order that of number share * (n - 1), rounded to even.
+
+    A group's values are counted by range, which each task sums before it sends them; only the range that holds the rank
+    is looked into again, until it has few different values or one. So no task gets a whole group. Values are finite
+    numbers; null ones don't count. A null group is a group. An empty table gives an empty one.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+    stats = given.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    wanted = stats.withColumn("rank", F.bround(share * (F.col("n") - 1), 0).cast("long") + 1).withColumn("held", F.col("n"))
+    while (wanted.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("held")))).first()[0] or 0) > most_ranked:
+        width = F.when(F.col("low") < F.col("high"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES)).otherwise(0)
+        counted = _within(given, wanted).withColumn("at", width).groupBy("g", "at").agg(F.count("*").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
+        w = Window.partitionBy("g").orderBy("at")  # RANGES rows a group
+        until = counted.withColumn("until", F.sum("held").over(w)).join(wanted.select(F.col("g").alias("_g"), "n", "mean", "rank"), F.col("g").eqNullSafe(F.col("_g")))
+        chosen = until.where("rank <= until and rank > until - held").withColumn("rank", F.col("rank") - F.col("until") + F.col("held"))
+        wanted = chosen.select("g", "n", "mean", "low", "high", "rank", "held")
+    values = _within(given, wanted).groupBy("g", "v").agg(F.count("*").alias("held"), F.first("rank").alias("rank"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+    until = F.sum("held").over(Window.partitionBy("g").orderBy("v"))  # a range of few values
+    found = values.withColumn("until", until).where("rank <= until and rank > until - held")
+    return found.select(F.col("g").alias(by), "n", F.round("mean", 4).alias("mean"), F.round("v", 4).alias("percentile"))
+
+
+def _within(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Values between low and high of their group, with what is wanted there."""
+    w = wanted.select(F.col("g").alias("_g"), "n", "mean", "low", "high", "rank")
+    return given.join(w, F.col("g").eqNullSafe(F.col("_g"))).where("v between low and high").drop("_g")
 
 
 def precision_recall(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

@@ -98,6 +98,14 @@ def numbered(rows: DataFrame, document: str, order: list[str], key: Column, weig
     return rows.select("*", *own).repartition(document).sortWithinPartitions(document, *order).mapInArrow(run, schema)
 
 
+def page_texts(elements: DataFrame) -> DataFrame:
+    """document_id, page_number, page_id, text of each page: its elements' texts in order, a line each. Elements without
+    a page are on none; a null text is an empty line."""
+    entry = F.struct("position", F.coalesce("text", F.lit("")).alias("text"))
+    by = elements.where("page_number is not null").groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), "\n").alias("text"))
+    return by.select("document_id", "page_number", F.sha1(F.concat_ws(":", "document_id", "page_number").cast("binary")).alias("page_id"), "text")
+
+
 def parents(elements: DataFrame, target: int = TARGET_CHARS, csv_rows: int = CSV_ROWS) -> DataFrame:
     """document_id, parent (from 0), raw_text, text_evidence, file_name, source_type (of several 'unknown'), page_start,
     page_end, row_start, row_end, section_title (the first that isn't blank), element_ids, element_types, asset_tags

@@ -127,7 +127,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pumps and motors with '1' in their tag and their risk; assets without mentions have none."""
-    risk = analytics.risk(star.mentions(spark, sf_dir).where("document_id % 50 = 1")).select("tag", "level", "score", "last_seen")
+    risk = analytics.risk(star.mentions(spark, sf_dir)).select("tag", "level", "score", "last_seen")
     found = star.assets(spark, sf_dir).select("tag", "asset_type").distinct().where(F.contains(F.lower("tag"), F.lit("1")) & F.col("asset_type").isin("pump", "motor"))
     return found.join(risk, "tag", "left").select("tag", "asset_type", F.coalesce("level", F.lit("low")).alias("level"), "score", "last_seen").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_seen"), "tag")
 
@@ -290,7 +290,7 @@ CASE gap_type {' '.join(f"WHEN '{k}' THEN replace(replace('{v[0]}', '{{tag}}', t
 FROM gaps g JOIN one USING (tag, gap_type) JOIN d USING (tag, gap_type)""",
     "gap_tabs": f"""{GAPS} SELECT 'certificates' AS tab, count(*) AS gaps FROM gaps WHERE starts_with(gap_type, 'certificate') UNION ALL SELECT 'overdue', count(*) FROM gaps WHERE gap_type IN ('calibration_overdue', 'inspection_overdue', 'sop_review_overdue')
 UNION ALL SELECT 'severe', count(*) FROM gaps WHERE severity = 'high' UNION ALL SELECT 'pumps', count(*) FROM gaps WHERE starts_with(tag, 'P-')""",
-    "asset_browse": f"""{RISK.replace("CAST(p_partkey % 10000 AS VARCHAR) AS tag FROM part", "CAST(p_partkey % 10000 AS VARCHAR) AS tag FROM part").replace("FROM star GROUP BY tag)", "FROM star WHERE document_id % 50 = 1 GROUP BY tag)", 1)}
+    "asset_browse": f"""{RISK}
 SELECT a.tag, a.asset_type, coalesce(level, 'low') AS level, score, last_seen FROM (SELECT DISTINCT tag, asset_type FROM assets WHERE contains(tag, '1') AND asset_type IN ('pump', 'motor')) a LEFT JOIN risk USING (tag)""",
     "asset_autocomplete": f"{STAR} SELECT DISTINCT tag FROM assets WHERE contains(lower(tag), 'p-1') ORDER BY tag LIMIT 5",
     "asset_types": f"{STAR} SELECT asset_type, count(DISTINCT tag) AS assets FROM assets WHERE asset_type IS NOT NULL GROUP BY asset_type",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts
 from ..functions import text as tx
-from ..operators import conversation, evaluation, hybrid, layout, parents, retrieval, work_orders
+from ..operators import conversation, evaluation, hybrid, layout, metadata, parents, retrieval, work_orders
 from ..sources import files, star
 from ..streaming import events as stream
 from .sql import STAR
@@ -72,6 +72,16 @@ def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metadata.chunk_fields(star.chunk_metadata(spark, sf_dir))
+    return m.select("chunk_id", "parent_chunk_id", "retrieval_unit_id", "file_name", "source_path", "source_type", "section_title", "modality", "page_start", "page_end", "row_start", F.array_join("asset_tags", "|").alias("asset_tags"), F.array_join("questions", "|").alias("questions"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parents.page_texts(star.layout_elements(spark, sf_dir))
+    return p.select(F.col("document_id").alias("doc_id"), "page_number", "page_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = conversation.summaries(star.table(spark, sf_dir, "conversations"))
     return s.select("conv_id", "cursor", F.length("summary").alias("chars"), F.md5(F.col("summary").cast("binary")).alias("digest"))
@@ -149,6 +159,8 @@ QUERIES: dict[str, Query] = {
     "safe_names": _names,
     "layout_elements": _layout,
     "parent_chunks": _parents,
+    "chunk_metadata": _metadata,
+    "page_texts": _pages,
     "chat_summaries": _summaries,
     "chat_context": _context,
     "chat_titles": _sessions,
@@ -284,6 +296,10 @@ SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(i AS INTEGER) AS chunk_i
     "safe_names": "SELECT page_id, substring(trim(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), '.-'), 1, 64) AS component, substring(ltrim(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), '.'), 1, 200) AS file_name, 'rag-' || substring(sha1(lower(url)), 1, 20) AS stable_id FROM pages",
     "layout_elements": f"WITH {LAYOUT} SELECT doc_id, CAST(element AS INTEGER) AS element, element_type, md5(text) AS digest FROM el",
     "parent_chunks": PARENTS,
+    "page_texts": f"WITH {LAYOUT} SELECT doc_id, CAST(element // 6 + 1 AS INTEGER) AS page_number, sha1(doc_id || ':' || (element // 6 + 1)) AS page_id, md5(string_agg(text, chr(10) ORDER BY element)) AS digest FROM el WHERE doc_id % 4 = 3 GROUP BY doc_id, element // 6",
+    "chunk_metadata": """WITH m AS (SELECT doc_id, doc_id % 4 < 3 AS good, doc_id % 4 AS layout FROM documents)
+SELECT doc_id AS chunk_id, CASE WHEN good THEN 'p' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS parent_chunk_id, doc_id || ':summary:0' AS retrieval_unit_id, CASE WHEN good THEN 'f' || doc_id || '.txt' ELSE 'd' || doc_id END AS file_name, '/d/' || doc_id AS source_path, CASE WHEN good THEN 'txt' END AS source_type, CASE WHEN good THEN 'S' || doc_id END AS section_title,
+CASE WHEN layout = 1 THEN 'table' END AS modality, CASE WHEN good THEN CAST(doc_id AS INTEGER) END AS page_start, CASE WHEN good THEN CAST(doc_id AS INTEGER) END AS page_end, CAST(NULL AS INTEGER) AS row_start, CASE WHEN good THEN 'C-' || doc_id || '|HX-1|P-' || doc_id ELSE '' END AS asset_tags, CASE WHEN good THEN 'what is ' || doc_id || '?' ELSE '' END AS questions FROM m""",
     "chat_summaries": f"WITH {SUMMARIES} SELECT conv_id, CAST(cursor AS BIGINT) AS cursor, CAST(length(summary) AS INTEGER) AS chars, md5(summary) AS digest FROM s",
     "chat_context": f"""WITH {SUMMARIES}, l AS (SELECT conv_id, 0 AS place, 'assistant' AS role, 'Conversation summary: ' || summary AS said FROM s WHERE summary <> '' UNION ALL SELECT conv_id, place, role, said FROM h WHERE place > n - 6)
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n, arg_min(role, place) AS first_role, md5(string_agg(role || ': ' || said, chr(10) ORDER BY place)) AS digest FROM l GROUP BY conv_id""",

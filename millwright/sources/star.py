@@ -139,6 +139,19 @@ def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks whose metadata is flat, nested, or with lists, in turn; of every fourth it isn't JSON."""
+    i = F.col("doc_id").cast("string")
+    layouts = [
+        '{"parent_chunk_id": "p#", "file_name": "f#.txt", "source_type": "txt", "page_start": #, "page_end": "#", "asset_tags": ["P-#", "HX-1"], "parent_summary_asset_tags": ["C-#", "P-#"], "section_title": "S#", "answerable_questions": ["what is #?"], "modality": ""}',
+        '{"parent": {"id": "p#", "section": "S#", "pages": {"first": #, "last": #}, "tags": ["P-#", "HX-1"], "modality": "table"}, "source": {"file": "f#.txt", "type": "txt"}, "unit": {"tags": ["C-#"], "questions": ["what is #?"]}}',
+        '{"parent": "p#", "source_file": "f#.txt", "source_type": "txt", "pages": [#, #], "tags": ["P-#", "HX-1", "C-#", null], "section": "S#", "questions": ["what is #?"], "row_start": {}}',
+        '{"parent_chunk_id": "p#',
+    ]
+    text = F.element_at(F.array(*map(F.lit, layouts)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 40).alias("document_id"), F.lit(0).alias("chunk_index"), F.replace(text, F.lit("#"), i).alias("metadata"), F.concat(F.lit("d"), i).alias("original_filename"), F.concat(F.lit("/d/"), i).alias("storage_path"))
+
+
 #: What the findings of a mention say after its tag: by (document + 7 * chunk + entity) modulo their number.
 FINDINGS = [
     "test certificate of 01-Feb-2025 expired, Factories Act Section 31.", "calibration overdue by 45 days per ISO 10816:2009.", "calibration is past due.", "vibration exceeds its limit near Q-9901 where a seal failed.",

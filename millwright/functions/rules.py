@@ -86,13 +86,15 @@ GAPS = [
 ]
 # What a gap's record says: reason and recommended action; {n}: different sentences.
 GAP_TEXTS = {
-    "certificate_expired": ("Evidence records an expired test/inspection certificate for {tag}.", "Contact the approved inspection authority to renew the certificate and withhold {tag} from certified service until a valid certificate is on file."),
-    "calibration_overdue": ("Instrument calibration for {tag} is overdue per the evidence on file.", "Schedule and complete the overdue calibration for {tag}, then record the result to restore compliant status."),
+    "certificate_expired": ("Evidence records an expired test/inspection certificate for {tag}.{date} Operating without a valid certificate is a regulatory non-conformance.", "Contact the approved inspection authority to renew the certificate and withhold {tag} from certified service until a valid certificate is on file."),
+    "calibration_overdue": ("Instrument calibration for {tag} is overdue per the evidence on file.{overdue}", "Schedule and complete the overdue calibration for {tag}, then record the result to restore compliant status."),
     "inspection_overdue": ("{tag} shows a vibration exceedance flagged for follow-up, but the evidence contains no record of a completed follow-up inspection/alignment closing it out.", "Complete the required follow-up inspection (e.g. laser alignment / re-baseline) for {tag} and record closure of the exceedance."),
     "sop_review_overdue": ("The procedure/SOP associated with {tag} is past its scheduled review date per the evidence on file.", "Complete the periodic review and re-approval of the {tag} procedure and update its revision/approval record."),
     "repeated_failure_no_rca": ("{tag} has repeated failure/corrective evidence ({n} distinct events) but the evidence contains no recorded root-cause analysis.", "Raise and document a formal root-cause analysis for the recurring failures on {tag} and link corrective actions to it."),
     "safety_procedure_missing": ("{tag} has safety-critical maintenance evidence, but no LOTO / lockout-tagout or equivalent safety-isolation procedure is referenced in the evidence.", "Attach the applicable LOTO / permit-to-work procedure to the {tag} maintenance records before the work is authorised."),
 }
+# What a reason says of a certificate's date and of the days that a calibration is overdue.
+DATE_NOTE, OVERDUE_NOTE = (" The certificate date on file (", ") is in the past relative to ", "."), (" It is overdue by ", " days.")
 OVERDUE_DAYS = r"overdue\s+by\s+(\d{1,4})\s+days?"
 LONG_OVERDUE = 30
 

@@ -56,7 +56,7 @@ def _found(evidence: DataFrame) -> DataFrame:
 
 
 def open_gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
-    """tag, gap_type, severity, n_evidence, different (sentences), evidence (chunks of the newest matches), and span,
+    """tag, gap_type, severity, n_evidence, different (sentences), days (overdue, of the newest match that says so), evidence (chunks of the newest matches), and span,
     sentence and line of the newest, in no order.
 
     A gap needs its rule's patterns in one span and no closing evidence in any text of the asset; each text is searched
@@ -81,7 +81,7 @@ def open_gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
             open_gap = open_gap & ((F.col("gap_type") != r.name) | (F.col("different") >= r.at_least))
     severity = F.when((F.col("gap_type") == "calibration_overdue") & (F.col("days") >= rules.LONG_OVERDUE), "high").otherwise(severity)
     out = by.join(flags, "tag").where(open_gap)
-    return out.select("tag", "gap_type", severity.alias("severity"), "n_evidence", "different", F.expr("array_join(transform(e, x -> x.c), '|')").alias("evidence"), "first.*")
+    return out.select("tag", "gap_type", severity.alias("severity"), "n_evidence", "different", "days", F.expr("array_join(transform(e, x -> x.c), '|')").alias("evidence"), "first.*")
 
 
 def gaps(evidence: DataFrame, most_evidence: int = 3) -> DataFrame:
@@ -95,14 +95,19 @@ def gap_counts(evidence: DataFrame) -> DataFrame:
     return open_gaps(evidence).groupBy("gap_type", "severity").agg(F.count("*").alias("gaps"), F.countDistinct("tag").alias("assets"))
 
 
-def gap_records(evidence: DataFrame) -> DataFrame:
+def gap_records(evidence: DataFrame, today: Column | None = None) -> DataFrame:
     """tag, gap_type, severity, certified (the date of an expired certificate), standard (of the newest match's line),
-    reason, action, said (its sentence, cut)."""
+    reason, action, said (its sentence, cut). today: what dates are compared with, in UTC unless it is given."""
+    today = F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())) if today is None else today
     each = open_gaps(evidence)
     text = lambda kind: F.element_at(F.create_map(*(F.lit(x) for g, t in rules.GAP_TEXTS.items() for x in (g, t[kind]))), F.col("gap_type"))
     filled = lambda kind: F.replace(F.replace(text(kind), F.lit("{tag}"), F.col("tag")), F.lit("{n}"), F.col("different").cast("string"))
     certified = F.when(F.col("gap_type") == "certificate_expired", facts.first_date(F.col("span")))
-    return each.select("tag", "gap_type", "severity", certified.alias("certified"), facts.standard(F.col("line")).alias("standard"), filled(0).alias("reason"), filled(1).alias("action"), facts.cut(F.col("sentence"), 320, "…").alias("said"))
+    a, b, c = map(F.lit, rules.DATE_NOTE)
+    dated = F.coalesce(F.concat(a, certified.cast("string"), b, today.cast("string"), c), F.lit(""))
+    late = F.coalesce(F.when(F.col("days") > 0, F.concat(F.lit(rules.OVERDUE_NOTE[0]), F.col("days").cast("string"), F.lit(rules.OVERDUE_NOTE[1]))), F.lit(""))
+    reason = F.replace(F.replace(filled(0), F.lit("{date}"), dated), F.lit("{overdue}"), late)
+    return each.select("tag", "gap_type", "severity", certified.alias("certified"), facts.standard(F.col("line")).alias("standard"), reason.alias("reason"), filled(1).alias("action"), facts.cut(F.col("sentence"), 320, "…").alias("said"))
 
 
 def filtered(gaps_: DataFrame, tag: str | None = None, severity: str | None = None, gap_type: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import search
+
 
 def ranked_files(hits: DataFrame) -> DataFrame:
     """item_id, files: distinct file names of each question's hits (item_id, rank, file_name), in order."""
@@ -33,6 +35,45 @@ def categories(outcomes_: DataFrame) -> DataFrame:
     return outcomes_.groupBy("category").agg(F.count("*").alias("questions"))
 
 
+def answer_outcomes(questions: DataFrame, answers: DataFrame, corpus: DataFrame, evidence: DataFrame) -> DataFrame:
+    """item_id, expected, place (of the expected file among the cited ones, 0 if it isn't), answerable, has_asset,
+    asset_hit, source_hit, cited, confidence, category of each question.
+
+    questions: item_id, file_name (expected), asset; answers: item_id, citations (distinct files, in order), confidence;
+    corpus: file_name; evidence: item_id, tags, text of the chunks behind the answers. An asset is hit if one of them is
+    tagged with it or names it as a whole word, in any case. A question without an answer counts as one that found
+    nothing. A source hit takes file names in any case; a null or blank asset is none.
+    """
+    there = corpus.select("file_name").distinct().withColumn("answerable", F.lit(True))
+    asset = F.nullif(F.upper(F.trim("asset")), F.lit(""))
+    q = questions.select("item_id", F.col("file_name"), asset.alias("asset")).join(there, "file_name", "left").join(answers.select("item_id", "citations", "confidence"), "item_id", "left")
+    named = search.names(F.coalesce("text", F.lit("")), F.col("asset")) | F.coalesce(F.exists("tags", lambda t: F.upper(F.trim(t)) == F.col("asset")), F.lit(False))
+    hit = evidence.join(q.select("item_id", "asset").where("asset is not null"), "item_id").groupBy("item_id").agg(F.max(named).alias("asset_hit"))
+    files = F.coalesce("citations", F.array().cast("array<string>"))
+    at = F.coalesce(F.array_position(files, F.col("file_name")), F.lit(0)).cast("int")
+    source = F.coalesce(F.array_contains(F.transform(files, F.lower), F.lower("file_name")), F.lit(False))
+    answerable = F.coalesce("answerable", F.lit(False))
+    category = F.when(at.between(1, 3), "pass").when(~answerable, "expected_source_absent_from_corpus").when(at > 3, "correct_document_outside_top3").otherwise("correct_document_not_retrieved")
+    return q.join(hit, "item_id", "left").select(
+        "item_id", F.col("file_name").alias("expected"), at.alias("place"), answerable.alias("answerable"), F.col("asset").isNotNull().alias("has_asset"), F.coalesce("asset_hit", F.lit(False)).alias("asset_hit"), source.alias("source_hit"),
+        (F.size(files) > 0).alias("cited"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), category.alias("category"),
+    )
+
+
+def answer_rates(outcomes_: DataFrame) -> DataFrame:
+    """One row: questions, answerable, top1_rate, top3_rate, asset_hit_rate (of questions with an asset), asset_questions,
+    answerable_top1, answerable_top3, answerable_asset_hit_rate, answerable_asset_questions, failed, source_hit_rate,
+    citation_rate, mean_confidence. Rates of nothing are 0."""
+    top1, top3, ok = F.col("place") == 1, F.col("place").between(1, 3), F.col("answerable")
+    share = lambda hit, of=F.lit(True): F.round(F.coalesce(F.avg(F.when(of, hit.cast("double"))), F.lit(0.0)), 4)
+    asset = F.col("has_asset")
+    return outcomes_.agg(
+        F.count("*").alias("questions"), F.count_if(ok).alias("answerable"), share(top1).alias("top1_rate"), share(top3).alias("top3_rate"), share(F.col("asset_hit"), asset).alias("asset_hit_rate"), F.count_if(asset).alias("asset_questions"),
+        share(top1, ok).alias("answerable_top1"), share(top3, ok).alias("answerable_top3"), share(F.col("asset_hit"), asset & ok).alias("answerable_asset_hit_rate"), F.count_if(asset & ok).alias("answerable_asset_questions"),
+        F.count_if(~top3).alias("failed"), share(F.col("source_hit")).alias("source_hit_rate"), share(F.col("cited")).alias("citation_rate"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("mean_confidence"),
+    )
+
+
 #: Ranges that a group's values are counted in, and rows of a range that may be ranked at once.
 RANGES, MOST_RANKED = 1024, 10_000
 

@@ -138,3 +138,17 @@ def to_embed(chunks: DataFrame, active: str, force: bool = False) -> DataFrame:
     stale = F.lit(True) if force else ~F.col("embedding_model").eqNullSafe(active)
     said = F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.col("text"))
     return chunks.where(stale & F.col("text").isNotNull()).select("chunk_id", said.alias("text"))
+
+
+def document_details(documents: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """document_id, filename, assets (tags that the document mentions, sorted) and entities (those that its mentions name,
+    by id) of each document, also of one without mentions.
+
+    One group by document, distinct before it is sent, takes the place of a lookup for each asset and document.
+    """
+    pairs = mentions.where("document_id is not null").select("document_id", "tag", "entity_id").distinct()
+    named = pairs.join(entities.select("entity_id", F.col("name").alias("entity")), "entity_id", "left")
+    by = named.groupBy("document_id").agg(F.array_sort(F.collect_set("tag")).alias("assets"), F.array_sort(F.collect_set(F.when(F.col("entity").isNotNull(), F.struct("entity_id", "entity")))).alias("entities"))
+    none = F.array().cast("array<string>")
+    names = F.transform("entities", lambda x: x["entity"])
+    return documents.select("document_id", "filename").join(by, "document_id", "left").select("document_id", "filename", F.coalesce("assets", none).alias("assets"), F.coalesce(names, none).alias("entities"))

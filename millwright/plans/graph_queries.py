@@ -132,6 +132,12 @@ def _browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(risk, "tag", "left").select("tag", "asset_type", F.coalesce("level", F.lit("low")).alias("level"), "score", "last_seen").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_seen"), "tag")
 
 
+def _document_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = star.gone(spark, sf_dir)
+    d = graph.document_details(star.documents(spark, sf_dir), g["mentions"].where("document_id % 3 <> 0"), g["entities"])
+    return d.select("document_id", "filename", F.array_join("assets", "|").alias("assets"), F.array_join("entities", "|").alias("entities"))
+
+
 def _autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.assets(spark, sf_dir).select("tag").distinct().where(F.contains(F.lower("tag"), F.lit("p-1"))).orderBy("tag").limit(5)
 
@@ -179,9 +185,10 @@ QUERIES: dict[str, Query] = {
     "failure_intelligence": lambda s, d: causes.failure_intelligence(star.mentions(s, d)),
     "root_causes": _root_causes,
     "evidence_packages": _packages,
-    "gap_records": lambda s, d: compliance.gap_records(star.findings(s, d)).withColumn("certified", F.col("certified").cast("string")),
+    "gap_records": lambda s, d: compliance.gap_records(star.findings(s, d), F.lit("2025-03-01").cast("date")).withColumn("certified", F.col("certified").cast("string")),
     "gap_tabs": lambda s, d: compliance.gap_tabs(star.findings(s, d)),
     "asset_browse": _browse,
+    "document_details": _document_details,
     "asset_autocomplete": _autocomplete,
     "asset_types": _types,
     "latest_modes": _latest_modes,
@@ -286,10 +293,13 @@ SELECT tag, failure_events, documents, coalesce(array_to_string(list_transform(m
     "evidence_packages": PACKAGES,
     "gap_records": f"""{GAPS}, one AS (SELECT f.tag, f.gap_type, f.span, f.tag || ' ' || f.said AS sentence FROM found f WHERE r = 1), d AS (SELECT tag, gap_type, count(DISTINCT lower(substring(tag || ' ' || said, 1, 60))) AS n FROM found GROUP BY tag, gap_type)
 SELECT tag, gap_type, g.severity, CASE WHEN gap_type = 'certificate_expired' AND contains(span, '01-Feb-2025') THEN '2025-02-01' END AS certified, CASE WHEN contains(sentence, 'Factories Act Section 31') THEN 'Factories Act Section 31' WHEN contains(sentence, 'ISO 10816:2009') THEN 'ISO 10816:2009' END AS standard,
-CASE gap_type {' '.join(f"WHEN '{k}' THEN replace(replace('{v[0]}', '{{tag}}', tag), '{{n}}', CAST(n AS VARCHAR))" for k, v in rules.GAP_TEXTS.items())} END AS reason, CASE gap_type {' '.join(f"WHEN '{k}' THEN replace('{v[1]}', '{{tag}}', tag)" for k, v in rules.GAP_TEXTS.items())} END AS action, sentence AS said
-FROM gaps g JOIN one USING (tag, gap_type) JOIN d USING (tag, gap_type)""",
+CASE gap_type {' '.join(f"WHEN '{k}' THEN replace(replace(replace(replace('{v[0]}', '{{tag}}', tag), '{{n}}', CAST(d.n AS VARCHAR)), '{{date}}', CASE WHEN contains(span, '01-Feb-2025') THEN ' The certificate date on file (2025-02-01) is in the past relative to 2025-03-01.' ELSE '' END), '{{overdue}}', coalesce(' It is overdue by ' || CAST(x.days AS VARCHAR) || ' days.', ''))" for k, v in rules.GAP_TEXTS.items())} END AS reason, CASE gap_type {' '.join(f"WHEN '{k}' THEN replace('{v[1]}', '{{tag}}', tag)" for k, v in rules.GAP_TEXTS.items())} END AS action, sentence AS said
+FROM gaps g JOIN one USING (tag, gap_type) JOIN d USING (tag, gap_type) JOIN (SELECT tag, gap_type, days FROM g) x USING (tag, gap_type)""",
     "gap_tabs": f"""{GAPS} SELECT 'certificates' AS tab, count(*) AS gaps FROM gaps WHERE starts_with(gap_type, 'certificate') UNION ALL SELECT 'overdue', count(*) FROM gaps WHERE gap_type IN ('calibration_overdue', 'inspection_overdue', 'sop_review_overdue')
 UNION ALL SELECT 'severe', count(*) FROM gaps WHERE severity = 'high' UNION ALL SELECT 'pumps', count(*) FROM gaps WHERE starts_with(tag, 'P-')""",
+    "document_details": f"""{STAR}, m AS (SELECT DISTINCT document_id, tag, entity_id FROM star WHERE document_id % 3 <> 0),
+a AS (SELECT document_id, string_agg(DISTINCT tag, '|' ORDER BY tag) AS assets FROM m GROUP BY document_id), e AS (SELECT document_id, string_agg(s_name, '|' ORDER BY entity_id) AS entities FROM (SELECT DISTINCT document_id, entity_id, s_name FROM m JOIN supplier ON s_suppkey = entity_id WHERE entity_id % 7 <> 0) GROUP BY document_id)
+SELECT document_id, filename, coalesce(assets, '') AS assets, coalesce(entities, '') AS entities FROM docs LEFT JOIN a USING (document_id) LEFT JOIN e USING (document_id)""",
     "asset_browse": f"""{RISK}
 SELECT a.tag, a.asset_type, coalesce(level, 'low') AS level, score, last_seen FROM (SELECT DISTINCT tag, asset_type FROM assets WHERE contains(tag, '1') AND asset_type IN ('pump', 'motor')) a LEFT JOIN risk USING (tag)""",
     "asset_autocomplete": f"{STAR} SELECT DISTINCT tag FROM assets WHERE contains(lower(tag), 'p-1') ORDER BY tag LIMIT 5",

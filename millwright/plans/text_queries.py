@@ -143,6 +143,15 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.outcomes(_expected(spark, sf_dir), hits, p)
 
 
+def _answer_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the answers do: the benchmark through retrieval, fusion, selection and answers."""
+    p, q = star.passages(spark, sf_dir), star.questions(spark, sf_dir)
+    asset = F.when(F.col("item_id") % 5 != 4, F.concat(F.lit("p-"), (F.col("item_id") % 50).cast("string")))
+    expected = _expected(spark, sf_dir).withColumn("asset", asset)
+    evidence = hybrid.diverse(p, q).join(p.select("chunk_id", "tags", "text"), "chunk_id")
+    return evaluation.answer_rates(evaluation.answer_outcomes(expected, hybrid.answers(p, q), p, evidence))
+
+
 def _sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors cut to 16 places and padded to 70, each of length 1, by their first and last values and length."""
     v = star.table(spark, sf_dir, "embeddings")
@@ -175,6 +184,7 @@ QUERIES: dict[str, Query] = {
     "rag_answers": _answers,
     "retrieval_rates": lambda s, d: evaluation.rates(_outcomes(s, d)),
     "retrieval_categories": lambda s, d: evaluation.categories(_outcomes(s, d)),
+    "answer_rates": _answer_rates,
     "value_p95": lambda s, d: evaluation.nearest_rank(star.table(s, d, "events"), "event_type", "value"),
     "fitted_vectors": _sort_key,
     "event_windows": lambda s, d: stream.windowed(star.table(s, d, "events")).select("start", "event_type", "events", F.round("total", 4).alias("total")),

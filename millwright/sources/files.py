@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import facts
+from .snapshots import exists
 
 # Kinds of files by extension and by content type; cells that say nothing.
 EXTENSIONS = {"txt": "txt", "md": "md", "markdown": "md", "csv": "csv", "json": "json", "jsonl": "json", "pdf": "pdf", "xlsx": "xlsx", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "bmp": "image", "tif": "image", "tiff": "image"}
@@ -39,8 +40,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Da
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; a line that isn't JSON gives no row."""
-    rows = spark.read.schema(f"{schema}, _bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").cache()
-    return rows.where("_bad is null").drop("_bad")
+    row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(row.alias("r")).where("r._bad is null").select("r.*").drop("_bad")
 
 
 def manual_summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -80,13 +82,8 @@ def row_chunks(rows: DataFrame, document: str, order: list[str], columns: list[s
 def write_once(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys the table at path doesn't have yet, each key once. Null keys are equal."""
     spark, fresh = rows.sparkSession, rows.dropDuplicates(keys)
-    try:
-        there = spark.read.parquet(path).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = None
-    if there is not None:
+    if exists(spark, path):
+        there = spark.read.schema(rows.schema).parquet(path).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -101,3 +98,22 @@ def write_markdown(pages: DataFrame, path: str) -> None:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """A folder with the report's summary (one row) and results as JSON lines; an older report there is replaced."""
+    if (n := summary.count()) != 1:
+        raise ValueError(f"a report has one summary, not {n}")
+    results.write.mode("overwrite").json(f"{path}/results")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_report(spark: SparkSession, path: str, summary: str, results: str) -> tuple[DataFrame, DataFrame]:
+    """summary and results of a report, by their schemas; an error where there is none, where the summary isn't one row,
+    or where a line isn't JSON."""
+    if not exists(spark, f"{path}/summary") or not exists(spark, f"{path}/results"):
+        raise FileNotFoundError(f"no report at {path}")
+    one = spark.read.schema(summary).json(f"{path}/summary", mode="FAILFAST")
+    if one.count() != 1:
+        raise ValueError(f"malformed report at {path}: no summary")
+    return one, spark.read.schema(results).json(f"{path}/results", mode="FAILFAST")

@@ -41,10 +41,11 @@ def hidden(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: later steps neither repeat its work nor lose it with an executor."""
+    """df written to the shared folder and read again: later steps neither repeat its work nor lose it with an executor.
+    Compressed well, since what is written stays there until the folder is cleared."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

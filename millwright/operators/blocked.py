@@ -7,14 +7,15 @@ of one block, one slice and the product of both.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -165,7 +166,7 @@ def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 class Best:
     """The best k rows of each query so far."""
 
-    def __init__(self, n_queries: int, k: int, cap: int | None, ties: list[str]) -> None:
+    def __init__(self, n_queries: int, k: int, cap: int | None, ties: list[tuple[str, str]]) -> None:
         self.n, self.k, self.cap, self.ties = n_queries, k, cap, ties
         self.query, self.score, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
@@ -199,7 +200,7 @@ class Best:
         if not len(query):
             return
         tie = np.empty(len(query), np.int64)
-        tie[pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in self.ties]).to_numpy()] = np.arange(len(query))
+        tie[pc.sort_indices(rows, sort_keys=self.ties).to_numpy()] = np.arange(len(query))
         order = np.lexsort((tie, -score))
         place = np.empty(len(query), np.int64)
         place[order] = np.arange(len(query))
@@ -208,49 +209,64 @@ class Best:
         self.query, self.score, self.rows = query[kept], score[kept], rows.take(pa.array(kept))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, ties: list[str], rules: Rules = Rules(), dimension: int | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
-    """query_id, place (from 1), score, and rows' columns but vector, text and model: the k rows of the largest cosine.
+def best(
+    rows: DataFrame, names: list[str], queries: DataFrame, n_bytes: Column, block_of: Callable[[pa.Table], Any], scores: Callable[[pa.RecordBatch, Any], tuple[np.ndarray, np.ndarray]],
+    k: int, ties: list[tuple[str, str]], digits: int = 0, cap: int | None = None, most_queries: int = MOST_QUERIES,
+) -> DataFrame:
+    """query_id, place (from 1), score, and the named columns of rows: the k best rows of each of queries (query_id and
+    others, n_bytes each when sent).
 
-    rows: id, vector, the columns of ties (which decide between equal scores, ascending, nulls last) and, as the rules
-    need them, label, text, model. queries: query_id, query, and tag, model. A vector is an array of numbers, or a struct
-    of the places (at) and values that aren't 0 in `dimension` places. The score is 0 where a vector is null or has no
-    length, or the two differ in dimension. Equal rows keep a place each. No rows or no queries: an empty table.
+    block_of makes of a block of queries what tasks get, with ids; scores gives of a slice of rows, in the order of ties,
+    and such a block the units of the last digit and whether the pair is one, rows x queries. ties: column and
+    'ascending' or 'descending', nulls last.
     """
     spark = rows.sparkSession
-    names = [c for c in dict.fromkeys(["id", *ties, *(["label"] if "label" in rows.columns else [])])]
-    used = [*names, "vector", *(c for c in ("text", "model") if c in rows.columns)]
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    asked = queries.select("query_id", "query", *(c for c in ("tag", "model") if c in queries.columns))
-    sizes = F.coalesce(F.lit(dimension) if dimension else F.size("query"), F.lit(0))
-    n, n_bytes = asked.agg(F.count("*"), F.coalesce(F.sum(8 * F.greatest(sizes, F.lit(1)) + 100), F.lit(0))).first()
+    n, sent_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(n_bytes + 100), F.lit(0))).first()
     # twice as many blocks as would do on average, since the hash deals unevenly
-    blocks = 1 if n <= most_queries and n_bytes <= QUERY_BYTES else max(-(-2 * n // most_queries), -(-2 * n_bytes // QUERY_BYTES))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, units long, " + ", ".join(f"{c} {types[c]}" for c in names)
+    blocks = 1 if n <= most_queries and sent_bytes <= QUERY_BYTES else max(-(-2 * n // most_queries), -(-2 * sent_bytes // QUERY_BYTES))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, units long, " + ", ".join(f"{c} {types[c]}" for c in names)
 
     def found(block: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Block.of(block.toArrow(), dimension))
+        sent = spark.sparkContext.broadcast(block_of(block.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
-            best = Best(len(q.ids), k, rules.cap, ties)
+            best_ = Best(len(q.ids), k, cap, ties)
             step = max(k, PRODUCT_BYTES // (8 * max(1, len(q.ids))))
             for b in batches:
                 for start in range(0, b.num_rows if len(q.ids) else 0, step):
                     part = b.slice(start, step)
-                    order = pc.sort_indices(pa.table({c: part.column(c) for c in ties}), sort_keys=[(c, "ascending") for c in ties])
-                    part = part.take(order)
-                    best.add(pa.table({c: part.column(c) for c in names}), *_scores(part, q, rules, dimension))
-            if best.rows is not None and len(best.query):
-                out = [q.ids.take(pa.array(best.query)), pa.array(best.score), *(best.rows.column(c) for c in names)]
+                    part = part.take(pc.sort_indices(pa.table({c: part.column(c) for c, _ in ties}), sort_keys=ties))
+                    best_.add(pa.table({c: part.column(c) for c in names}), *scores(part, q))
+            if best_.rows is not None and len(best_.query):
+                out = [q.ids.take(pa.array(best_.query)), pa.array(best_.score), *(best_.rows.column(c) for c in names)]
                 yield from pa.table(dict(zip(["query_id", "units", *names], out, strict=True))).to_batches(max_chunksize=10_000)
 
-        return rows.select(used).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    each = reduce(DataFrame.union, [found(asked.where(block == i) if blocks > 1 else asked) for i in range(blocks)])
-    order = [F.desc("units"), *(F.asc_nulls_last(c) for c in ties)]
-    if rules.cap is not None:
-        each = each.withColumn("of_label", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("of_label") <= rules.cap)
+    each = reduce(DataFrame.union, [found(queries.where(block == i) if blocks > 1 else queries) for i in range(blocks)])
+    order = [F.desc("units"), *(F.asc_nulls_last(c) if way == "ascending" else F.desc_nulls_last(c) for c, way in ties)]
+    if cap is not None:
+        each = each.withColumn("of_label", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("of_label") <= cap)
     placed = each.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
-    return placed.select("query_id", "place", (F.col("units") / 10**rules.digits).alias("score"), *names)
+    return placed.select("query_id", "place", (F.col("units") / 10**digits).alias("score"), *names)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, ties: list[str], rules: Rules = Rules(), dimension: int | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
+    """query_id, place (from 1), score, and rows' columns but vector, text and model: the k rows of the largest cosine.
+
+    rows: id, vector, the columns of ties (which decide between equal scores, ascending, nulls last) and, as the rules
+    need them, label, text, model. queries: query_id, query, and tag, model. A vector is an array of numbers, or a struct
+    of the places (at) and values that aren't 0 in `dimension` places. The score is 0 where a vector is null or has no
+    length, or the two differ in dimension. Equal rows keep a place each. No rows or no queries: an empty table.
+    """
+    names = [*dict.fromkeys(["id", *ties, *(["label"] if "label" in rows.columns else [])])]
+    used = [*names, "vector", *(c for c in ("text", "model") if c in rows.columns)]
+    asked = queries.select("query_id", "query", *(c for c in ("tag", "model") if c in queries.columns))
+    sizes = F.coalesce(F.lit(dimension) if dimension else F.size("query"), F.lit(0))
+    return best(
+        rows.select(used), names, asked, 8 * F.greatest(sizes, F.lit(1)), lambda t: Block.of(t, dimension), lambda part, q: _scores(part, q, rules, dimension),
+        k, [(c, "ascending") for c in ties], rules.digits, rules.cap, most_queries,
+    )

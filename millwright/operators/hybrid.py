@@ -1,12 +1,13 @@
 """Hybrid retrieval for a table of questions: keyword and vector candidates, their fusion, and a diverse selection.
 
 chunks: chunk_id, file_name, text, summary, questions, tags (array), row_start, and any others. queries: item_id, question.
-The questions are a stated set, cut into blocks by the caller: their terms and vectors are sent to every task.
+The questions' terms and vectors are sent to every task in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -49,53 +50,66 @@ def _lowered(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "file_name", "row_start", F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.upper).alias("tags"), text("summary").alias("low_summary"), text("text").alias("low_text"), text("questions").alias("low_questions"))
 
 
-def terms_found(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, term, of_token, of_asset: what each term that a chunk has as a substring is worth, by the texts it is in.
-
-    One pass of an automaton over each text finds all terms at once, where built-in functions would search it for each.
-    terms: of a stated set of questions, sent to each task.
-    """
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            automaton.add_word(t, i)
-        automaton.make_automaton()
-        weights = {"summary": (TOKEN[0], ASSET[0]), "text": (TOKEN[1], ASSET[1]), "questions": (TOKEN[2], ASSET[2])}
-        for b in batches:
-            at: list[int] = []
-            out: tuple[list, list, list] = ([], [], [])
-            for row, said in enumerate(zip(*(b.column(c).to_pylist() for c in weights), strict=True)):
-                worth: dict[int, list[float]] = {}
-                for text, w in zip(said, weights.values(), strict=True):
-                    for i in {i for _, i in automaton.iter((text or "").lower())} if terms else ():
-                        held = worth.setdefault(i, [0.0, 0.0])
-                        held[0], held[1] = held[0] + w[0], held[1] + w[1]
-                for i, (token, asset) in worth.items():
-                    at.append(row)
-                    for column, x in zip(out, (terms[i], token, asset), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(at, pa.int32())), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=["chunk_id", "term", "of_token", "of_asset"])
-
-    return chunks.select("chunk_id", "summary", "text", "questions").mapInArrow(run, f"chunk_id {kind}, term string, of_token double, of_asset double")
+@dataclass
+class Terms:
+    """The terms of a block of questions, as tasks get them: whose tokens, assets and tags they are."""
+
+    ids: pa.Array
+    terms: list[str]
+    token_of: list[np.ndarray]
+    asset_of: list[np.ndarray]
+    tag_of: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Terms:
+        held: dict[str, tuple[list, list]] = {}
+        tags: dict[str, list] = {}
+        for i, (tokens, assets) in enumerate(zip(t.column("tokens").to_pylist(), t.column("assets").to_pylist(), strict=True)):
+            for x in tokens or ():
+                held.setdefault(x, ([], []))[0].append(i)
+            for x in assets or ():
+                held.setdefault(x.lower(), ([], []))[1].append(i)
+                tags.setdefault(x, []).append(i)
+        array = lambda x: np.array(x, np.int64)
+        ids = t.column("query_id").combine_chunks()
+        return cls(ids, [*held], [array(a) for a, _ in held.values()], [array(b) for _, b in held.values()], {x: array(v) for x, v in tags.items()})
+
+    def automaton(self) -> Any:
+        """One for each task's process; it isn't sent."""
+        if not hasattr(self, "_automaton"):
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for i, t in enumerate(self.terms):
+                self._automaton.add_word(t, i)
+            self._automaton.make_automaton()
+        return self._automaton
+
+
+def term_scores(part: pa.RecordBatch, q: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """What each row is worth to each question: each term in each of its texts once, and its tags. One pass of an
+    automaton over a text finds all terms at once."""
+    out = np.zeros((part.num_rows, len(q.ids)))
+    texts = [part.column(c).to_pylist() for c in ("summary", "text", "questions")]
+    for row, (*said, tags) in enumerate(zip(*texts, part.column("tags").to_pylist(), strict=True)):
+        for text, token, asset in zip(said, TOKEN, ASSET, strict=True):
+            for i in {i for _, i in q.automaton().iter((text or "").lower())} if q.terms else ():
+                out[row, q.token_of[i]] += token
+                out[row, q.asset_of[i]] += asset
+        for x in {x.upper() for x in tags or () if x is not None} & q.tag_of.keys():
+            out[row, q.tag_of[x]] += TAGGED
+    return out.astype(np.int64), out > 0
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """item_id, rank, chunk_id, score (above 0): the k best chunks of each question; ties by file name from the last,
-    by row from the first. Only questions and chunks that share a term meet."""
-    q = with_terms(queries)
-    asked = q.select("item_id", F.explode("tokens").alias("term"), F.lit(False).alias("asset")).union(q.select("item_id", F.explode(F.transform("assets", F.lower)), F.lit(True)))
-    terms = [r[0] for r in asked.select("term").distinct().toLocalIterator()]  # of a stated set of questions
-    found = terms_found(chunks, sorted(terms)).join(F.broadcast(asked), "term")
-    each = found.select("item_id", "chunk_id", F.when(F.col("asset"), F.col("of_asset")).otherwise(F.col("of_token")).alias("score"))
-    tagged = chunks.select("chunk_id", F.explode(F.array_distinct(F.transform("tags", F.upper))).alias("tag")).join(F.broadcast(q.select("item_id", F.explode("assets").alias("tag"))), "tag")
-    scored = each.union(tagged.select("item_id", "chunk_id", F.lit(TAGGED).alias("score"))).groupBy("item_id", "chunk_id").agg(F.sum("score").alias("score")).where("score > 0")
-    scored = scored.join(chunks.select("chunk_id", "file_name", "row_start"), "chunk_id")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("file_name"), F.coalesce("row_start", F.lit(0)), "chunk_id")
-    return scored.select("item_id", "chunk_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    by row from the first. Questions go to tasks in blocks of bounded size, and each task keeps its best k of each."""
+    q = with_terms(queries).select(F.col("item_id").alias("query_id"), "tokens", "assets")
+    rows = chunks.select("chunk_id", "file_name", F.coalesce("row_start", F.lit(0)).alias("row"), "summary", "text", "questions", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    n_bytes = 30 * (F.size("tokens") + 2 * F.size("assets")) + F.length(F.array_join("tokens", ""))
+    ties = [("file_name", "descending"), ("row", "ascending"), ("chunk_id", "ascending")]
+    found = blocked.best(rows, ["chunk_id", "file_name", "row"], q, n_bytes, Terms.of, term_scores, k, ties)
+    return found.select(F.col("query_id").alias("item_id"), "chunk_id", "score", F.col("place").alias("rank"))
 
 
 def hashed(docs: DataFrame) -> DataFrame:

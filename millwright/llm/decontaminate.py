@@ -9,6 +9,7 @@ are used: what is left is where the phrase starts. With slack, the same gives th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -182,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
         wanted = index.join(F.broadcast(terms), "term", "left_semi")  # bounded by BLOCK_WORDS
         frequency = {bytes(r[0]): r[1] for r in wanted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}  # a row for each term of the block
         found = search(wanted.union(index.where("term is null").select(*wanted.columns)), items, frequency, id_type, window, slop)
-        named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+        named = F.from_json(F.lit(json.dumps(names)), "array<string>")  # one constant, however many names
         runs = F.transform("runs", lambda r: F.struct(F.get(named, r["item"]).alias("item"), r["start"].alias("start"), r["end"].alias("end")))
         results.append(found.withColumn("runs", runs).withColumn("near", F.transform("near", lambda x: F.get(named, x))))
     if blocks == 1:

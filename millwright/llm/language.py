@@ -101,12 +101,14 @@ def fitted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pd.DataFrame({"lang": lang, "bucket": used, "n": n[used]})
 
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = list(counts.toLocalIterator())  # BUCKETS for each language at most
-    langs = sorted({r["lang"] for r in rows})
-    n = np.full((len(langs), BUCKETS), 0.5)
-    for r in rows:
-        n[langs.index(r["lang"]), r["bucket"]] += r["n"]
-    return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def packed(g: pd.DataFrame) -> pd.DataFrame:
+        n = np.full(BUCKETS, 0.5)
+        n[g["bucket"]] += g["n"]
+        return pd.DataFrame({"lang": g["lang"].iloc[:1], "model": [np.log(n / n.sum()).astype("<f4").tobytes()]})
+
+    rows = counts.groupBy("lang").applyInPandas(packed, "lang string, model binary").orderBy("lang").collect()  # BUCKETS counts a group; 128 KB a language
+    return [r.lang for r in rows], np.stack([np.frombuffer(r.model, "<f4") for r in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
 
 
 def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,9 +178,20 @@ def roots(recipes: DataFrame) -> DataFrame:
 
 def _uses(recipes: DataFrame) -> DataFrame:
     """A row for each chunk of each recipe, with the ids after it."""
-    each = recipes.select("part", "place", "doc_id", "n_tokens", "leaf", F.posexplode(F.arrays_zip("chunks", "sizes")).alias("at", "use"), "sizes")
-    after = F.expr("aggregate(slice(sizes, at + 2, size(sizes)), 0L, (x, y) -> x + y)")
-    return each.select("part", "place", "doc_id", "n_tokens", "at", F.col("use.chunks").alias("chunk"), F.col("use.sizes").alias("size"), after.alias("after"))
+    kinds = {f.name: f.dataType.simpleString() for f in recipes.schema}
+    names = ["part", "place", "doc_id", "n_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, of = pc.list_flatten(b.column(5)), pc.list_parent_indices(b.column(5))
+            each, until = of.to_numpy(), np.cumsum(sizes.to_numpy(), dtype=np.int64)
+            n = np.bincount(each, minlength=b.num_rows)
+            ends = np.cumsum(n)
+            total = np.concatenate([[0], until])[ends]  # ids up to the end of each recipe
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(4)), pa.array((np.arange(len(each)) - (ends - n)[each]).astype(np.int32)), pc.list_flatten(b.column(4)), sizes, pa.array(total[each] - until)], names=[*names, "at", "chunk", "size", "after"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
+    return recipes.select(*names, "chunks", "sizes").mapInArrow(run, f"{schema}, at int, chunk binary, size int, after long")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:

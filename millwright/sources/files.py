@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,9 +95,33 @@ def write_once(rows: DataFrame, path: str, keys: list[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
-def write_markdown(pages: DataFrame, path: str) -> None:
-    """A folder of texts by file_name (of pages: file_name, markdown)."""
-    pages.select("file_name", F.col("markdown").alias("value")).write.partitionBy("file_name").mode("overwrite").text(path)
+def write_markdown(pages: DataFrame, folder: str) -> int:
+    """Each of pages (file_name, markdown) as a file of its own in the folder, which is made if it isn't there; how many.
+
+    A file is written beside its place and moved there whole, so a task that runs again leaves one whole file. A name
+    that isn't a plain one (blank, dots alone, with a slash or a control character) or stands twice is an error, before
+    anything is written. A null text is an empty file. The folder is local to all, or a URI that Arrow's file systems reach.
+    """
+    name = F.coalesce("file_name", F.lit(""))
+    plain = ~name.rlike(r"[/\\\x00-\x1F]") & ~name.rlike(r"^[.\s]*$")
+    odd = pages.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.bool_and(plain).alias("plain")).where("n > 1 or not plain").first()
+    if odd is not None:
+        raise ValueError(f"not a name of one file: {odd.name!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(at, recursive=True)
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = f"{at}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write((text or "").encode())
+                system.move(own, f"{at}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return pages.select("file_name", "markdown").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

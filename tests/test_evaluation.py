@@ -107,3 +107,14 @@ def test_intents_beyond_ascii(spark):
     said = ["café: WHY IS it hot", "éwhy is it", "procédure", "Prüfung: inspection", "commissionné", "leaking。"]
     got = {r.t: r.i for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", facts.intent(F.col("t")).alias("i")).collect()}
     assert got == {said[0]: "failure_rca", said[1]: "general", said[2]: "general", said[3]: "inspection", said[4]: "procedure", said[5]: "failure_rca"}
+
+
+def test_a_file_for_each_package(spark, tmp_path):
+    pages = spark.createDataFrame([("P-1.md", "# one\nä"), ("P-2.md", None)], "file_name string, markdown string").repartition(2)
+    for _ in range(2):
+        assert files.write_markdown(pages, f"{tmp_path}/exports") == 2
+    assert {p.name: p.read_text() for p in (tmp_path / "exports").iterdir() if not p.name.endswith(".crc")} == {"P-1.md": "# one\nä", "P-2.md": ""}
+    for bad in ("../x.md", "", "..", None, "P-1.md"):
+        with pytest.raises(ValueError, match="not a name"):
+            files.write_markdown(pages.union(spark.createDataFrame([(bad, "x")], pages.schema)), f"{tmp_path}/exports")
+    assert files.write_markdown(pages.limit(0), f"{tmp_path}/none") == 0

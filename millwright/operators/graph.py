@@ -152,3 +152,25 @@ def document_details(documents: DataFrame, mentions: DataFrame, entities: DataFr
     none = F.array().cast("array<string>")
     names = F.transform("entities", lambda x: x["entity"])
     return documents.select("document_id", "filename").join(by, "document_id", "left").select("document_id", "filename", F.coalesce("assets", none).alias("assets"), F.coalesce(names, none).alias("entities"))
+
+
+def risk_evidence(evidence_: DataFrame, most: int = 3) -> DataFrame:
+    """tag, score, level, reasons, mentions, documents (that are there), last_seen, evidence (document_id, filename,
+    chunk_index and preview of the newest `most` mentions whose chunk is there), of every asset with a mention.
+
+    The newest are cut to `most` in each task before they are sent. A mention whose document and chunk are gone counts,
+    and says nothing.
+    """
+    m = evidence_.withColumn("haystack", F.concat_ws(" ", F.lower("filename"), F.lower("text")))
+    flags = [F.max(tx.contains_any(F.col("haystack"), keywords).cast("int")).alias(name) for name, _, keywords in rules.RISK]
+    by = m.groupBy("tag").agg(*flags, F.count("*").alias("mentions"), F.countDistinct(F.when(F.col("found_document"), F.col("document_id"))).alias("documents"), F.max("created_at").alias("last_seen"))
+    score = sum((F.col(name) * points for name, points, _ in rules.RISK), F.lit(0)).cast("long")
+    reasons = F.array_join(F.filter(F.array(*(F.when(F.col(name) == 1, F.lit(name)) for name, _, _ in rules.RISK)), lambda x: x.isNotNull()), "|")
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(*newest()))
+    said = evidence_.where("text <> ''").withColumn("place", place).where(F.col("place") <= most)
+    entry = F.struct("place", "document_id", "filename", "chunk_index", tx.preview(F.col("text")).alias("preview"))
+    cited = said.groupBy("tag").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # `most` rows a tag
+    none = F.array().cast("array<struct<document_id:bigint,filename:string,chunk_index:int,preview:string>>")
+    shown = F.transform("e", lambda x: F.struct(x["document_id"].cast("long").alias("document_id"), x["filename"].alias("filename"), x["chunk_index"].cast("int").alias("chunk_index"), x["preview"].alias("preview")))
+    out = by.select("tag", score.alias("score"), reasons.alias("reasons"), "mentions", "documents", "last_seen").withColumn("level", rules.level(F.col("score")))
+    return out.join(cited, "tag", "left").select("tag", "score", "level", "reasons", "mentions", "documents", "last_seen", F.coalesce(shown, none).alias("evidence"))

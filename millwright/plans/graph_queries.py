@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import analytics, causes, compliance, evaluation, graph
 from ..sources import star
-from .sql import FILE, GAPS, RISK, STAR, TYPE, case, contains
+from .sql import FILE, GAPS, RISK, RISK_FLAGS, RISK_REASONS, RISK_SCORE, STAR, TYPE, case, contains
 
 Query = Callable[[SparkSession, str], DataFrame]
 SYMPTOMS = ["high vibration after seal replacement", "motor overheating, then a trip", "oil leak and corrosion at the flange", "strange smell"]
@@ -132,6 +132,12 @@ def _browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(risk, "tag", "left").select("tag", "asset_type", F.coalesce("level", F.lit("low")).alias("level"), "score", "last_seen").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_seen"), "tag")
 
 
+def _risk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = graph.risk_evidence(_evidence(spark, sf_dir))
+    said = F.transform("evidence", lambda x: F.concat_ws(":", x["document_id"].cast("string"), x["chunk_index"].cast("string"), F.coalesce(x["filename"], F.lit("-")), x["preview"]))
+    return r.select("tag", "score", "level", "reasons", "mentions", "documents", F.col("last_seen").cast("string").alias("last_seen"), F.array_join(said, "|").alias("evidence"))
+
+
 def _document_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star.gone(spark, sf_dir)
     d = graph.document_details(star.documents(spark, sf_dir), g["mentions"].where("document_id % 3 <> 0"), g["entities"])
@@ -188,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "gap_records": lambda s, d: compliance.gap_records(star.findings(s, d), F.lit("2025-03-01").cast("date")).withColumn("certified", F.col("certified").cast("string")),
     "gap_tabs": lambda s, d: compliance.gap_tabs(star.findings(s, d)),
     "asset_browse": _browse,
+    "risk_evidence": _risk_evidence,
     "document_details": _document_details,
     "asset_autocomplete": _autocomplete,
     "asset_types": _types,
@@ -297,6 +304,11 @@ CASE gap_type {' '.join(f"WHEN '{k}' THEN replace(replace(replace(replace('{v[0]
 FROM gaps g JOIN one USING (tag, gap_type) JOIN d USING (tag, gap_type) JOIN (SELECT tag, gap_type, days FROM g) x USING (tag, gap_type)""",
     "gap_tabs": f"""{GAPS} SELECT 'certificates' AS tab, count(*) AS gaps FROM gaps WHERE starts_with(gap_type, 'certificate') UNION ALL SELECT 'overdue', count(*) FROM gaps WHERE gap_type IN ('calibration_overdue', 'inspection_overdue', 'sop_review_overdue')
 UNION ALL SELECT 'severe', count(*) FROM gaps WHERE severity = 'high' UNION ALL SELECT 'pumps', count(*) FROM gaps WHERE starts_with(tag, 'P-')""",
+    "risk_evidence": f"""{GONE}, hay AS (SELECT *, concat_ws(' ', lower(filename), lower(text)) AS haystack FROM ev), flags AS (SELECT tag, {RISK_FLAGS}, count(*) AS mentions, count(DISTINCT CASE WHEN found_document THEN document_id END) AS documents, max(created_at) AS last_seen FROM hay GROUP BY tag),
+risk AS (SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT tag, CAST({RISK_SCORE} AS BIGINT) AS score, {RISK_REASONS} AS reasons, mentions, documents, last_seen FROM flags)),
+top AS (SELECT *, {_PREVIEW} AS preview, row_number() OVER (PARTITION BY tag ORDER BY created_at DESC NULLS LAST, chunk_index ASC NULLS LAST, mention_id) AS place FROM ev WHERE text <> '' QUALIFY place <= 3),
+cited AS (SELECT tag, string_agg(document_id || ':' || chunk_index || ':' || coalesce(filename, '-') || ':' || preview, '|' ORDER BY place) AS evidence FROM top GROUP BY tag)
+SELECT tag, score, level, reasons, mentions, documents, CAST(last_seen AS VARCHAR) AS last_seen, coalesce(evidence, '') AS evidence FROM risk LEFT JOIN cited USING (tag)""",
     "document_details": f"""{STAR}, m AS (SELECT DISTINCT document_id, tag, entity_id FROM star WHERE document_id % 3 <> 0),
 a AS (SELECT document_id, string_agg(DISTINCT tag, '|' ORDER BY tag) AS assets FROM m GROUP BY document_id), e AS (SELECT document_id, string_agg(s_name, '|' ORDER BY entity_id) AS entities FROM (SELECT DISTINCT document_id, entity_id, s_name FROM m JOIN supplier ON s_suppkey = entity_id WHERE entity_id % 7 <> 0) GROUP BY document_id)
 SELECT document_id, filename, coalesce(assets, '') AS assets, coalesce(entities, '') AS entities FROM docs LEFT JOIN a USING (document_id) LEFT JOIN e USING (document_id)""",

@@ -30,11 +30,11 @@ bare AS (SELECT tag, asset_type, document_id, filename, created_at, chunk_index,
   FROM items JOIN assets ON l_partkey = p_partkey JOIN docs ON l_orderkey = document_id),
 star AS (SELECT *, lower(filename) || ' ' || lower(text) AS haystack FROM bare)
 """
-_FLAGS = ", ".join(f"max(CASE WHEN {contains(k)} THEN 1 ELSE 0 END) AS {n}" for n, _, k in rules.RISK)
-_SCORE = " + ".join(f"{n} * {p}" for n, p, _ in rules.RISK)
-_REASONS = "concat_ws('|', " + ", ".join(f"CASE WHEN {n} = 1 THEN '{n}' END" for n, _, _ in rules.RISK) + ")"
-RISK = f"""{STAR}, flags AS (SELECT tag, {_FLAGS}, count(*) AS mentions, count(DISTINCT document_id) AS documents, max(created_at) AS last_seen FROM star GROUP BY tag),
-risk AS (SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT tag, CAST({_SCORE} AS BIGINT) AS score, {_REASONS} AS reasons, mentions, documents, last_seen FROM flags))
+RISK_FLAGS = ", ".join(f"max(CASE WHEN {contains(k)} THEN 1 ELSE 0 END) AS {n}" for n, _, k in rules.RISK)
+RISK_SCORE = " + ".join(f"{n} * {p}" for n, p, _ in rules.RISK)
+RISK_REASONS = "concat_ws('|', " + ", ".join(f"CASE WHEN {n} = 1 THEN '{n}' END" for n, _, _ in rules.RISK) + ")"
+RISK = f"""{STAR}, flags AS (SELECT tag, {RISK_FLAGS}, count(*) AS mentions, count(DISTINCT document_id) AS documents, max(created_at) AS last_seen FROM star GROUP BY tag),
+risk AS (SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT tag, CAST({RISK_SCORE} AS BIGINT) AS score, {RISK_REASONS} AS reasons, mentions, documents, last_seen FROM flags))
 """
 MODES = f"{STAR}, hit AS (" + " UNION ALL ".join(f"SELECT tag, document_id, chunk_index, created_at, '{n}' AS mode FROM star WHERE {contains(k)}" for n, k in rules.FAILURE_MODES) + ")"
 

@@ -69,7 +69,7 @@ def sniffed(sample: bytes, header: str = "auto") -> Dialect:
         found = csv.excel
     d = Dialect(found.delimiter if found.delimiter in DELIMITERS else ",", getattr(found, "quotechar", '"') or '"', None, mark)
     whole = text if len(sample) < SAMPLE else text[: text.rfind("\n") + 1] or text
-    rows = [r for r in _records(whole, d)]
+    rows = [r for r in records(whole, d)]
     if rows and (header == "first" or header == "auto" and has_header(rows)):
         d.columns = rows[0]
         d.body = mark + len(_first(whole, d.quote).encode("utf-8"))
@@ -86,7 +86,7 @@ def _first(text: str, quote: str) -> str:
     return text
 
 
-def _records(text: str, d: Dialect) -> list[list[str]]:
+def records(text: str, d: Dialect) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=d.delimiter, quotechar=d.quote, doublequote=True))
 
 
@@ -119,7 +119,7 @@ class Reader(DataSourceReader):
                 return
             start = max(piece.start, d.body)
             data = _whole(f, start, piece, d)
-        for i, cells in enumerate(_records(data.decode("utf-8", "replace"), d)):
+        for i, cells in enumerate(records(data.decode("utf-8", "replace"), d)):
             if any(x.strip() for x in cells):
                 yield piece.path, piece.path.rsplit("/", 1)[-1], start, i, d.columns, cells
 

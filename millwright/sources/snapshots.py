@@ -16,6 +16,8 @@ from itertools import islice
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: A table's rows, or what makes them of the tables written before.
+Rows = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
 COMMIT = "number int, table string, folder string, base boolean, counts map<string,long>"
 
 
@@ -50,16 +52,19 @@ class Snapshot:
         found = [f"{self.root}/data/{table}/{x}" for x in self.folders.get(table, [])]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
-    def commit(self, tables: dict[str, DataFrame], observed: dict[str, dict[str, str]] | None = None, base: bool = False) -> Snapshot:
-        """Writes the rows of all tables and then the commit; with base they replace the tables' rows.
+    def commit(self, tables: dict[str, Rows], observed: dict[str, dict[str, str]] | None = None, base: bool = False) -> Snapshot:
+        """Writes the rows of all tables, in order, and then the commit; with base they replace the tables' rows. Rows may
+        be a function of the tables written before them.
 
         observed: aggregates (SQL) of a table's rows by name, taken while they are written. Their values, and each table's
         number of rows, are the commit's counts.
         """
-        number, run, counts = self.number + 1, uuid.uuid4().hex, {}
-        for table, rows in tables.items():
+        number, run, counts, written = self.number + 1, uuid.uuid4().hex, {}, {}
+        for table, given in tables.items():
+            rows = given(written) if callable(given) else given
             seen, wanted = Observation(), {"rows": "count(1)", **((observed or {}).get(table) or {})}
-            rows.observe(seen, *(F.expr(c).cast("long").alias(n) for n, c in wanted.items())).write.parquet(f"{self.root}/data/{table}/{run}")
+            rows.observe(seen, *(F.expr(c).cast("long").alias(n) for n, c in wanted.items())).write.parquet(path := f"{self.root}/data/{table}/{run}")
+            written[table] = self.spark.read.schema(rows.schema).parquet(path)
             counts[table] = {f"{table}.{n}": v or 0 for n, v in seen.get.items()}
         rows = [(number, t, run, base, counts[t]) for t in tables]
         self.spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/commits/{number:09d}")
@@ -92,7 +97,7 @@ def pending(s: Snapshot, folder: str, force: bool = False) -> DataFrame:
     return files if force else files.join(_manifest(s).select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
 
 
-Extract = Callable[[DataFrame], dict[str, DataFrame]]
+Extract = Callable[[DataFrame], dict[str, Rows]]
 
 
 def ingest(spark: SparkSession, folder: str, root: str, extract: Extract, observed: dict[str, dict[str, str]] | None = None, files_a_commit: int = 10_000, force: bool = False) -> list[dict[str, int]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import causes, search
+from ..operators import causes, citations, metadata, search
 from ..sources import star
 from .text_queries import INTENT, PASSAGES, QUESTIONS, SOURCE, counts
 
@@ -34,7 +34,26 @@ def _retrieved_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("tag", "symptom", "number", "cause", "confidence", F.col("support").cast("long").alias("support"), F.array_join("evidence", "|").alias("evidence"), F.size("actions").alias("n_actions"), F.size("missing").alias("n_missing"), "summary", "n_retrieved", "n_evidence")
 
 
-QUERIES: dict[str, Query] = {"asset_search": _searched, "search_evidence": _evidence, "extractive_answers": _extractive, "retrieved_causes": _retrieved_causes}
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that search finds, with the fields of their metadata and their text."""
+    r, fields = star.records(spark, sf_dir), metadata.chunk_fields(star.chunk_metadata(spark, sf_dir)).drop("document_id", "chunk_index")
+    hits = search.search(r, star.scoped_questions(spark, sf_dir)).withColumnRenamed("question_id", "item_id")
+    return hits.join(fields, "chunk_id").join(r.select("chunk_id", "text"), "chunk_id")
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = citations.contexts(_found(spark, sf_dir))
+    return c.select("item_id", F.length("context").alias("chars"), F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations and their sources, of which those of every seventh chunk are gone."""
+    found = _found(spark, sf_dir)
+    c = citations.with_sources(citations.citations(found), found.where("chunk_id % 7 <> 0"))
+    return c.select("item_id", "place", "chunk_id", "file_name", "page", "location", "snippet", "document_id", "chunk_index", "score")
+
+
+QUERIES: dict[str, Query] = {"asset_search": _searched, "search_evidence": _evidence, "extractive_answers": _extractive, "retrieved_causes": _retrieved_causes, "answer_contexts": _contexts, "answer_citations": _citations}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
@@ -50,7 +69,7 @@ SYMPTOMS = f"""sy AS (SELECT DISTINCT CASE WHEN item_id % 9 = 8 THEN 'Q-' || ite
 ask AS (SELECT tag || chr(10) || symptom AS item_id, 'Evidence for root cause of ''' || symptom || ''' on asset ' || tag AS question, tag FROM sy)"""
 
 
-def _found(k: int) -> str:
+def _found_sql(k: int) -> str:
     """found: the k chunks of each question in ask; evidence: the same with what their files gain."""
     return f"""{counts('rv', 'rec', 'chunk_id', 'text')}, {counts('av', 'ask', 'item_id', 'question')}, rn AS (SELECT id, sum(v * v) AS n FROM rv GROUP BY id), an AS (SELECT id, sum(v * v) AS n FROM av GROUP BY id),
 dots AS (SELECT av.id AS item_id, rv.id AS chunk_id, sum(av.v * rv.v) AS dot FROM rv JOIN av USING (bucket) GROUP BY av.id, rv.id),
@@ -76,7 +95,7 @@ FROM g WHERE n_evidence > 0 AND {_any('symptom', c.triggers)} AND (len({holds})
 
 
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-CAUSES = f"""WITH {RECORDS}, {SYMPTOMS}, {_found(10)},
+CAUSES = f"""WITH {RECORDS}, {SYMPTOMS}, {_found_sql(10)},
 g AS (SELECT sy.tag, sy.symptom, count(item_id) AS n_retrieved, count(item_id) FILTER (named) AS n_evidence, list({{'chunk': chunk_id, 'low': lower(text)}} ORDER BY place) FILTER (named) AS e FROM sy LEFT JOIN evidence ON item_id = sy.tag || chr(10) || sy.symptom GROUP BY sy.tag, sy.symptom),
 hits AS ({' UNION ALL '.join(_rule(i, c) for i, c in enumerate(causes.CAUSES, 1))}),
 every AS (SELECT tag, symptom, number, cause, support, CASE WHEN support > 0 THEN holds[1:3] ELSE every[1:1] END AS evidence, n_actions, n_missing FROM hits
@@ -87,11 +106,17 @@ SELECT tag, symptom, CAST(number AS INTEGER) AS number, cause, confidence, CAST(
 UNION ALL SELECT tag, symptom, NULL, NULL, NULL, 0, '', 2, 1, CASE WHEN n_retrieved > 0 THEN 'Insufficient evidence specific to ' || tag || ' was retrieved to determine a root cause for ''' || symptom || '''. Retrieved documents did not reference this asset.' ELSE 'No documents were retrieved for ' || tag || ', so a root cause for ''' || symptom || ''' cannot be determined.' END, n_retrieved, 0 FROM g WHERE n_evidence = 0"""
 
 ORACLE_SQL: dict[str, str] = {
-    "asset_search": f"WITH {RECORDS}, {SCOPED}, {_found(5)} SELECT item_id AS question_id, CAST(place AS INTEGER) AS place, document_id, chunk_id, score FROM found",
-    "search_evidence": f"WITH {RECORDS}, {SCOPED}, {_found(10)} SELECT item_id AS question_id, CAST(place AS INTEGER) AS place, chunk_id, score, intent, md5(text) AS digest FROM evidence",
-    "extractive_answers": f"""WITH {RECORDS}, {SCOPED}, {_found(5)}, a AS (SELECT item_id, count(*) AS n, string_agg(chunk_id || ':' || format('{{:.6f}}', score), '|' ORDER BY place) AS citations, arg_min(score, place) AS top, arg_min(CASE WHEN length({_FLAT}) <= 280 THEN {_FLAT} ELSE rtrim(substring({_FLAT}, 1, 280)) || '...' END, place) AS said FROM evidence GROUP BY item_id),
+    "asset_search": f"WITH {RECORDS}, {SCOPED}, {_found_sql(5)} SELECT item_id AS question_id, CAST(place AS INTEGER) AS place, document_id, chunk_id, score FROM found",
+    "search_evidence": f"WITH {RECORDS}, {SCOPED}, {_found_sql(10)} SELECT item_id AS question_id, CAST(place AS INTEGER) AS place, chunk_id, score, intent, md5(text) AS digest FROM evidence",
+    "extractive_answers": f"""WITH {RECORDS}, {SCOPED}, {_found_sql(5)}, a AS (SELECT item_id, count(*) AS n, string_agg(chunk_id || ':' || format('{{:.6f}}', score), '|' ORDER BY place) AS citations, arg_min(score, place) AS top, arg_min(CASE WHEN length({_FLAT}) <= 280 THEN {_FLAT} ELSE rtrim(substring({_FLAT}, 1, 280)) || '...' END, place) AS said FROM evidence GROUP BY item_id),
 b AS (SELECT *, {INTENT} AS intent FROM ask JOIN a USING (item_id))
 SELECT item_id AS question_id, intent, CASE WHEN top >= 0.6 THEN 'high' WHEN top >= 0.3 THEN 'medium' ELSE 'low' END AS confidence, CAST(n AS INTEGER) AS retrieved, citations,
 md5('Based on ' || n || ' retrieved chunk(s)' || CASE WHEN intent <> 'general' THEN ' [' || intent || ']' ELSE '' END || ', the most relevant evidence for "' || question || '" is: "' || said || '" (Extractive answer — no LLM; see citations for full provenance.)') AS digest FROM b""",
     "retrieved_causes": CAUSES,
+    "answer_contexts": f"""WITH {RECORDS}, {SCOPED}, {_found_sql(5)}, x AS (SELECT item_id, place, '[' || place || '] file=' || CASE WHEN chunk_id % 4 = 3 THEN 'd' || chunk_id ELSE 'f' || chunk_id || '.txt' END || ' ' || CASE WHEN chunk_id % 4 = 3 OR chunk_id = 0 THEN '' ELSE 'page ' || chunk_id END || ' section=' || CASE WHEN chunk_id % 4 = 3 THEN 'n/a' ELSE 'S' || chunk_id END || ' parent_chunk_id=' || CASE WHEN chunk_id % 4 = 3 THEN '' ELSE 'p' END || chunk_id
+  || chr(10) || 'Retrieval summary label (not evidence): ' || chr(10) || 'Raw parent chunk evidence:' || chr(10) || text AS block FROM found), y AS (SELECT item_id, string_agg(block, chr(10) || chr(10) ORDER BY place) AS context FROM x GROUP BY item_id)
+SELECT item_id, CAST(length(context) AS INTEGER) AS chars, md5(context) AS digest FROM y""",
+    "answer_citations": f"""WITH {RECORDS}, {SCOPED}, {_found_sql(5)}
+SELECT item_id, CAST(place AS INTEGER) AS place, chunk_id, CASE WHEN chunk_id % 4 = 3 THEN 'd' || chunk_id ELSE 'f' || chunk_id || '.txt' END AS file_name, CASE WHEN chunk_id % 4 <> 3 AND chunk_id <> 0 THEN CAST(chunk_id AS INTEGER) END AS page, CASE WHEN chunk_id % 4 <> 3 AND chunk_id <> 0 THEN 'page ' || chunk_id ELSE '' END AS location,
+  CASE WHEN length({_FLAT}) <= 220 THEN {_FLAT} ELSE rtrim(substring({_FLAT}, 1, 220)) || '...' END AS snippet, CASE WHEN chunk_id % 7 <> 0 THEN CAST(document_id AS VARCHAR) WHEN chunk_id % 4 = 3 THEN CAST(chunk_id AS VARCHAR) ELSE 'p' || chunk_id END AS document_id, CASE WHEN chunk_id % 7 <> 0 THEN chunk_index ELSE 0 END AS chunk_index, CASE WHEN chunk_id % 7 <> 0 THEN score ELSE 0.0 END AS score FROM found""",
 }

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .tokens import by_size, encoder
 
 MAX_TOKENS = 2048
@@ -97,7 +97,7 @@ def _cut(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame:
         if held:
             yield from packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, filled long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, filled long")
 
 
 def _merged(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _merged(items: DataFrame, groups: int, level: int, capacity: int) -> DataFra
             yield packed()
 
     dealt = items.select(F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("group"), "bin", "filled")
-    return dealt.repartition(groups, "group").sortWithinPartitions("group", "bin").mapInArrow(run, "child long, bin long, offset long, filled long")
+    return dealt.repartition(groups, "group").sortWithinPartitions("group", "bin").mapInArrow(tidy(run), "child long, bin long, offset long, filled long")
 
 
 def pack_best_fit(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, most: int = MAX_TOKENS) -> DataFrame:

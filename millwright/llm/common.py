@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,22 @@ def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of a task's batches, which hands freed memory back to the system at the task's end: a Python
+    worker lives on between tasks, beside those of other steps, and would keep what the largest batch took."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst), long and undirected -> (node, component): the smallest node that each node with an edge reaches.
 

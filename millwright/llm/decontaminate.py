@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hidden, stored, table, with_row
+from .common import hidden, stored, table, tidy, with_row
 
 WINDOW, SLOP = 13, 3
 SHARD_WORDS = 4_000_000
@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW + SLOP) -> DataFrame:
         if ids:
             yield from shard()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"shard string, term binary, n long, positions binary, doc_ids array<{kind}>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"shard string, term binary, n long, positions binary, doc_ids array<{kind}>")
 
 
 def phrase_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], rarest: list[int]) -> np.ndarray:

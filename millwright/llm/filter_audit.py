@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .tokens import by_size
 
 FILTERS = "ABCDE"
@@ -145,7 +145,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), digests, *map(pa.array, counts(texts))], names=names)
 
     given = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, part string, digest binary, " + ", ".join(f"{n} long" for n in names[3:]))
+    return given.mapInArrow(tidy(run), f"doc_id {kind}, part string, digest binary, " + ", ".join(f"{n} long" for n in names[3:]))
 
 
 def classes(docs: DataFrame, labels: DataFrame) -> DataFrame:

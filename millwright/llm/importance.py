@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .tokens import by_size
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words are what stands between; letters are lower-cased before
@@ -60,7 +60,7 @@ def bucket_counts(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKET
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
@@ -90,7 +90,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST) -> DataF
                     n_features += each
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words), pa.array(n_features), pa.array(weight)], names=names)
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_features long, weight long")
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_features long, weight long")
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .tokens import by_size, encoder
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
@@ -90,7 +90,7 @@ def _packed(examples: DataFrame, kept: list[str], demands: list[str], limits: tu
 
     dealt = examples.withColumn("group", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)))
     each = dealt.select("group", *dict.fromkeys([*kept, *demands])).repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group")
-    return each.mapInArrow(run, f"{schema}, sequence_id long, position long, offset long").select(*kept, *names)
+    return each.mapInArrow(tidy(run), f"{schema}, sequence_id long, position long, offset long").select(*kept, *names)
 
 
 def pack(examples: DataFrame, id_column: str, tokens: str, segments: str, loss: str, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)) -> DataFrame:
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, whole long" + ", ids binary" * with_ids
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "pieces")
     # the highest bit but one tells the full pieces' sequences from the packed ones
     alone = pieces.where("whole is not null").select(*names[:5], (F.col("whole") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *names[6:])
     rest = pieces.where("whole is null").drop("whole").withColumn("segments", F.lit(1).cast("long")).withColumn("loss", F.col("length") - 1)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, stored, table
+from .common import components, stored, table, tidy
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, one of the two generator polynomials of the code
 
@@ -93,7 +93,7 @@ def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    return docs.select(id_column, text_column).mapInArrow(tidy(run), f"id {kind.simpleString()}, fp long")
 
 
 def _bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +194,8 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = fps.select("fp").mapInPandas(keyed, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(joined, "src long, dst long").distinct()
+    rows = fps.select("fp").mapInPandas(tidy(keyed), "key long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(joined), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

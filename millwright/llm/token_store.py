@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_folder, table
+from .common import shared_folder, table, tidy
 from .tokens import by_size, encoder
 
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 511 << 40
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
                 row += len(cuts)
                 yield rows(len(cuts), kind=pa.array(["recipe"] * len(cuts)), key=recipe, doc_id=part.column(0), chunks=pa.ListArray.from_arrays(offsets, keys), sizes=pa.ListArray.from_arrays(offsets, pa.array(np.diff(ends).astype(np.int32))))
 
-    cut = docs.select("doc_id", "text").mapInArrow(run, schema).repartition("key")
+    cut = docs.select("doc_id", "text").mapInArrow(tidy(run), schema).repartition("key")
     once = cut.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in columns[2:]))
     once.write.partitionBy("kind").parquet(f"{path}/content")
 
@@ -191,7 +191,7 @@ def _uses(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(4)), pa.array((np.arange(len(each)) - (ends - n)[each]).astype(np.int32)), pc.list_flatten(b.column(4)), sizes, pa.array(total[each] - until)], names=[*names, "at", "chunk", "size", "after"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
-    return recipes.select(*names, "chunks", "sizes").mapInArrow(run, f"{schema}, at int, chunk binary, size int, after long")
+    return recipes.select(*names, "chunks", "sizes").mapInArrow(tidy(run), f"{schema}, at int, chunk binary, size int, after long")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -44,7 +44,7 @@ BYTE_TEXT = _byte_characters() | {10: "\n"}
 class Encoder:
     """ids of whole texts. words_only: the tokenizer lower-cases and drops white space."""
 
-    def __init__(self, name: str, words_only: bool, cached: int = 300_000) -> None:
+    def __init__(self, name: str, words_only: bool, cached: int = 150_000) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits only")

@@ -319,6 +319,86 @@ def test_line_classes(spark):
     assert got == {i: want[i] for i, _ in rows}
 
 
+def near_by_all_pairs(lines):
+    """Class of each line that has another one within the edits: what links lead to, by comparing all pairs."""
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(lines, 2):
+        most = min(2, min(len(a), len(b)) // 12)
+        if abs(len(a) - len(b)) <= most and sum(((n := Counter(a)) - (m := Counter(b))).values()) + sum((m - n).values()) <= 2 * most and distance(a, b) <= most:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    sets = defaultdict(set)
+    for x in lines:
+        sets[find(x)].add(x)
+    return {frozenset(x) for x in sets.values() if len(x) > 1}
+
+
+def near_sets(spark, lines):
+    """Those of deduplicated, a line a document."""
+    sets = defaultdict(set)
+    found = line_dedup.deduplicated(spark.createDataFrame([(i, f"a\n {x}") for i, x in enumerate(lines)], "doc_id long, text string"), near=True)
+    for r in found.collect():
+        assert {x.line_no for x in r.near} <= {1}
+        for x in r.near:
+            sets[x["class"]].add(lines[r.doc_id])
+    return {frozenset(x) for x in sets.values()}
+
+
+def test_near_lines_whatever_the_edits(spark):
+    """Edits of numbers, short words, word ends, signs and joined words are links too, though such lines stay."""
+    joined = [("The decision-making was put off", "The decisionmaking was put off"), ("He ran now here to be found", "He ran nowhere to be found"), ("A letter came in the morning post", "A leter came in the morning post")]
+    marks = [("-" * 30, "-" * 31), ("\u2022" * 30, "\u2022" * 31)]
+    pairs = [(a, b) for a, b in APART + joined if distance(a, b) <= 2]
+    assert len(pairs) >= 8
+    assert near_sets(spark, [x for pair in pairs + marks for x in pair]) == {frozenset(pair) for pair in pairs}
+    rows = [(i, "\n".join(pair)) for i, pair in enumerate(pairs)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), near=True).collect()
+    assert all(r.text == "\n".join(pairs[r.doc_id]) and r.removed == [] and [x.line_no for x in r.near] == [0, 1] for r in got)
+
+
+def test_near_lines_by_all_pairs(spark, texts):
+    """Planted edits at any place of real lines, and lines of a few forms, of which many meet under each key."""
+    r = random.Random(12)
+    real = sorted({y for t in texts.values() for x in (t or "").split("\n") if 12 <= len(y := x.strip()) <= 90 and re.search("[a-zA-Z]", y)})
+    lines = set(r.sample(real, 150))
+    for x in sorted(lines):
+        for _ in range(2):
+            y = list(x)
+            for _ in range(r.randint(1, 3)):
+                at = r.randrange(1, len(y) - 1)
+                y[at : at + 1] = r.choice([[], [r.choice("ab7 ,-")], [y[at], r.choice("ab7 ,-")]])
+            lines.add("".join(y).strip())
+    for _ in range(160):
+        lines |= {f"Order no. {r.randrange(10**6):06d} was shipped to {r.choice(('Rome', 'Oslo'))}", f"Page {r.randrange(10**5)} of it", f"{r.randrange(10**4)} items left in the store"}
+    lines = sorted(lines)
+    want = near_by_all_pairs(lines)
+    assert len(want) > 50
+    assert near_sets(spark, lines) == want
+    by_h = {xxhash.xxh64_intdigest(x.encode(), 42): x for x in lines}
+    links = line_dedup.line_links(spark.createDataFrame([("\n".join(lines[i::3]),) for i in range(3)], "text string"), many=4)
+    sets = defaultdict(set)
+    for x in common.components(links.select("src", "dst")).collect():
+        sets[x.component].add(by_h[x.node % (1 << 64)])
+    assert {frozenset(x) for x in sets.values()} == want
+
+
+def test_near_lines_of_one_form(spark):
+    """20,000 lines that share all but a name meet in a few steps, and the planted link is found."""
+    r = random.Random(8)
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    lines = sorted({f"All rights of this text are reserved by {name()} and heirs" for _ in range(20_000)})
+    pair = ("All rights of this text are reserved by abc17defg and heirs", "All rights of this text are reserved by abc25defg and heirs")
+    began = time.time()
+    found = near_sets(spark, [*lines, *pair])
+    assert frozenset(pair) in found and all(len(x) == 2 and distance(*x) <= 2 for x in found)
+    assert time.time() - began < 120
+
+
 def test_fill(docs):
     """Sequences get as full whatever the input's partitions."""
     for n in (1, 60):

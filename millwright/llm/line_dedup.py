@@ -331,6 +331,12 @@ def _forest(hs: list[int], lines: list[str], edits: int) -> list[tuple[int, int,
     for i, x in enumerate(lines):
         marks[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64).clip(max=32_000)
     sizes = np.array([*map(len, lines)])
+    # the squares of these differences sum to 2 * edits ** 2 at most; lines that are near none but themselves are out
+    counts, some = marks.astype(np.float64), []
+    squares = (counts * counts).sum(axis=1)
+    for at in range(0, len(lines), MANY):
+        apart = squares[at : at + MANY, None] + squares - 2 * (counts[at : at + MANY] @ counts.T)
+        some.append((apart <= 2 * edits * edits).sum(axis=1) > 1)
 
     def trees(rest: np.ndarray, alike: Callable[[str, str], bool]) -> Iterator[list[tuple[int, int]]]:
         while len(rest) > 1:
@@ -348,7 +354,7 @@ def _forest(hs: list[int], lines: list[str], edits: int) -> list[tuple[int, int,
             yield links
 
     out = []
-    for links in trees(np.arange(len(lines)), lambda a, b: True):
+    for links in trees(np.flatnonzero(np.concatenate(some)), lambda a, b: True):
         out += [(hs[i], hs[j], False) for i, j in links]
         forms: dict[str, list[int]] = {}
         for i in sorted({i for link in links for i in link}):

@@ -121,7 +121,8 @@ def _root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = causes.packages(graph.timeline(_evidence(spark, sf_dir)), compliance.gaps(star.findings(spark, sf_dir)))
+    left, findings = star.mentions_by_tag(spark, sf_dir)
+    p = causes.packages(graph.timeline(left), compliance.open_kinds(findings))
     return p.select("tag", "mentions", "documents", "gaps", "high_gaps", F.size("inspection").alias("n_inspection"), F.size("maintenance").alias("n_maintenance"), F.array_join("missing", "|").alias("missing"), "summary")
 
 

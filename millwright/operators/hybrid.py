@@ -6,20 +6,24 @@ The questions' terms and vectors are sent to every task in blocks of bounded siz
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import facts
 from ..functions import text as tx
 from . import blocked
-from .retrieval import signed_counts
+from .retrieval import signed_counts, words
 
 # Weights of fusion and diversification.
 VECTOR_WEIGHT, KEYWORD_WEIGHT, RRF_K = 0.7, 0.3, 60
@@ -29,6 +33,8 @@ TOKEN, ASSET, TAGGED = (2.0, 1.0, 3.0), (4.0, 2.0, 4.0), 8.0
 SAME_FILE, NEAR_ROW = 0.08, 0.12
 LEAST_SCORE, PREVIEW = 0.15, 600
 DIMENSION = 384
+#: Rows whose places are counted at once, and words whose hashes a task keeps.
+ROWS_AT_ONCE, MOST_KNOWN = 1000, 500_000
 INSUFFICIENT = "I could not find enough evidence in the indexed documents to answer this question."
 
 
@@ -118,6 +124,43 @@ def hashed(docs: DataFrame) -> DataFrame:
     return signed_counts(docs, DIMENSION).groupBy("id").agg(entry.alias("e")).select("id", F.struct(F.col("e.at").alias("at"), F.col("e.value").alias("value")).alias("places"))
 
 
+def signed_places(column: pa.ListArray, dimension: int, known: dict[str, int]) -> tuple[pa.StructArray, np.ndarray]:
+    """The places of each list of words, as hashed has them, and how many each has. known: words' places so far, with
+    their signs."""
+    coded = pc.list_flatten(column).dictionary_encode()
+    for w in coded.dictionary.to_pylist():
+        if w not in known:
+            h = md5(w.encode()).digest()
+            bucket = int.from_bytes(h[:4], "big") % dimension
+            known[w] = bucket if h[4] % 2 else -1 - bucket
+    place = np.array([known[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    cell = pc.list_parent_indices(column).to_numpy() * dimension + np.where(place < 0, -1 - place, place)
+    counts = np.bincount(cell, np.where(place < 0, -1.0, 1.0), len(column) * dimension)
+    filled = np.flatnonzero(counts)
+    n = np.bincount(filled // dimension, minlength=len(column))
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array((filled % dimension).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts[filled]))]
+    return pa.StructArray.from_arrays(lists, ["at", "value"]), n
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with places: what hashed says of each row's text, made in the row's own task. Rows without
+    any are left out."""
+    places = T.StructType().add("at", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(start, ROWS_AT_ONCE)
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                found, n = signed_places(part.column("words"), DIMENSION, known)
+                yield part.drop_columns(["words"]).append_column("places", found).filter(pa.array(n > 0))
+
+    return rows.withColumn("words", words(F.col("text"))).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("places", places)]))
+
+
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """item_id, rank, chunk_id, score: the k chunks of the largest cosine of hashing embeddings, ties by chunk_id; of the
     chunks and questions that have a word. Counts are whole numbers, so products are exact in any order."""

@@ -37,10 +37,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, per_label: i
     return found.select("query_id", "place", F.col("id").alias("vec_id"), "label", "score")
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+
+
 def signed_counts(docs: DataFrame, dimension: int = 384) -> DataFrame:
     """id, bucket, v (not 0): of each text (id, text) the sum of its hashed words' signs."""
-    words = docs.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)).alias("w"))
-    counts = words.groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
+    each = docs.select("id", F.explode(words(F.col("text"))).alias("w"))
+    counts = each.groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
     bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dimension
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("long") % 2 == 1, 1).otherwise(-1)
     places = counts.select("id", bucket.alias("bucket"), (sign * F.col("n")).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v"))

@@ -19,6 +19,8 @@ from . import blocked, hybrid
 # label, and the answer's wording.
 MOST_OF_DOCUMENT, ASSET_BOOST = 3, 0.15
 PREVIEW, HIGH, MEDIUM = 280, 0.6, 0.3
+#: Rows that are sent to every task.
+MOST_SENT = 100_000
 NO_CONTEXT = "Not enough indexed context to answer this question. Ingest related documents via POST /documents and try again."
 ANSWER = "Based on {n} retrieved chunk(s){intent}, the most relevant evidence for \"{question}\" is: \"{evidence}\" (Extractive answer — no LLM; see citations for full provenance.)"
 
@@ -32,6 +34,21 @@ def _preview(text: Column) -> Column:
     return F.when(F.length(flat) <= PREVIEW, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, PREVIEW)), F.lit("...")))
 
 
+def _with_places(keyed: DataFrame) -> DataFrame:
+    """id, text, places of each id (of several rows the least text, and the places of all their words).
+
+    Only ids are dealt, to see which several rows share. An id's own row goes on in the task that reads it.
+    """
+    shared = keyed.groupBy("id").count().where("count > 1").select("id")
+    n = shared.limit(MOST_SENT + 1).count()
+    if not n:
+        return hybrid.with_places(keyed)
+    shared = F.broadcast(shared) if n <= MOST_SENT else shared
+    several = keyed.join(shared, "id", "left_semi")
+    joined = several.groupBy("id").agg(F.min("text").alias("text")).join(hybrid.hashed(several), "id")
+    return hybrid.with_places(keyed.join(shared, "id", "left_anti")).unionByName(joined)
+
+
 def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost: float = ASSET_BOOST) -> DataFrame:
     """question_id, place, score, document_id, chunk_index, chunk_id: of the pool of the best pool_size(k) chunks of the
     question's model the first k, no chunk_id twice, at most MOST_OF_DOCUMENT of a document.
@@ -41,9 +58,9 @@ def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost: float = A
     or is nothing; a null tag gains nothing; null models are one model.
     """
     key = F.struct("document_id", "chunk_index", "chunk_id", "model").alias("id")
-    keyed = chunks.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    rows = hybrid.hashed(keyed).join(keyed.groupBy("id").agg(F.min("text").alias("text")), "id")
-    rows = rows.select("text", F.col("places").alias("vector"), "id.model", "id.document_id", "id.chunk_index", F.col("id.chunk_id").alias("id"))
+    rows = _with_places(chunks.select(key, F.coalesce("text", F.lit("")).alias("text"))).select(
+        "text", F.col("places").alias("vector"), "id.model", "id.document_id", "id.chunk_index", F.col("id.chunk_id").alias("id")
+    )
     asked = hybrid.hashed(questions.select(F.col("question_id").alias("id"), F.col("question").alias("text"))).join(questions.select(F.col("question_id").alias("id"), "tag", "model"), "id")
     rules = blocked.Rules(digits=6, boost=boost, same_model=True)
     pool = blocked.nearest(rows, asked.select(F.col("id").alias("query_id"), F.col("places").alias("query"), "tag", "model"), pool_size(k), ["document_id", "chunk_index", "id"], rules, dimension=hybrid.DIMENSION)
@@ -57,8 +74,10 @@ def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost: float = A
 def evidence(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """What search finds, with question, tag, intent, filename and text: files of the kind that the question's intent
     prefers gain, and the places follow the scores anew."""
-    text_of = chunks.select("chunk_id", "document_id", "chunk_index", "filename", "text").dropDuplicates(["chunk_id", "document_id", "chunk_index"])
-    found = search(chunks, questions, k).join(text_of, ["chunk_id", "document_id", "chunk_index"])
+    keys, found = ["chunk_id", "document_id", "chunk_index"], search(chunks, questions, k)
+    few = questions.limit(MOST_SENT // k + 1).count() * k <= MOST_SENT  # then the texts stay where they are read
+    text_of = chunks.select(*keys, "filename", "text")
+    found = text_of.join(F.broadcast(found), keys).dropDuplicates(["question_id", *keys]) if few else found.join(text_of.dropDuplicates(keys), keys)
     found = found.join(questions.select("question_id", "question", "tag"), "question_id").withColumn("intent", facts.intent(F.col("question")))
     score = F.round(F.least(F.lit(1.0), F.col("score") + facts.source_boost(F.col("intent"), F.col("filename"))), 6)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "document_id", "chunk_index", "place")

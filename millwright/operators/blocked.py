@@ -7,6 +7,7 @@ of one block, one slice and the product of both.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,6 +22,8 @@ from pyspark.sql.window import Window
 
 #: Bytes and number of queries in a block, and bytes of a slice's product with it.
 QUERY_BYTES, MOST_QUERIES, PRODUCT_BYTES = 32 << 20, 10_000, 16 << 20
+#: Rows in a slice that is prepared, so that what is made of it stays small beside the batch that it is from.
+PREPARED_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -211,14 +214,14 @@ class Best:
 
 def best(
     rows: DataFrame, names: list[str], queries: DataFrame, n_bytes: Column, block_of: Callable[[pa.Table], Any], scores: Callable[[pa.RecordBatch, Any], tuple[np.ndarray, np.ndarray]],
-    k: int, ties: list[tuple[str, str]], digits: int = 0, cap: int | None = None, most_queries: int = MOST_QUERIES,
+    k: int, ties: list[tuple[str, str]], digits: int = 0, cap: int | None = None, most_queries: int = MOST_QUERIES, prepare: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """query_id, place (from 1), score, and the named columns of rows: the k best rows of each of queries (query_id and
     others, n_bytes each when sent).
 
     block_of makes of a block of queries what tasks get, with ids; scores gives of a slice of rows, in the order of ties,
     and such a block the units of the last digit and whether the pair is one, rows x queries. ties: column and
-    'ascending' or 'descending', nulls last.
+    'ascending' or 'descending', nulls last. prepare makes, in each task, what turns a slice of rows into one for scores.
     """
     spark = rows.sparkSession
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -231,12 +234,14 @@ def best(
         sent = spark.sparkContext.broadcast(block_of(block.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sent.value
+            q, ready = sent.value, prepare() if prepare else None
             best_ = Best(len(q.ids), k, cap, ties)
-            step = max(k, PRODUCT_BYTES // (8 * max(1, len(q.ids))))
+            step = max(k, min(PRODUCT_BYTES // (8 * max(1, len(q.ids))), PREPARED_ROWS if ready else sys.maxsize))
             for b in batches:
                 for start in range(0, b.num_rows if len(q.ids) else 0, step):
-                    part = b.slice(start, step)
+                    part = ready(b.slice(start, step)) if ready else b.slice(start, step)
+                    if not part.num_rows:
+                        continue
                     part = part.take(pc.sort_indices(pa.table({c: part.column(c) for c, _ in ties}), sort_keys=ties))
                     best_.add(pa.table({c: part.column(c) for c in names}), *scores(part, q))
             if best_.rows is not None and len(best_.query):
@@ -254,19 +259,20 @@ def best(
     return placed.select("query_id", "place", (F.col("units") / 10**digits).alias("score"), *names)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, ties: list[str], rules: Rules = Rules(), dimension: int | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, ties: list[str], rules: Rules = Rules(), dimension: int | None = None, most_queries: int = MOST_QUERIES, prepare: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None) -> DataFrame:
     """query_id, place (from 1), score, and rows' columns but vector, text and model: the k rows of the largest cosine.
 
     rows: id, vector, the columns of ties (which decide between equal scores, ascending, nulls last) and, as the rules
     need them, label, text, model. queries: query_id, query, and tag, model. A vector is an array of numbers, or a struct
     of the places (at) and values that aren't 0 in `dimension` places. The score is 0 where a vector is null or has no
-    length, or the two differ in dimension. Equal rows keep a place each. No rows or no queries: an empty table.
+    length, or the two differ in dimension. Equal rows keep a place each. No rows or no queries: an empty table. prepare: as
+    in best; it may make vectors of the column words.
     """
     names = [*dict.fromkeys(["id", *ties, *(["label"] if "label" in rows.columns else [])])]
-    used = [*names, "vector", *(c for c in ("text", "model") if c in rows.columns)]
+    used = [*names, "vector", *(c for c in ("text", "model", "words") if c in rows.columns)]
     asked = queries.select("query_id", "query", *(c for c in ("tag", "model") if c in queries.columns))
     sizes = F.coalesce(F.lit(dimension) if dimension else F.size("query"), F.lit(0))
     return best(
         rows.select(used), names, asked, 8 * F.greatest(sizes, F.lit(1)), lambda t: Block.of(t, dimension), lambda part, q: _scores(part, q, rules, dimension),
-        k, [(c, "ascending") for c in ties], rules.digits, rules.cap, most_queries,
+        k, [(c, "ascending") for c in ties], rules.digits, rules.cap, most_queries, prepare,
     )

@@ -6,7 +6,7 @@ The questions' terms and vectors are sent to every task in blocks of bounded siz
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import md5
 from typing import Any
@@ -17,13 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import facts
 from ..functions import text as tx
 from . import blocked
-from .retrieval import signed_counts, words
+from .retrieval import signed_counts
 
 # Weights of fusion and diversification.
 VECTOR_WEIGHT, KEYWORD_WEIGHT, RRF_K = 0.7, 0.3, 60
@@ -34,7 +33,7 @@ SAME_FILE, NEAR_ROW = 0.08, 0.12
 LEAST_SCORE, PREVIEW = 0.15, 600
 DIMENSION = 384
 #: Rows whose places are counted at once, and words whose hashes a task keeps.
-ROWS_AT_ONCE, MOST_KNOWN = 1000, 500_000
+ROWS_AT_ONCE, MOST_KNOWN = 1000, 100_000
 INSUFFICIENT = "I could not find enough evidence in the indexed documents to answer this question."
 
 
@@ -143,22 +142,21 @@ def signed_places(column: pa.ListArray, dimension: int, known: dict[str, int]) -
     return pa.StructArray.from_arrays(lists, ["at", "value"]), n
 
 
-def with_places(rows: DataFrame) -> DataFrame:
-    """rows (text and others) with places: what hashed says of each row's text, made in the row's own task. Rows without
-    any are left out."""
-    places = T.StructType().add("at", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.DoubleType()))
+def filled() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """What gives, in one task, rows (vector, words) the places of their words where they have no vector. Rows that have
+    neither are left out."""
+    known: dict[str, int] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for b in batches:
-            for start in range(0, b.num_rows, ROWS_AT_ONCE):
-                part = b.slice(start, ROWS_AT_ONCE)
-                if len(known) > MOST_KNOWN:
-                    known.clear()
-                found, n = signed_places(part.column("words"), DIMENSION, known)
-                yield part.drop_columns(["words"]).append_column("places", found).filter(pa.array(n > 0))
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        vector, said = part.column("vector"), part.column("words")
+        made, n = zip(*(signed_places(said.slice(i, ROWS_AT_ONCE), DIMENSION, known) for i in range(0, len(said), ROWS_AT_ONCE)), strict=True)
+        has, places = vector.is_valid(), pa.concat_arrays(made).cast(vector.type)
+        vector = pc.if_else(has, vector, places) if vector.null_count < len(vector) else places
+        return part.set_column(part.schema.get_field_index("vector"), "vector", vector).filter(pc.or_(has, pa.array(np.concatenate(n) > 0)))
 
-    return rows.withColumn("words", words(F.col("text"))).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("places", places)]))
+    return run
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

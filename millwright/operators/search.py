@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import facts
 from . import blocked, hybrid
+from .retrieval import words
 
 # Chunks of one document in a result, what naming the asset is worth, characters of a preview, limits of a
 # label, and the answer's wording.
@@ -34,19 +35,21 @@ def _preview(text: Column) -> Column:
     return F.when(F.length(flat) <= PREVIEW, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, PREVIEW)), F.lit("...")))
 
 
-def _with_places(keyed: DataFrame) -> DataFrame:
-    """id, text, places of each id (of several rows the least text, and the places of all their words).
+def _with_words(keyed: DataFrame) -> DataFrame:
+    """id, text, words, vector of each id (of several rows the least text): an id's own row has its words, which become a
+    vector in the task that reads it, and one of several rows the vector of all their words.
 
-    Only ids are dealt, to see which several rows share. An id's own row goes on in the task that reads it.
+    Only ids are dealt, to see which several rows share, and the rows that do.
     """
     shared = keyed.groupBy("id").count().where("count > 1").select("id")
     n = shared.limit(MOST_SENT + 1).count()
+    own = lambda df: df.select("id", "text", words(F.col("text")).alias("words"), F.lit(None).cast("struct<at:array<int>,value:array<double>>").alias("vector"))
     if not n:
-        return hybrid.with_places(keyed)
+        return own(keyed)
     shared = F.broadcast(shared) if n <= MOST_SENT else shared
     several = keyed.join(shared, "id", "left_semi")
     joined = several.groupBy("id").agg(F.min("text").alias("text")).join(hybrid.hashed(several), "id")
-    return hybrid.with_places(keyed.join(shared, "id", "left_anti")).unionByName(joined)
+    return own(keyed.join(shared, "id", "left_anti")).unionByName(joined.select("id", "text", F.lit(None).cast("array<string>").alias("words"), F.col("places").alias("vector")))
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost: float = ASSET_BOOST) -> DataFrame:
@@ -58,12 +61,11 @@ def search(chunks: DataFrame, questions: DataFrame, k: int = 5, boost: float = A
     or is nothing; a null tag gains nothing; null models are one model.
     """
     key = F.struct("document_id", "chunk_index", "chunk_id", "model").alias("id")
-    rows = _with_places(chunks.select(key, F.coalesce("text", F.lit("")).alias("text"))).select(
-        "text", F.col("places").alias("vector"), "id.model", "id.document_id", "id.chunk_index", F.col("id.chunk_id").alias("id")
-    )
+    rows = _with_words(chunks.select(key, F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.select("text", "words", "vector", "id.model", "id.document_id", "id.chunk_index", F.col("id.chunk_id").alias("id"))
     asked = hybrid.hashed(questions.select(F.col("question_id").alias("id"), F.col("question").alias("text"))).join(questions.select(F.col("question_id").alias("id"), "tag", "model"), "id")
     rules = blocked.Rules(digits=6, boost=boost, same_model=True)
-    pool = blocked.nearest(rows, asked.select(F.col("id").alias("query_id"), F.col("places").alias("query"), "tag", "model"), pool_size(k), ["document_id", "chunk_index", "id"], rules, dimension=hybrid.DIMENSION)
+    pool = blocked.nearest(rows, asked.select(F.col("id").alias("query_id"), F.col("places").alias("query"), "tag", "model"), pool_size(k), ["document_id", "chunk_index", "id"], rules, dimension=hybrid.DIMENSION, prepare=hybrid.filled)
     by = lambda *keys: F.row_number().over(Window.partitionBy("query_id", *keys).orderBy("place"))  # noqa: E731  pool_size rows a question
     once = pool.withColumn("again", by("id")).where("again = 1")
     few = once.withColumn("of_document", by("document_id")).where(F.col("of_document") <= MOST_OF_DOCUMENT)

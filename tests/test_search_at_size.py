@@ -19,7 +19,10 @@ def test_places_are_those_of_the_counts(spark):
     texts = ["", "  ", "seal SEAL leak", "Straße straße İstanbul ΣΑΣ", "a_b 12 १२ ́x a‍b", "日本語 テキスト 😀", "pump\npump\tpump", "٣ ² ½ ⓐ Ⅷ"]
     rows = [(i, t) for i, t in enumerate([*texts, *(" ".join(f"w{j * i % 977}" for j in range(300)) for i in range(2500))])]
     docs = spark.createDataFrame(rows, "id long, text string")
-    got = {r.id: (r.places.at, r.places.value) for r in hybrid.with_places(docs.repartition(2)).collect()}
+    said = search._with_words(docs).toArrow().to_batches()
+    run, got = hybrid.filled(), {}
+    for part in map(run, said):
+        got |= {i: (v["at"], v["value"]) for i, v in zip(part.column("id").to_pylist(), part.column("vector").to_pylist(), strict=True)}
     assert got == {r.id: (r.places.at, r.places.value) for r in hybrid.hashed(docs).collect()}
     assert len(got) == 2506 and got[2][1] != got[6][1]
 
@@ -32,7 +35,8 @@ def test_words_that_cancel_leave_no_row(spark):
         found.setdefault(p["at"][0], {}).setdefault(p["value"][0], f"w{i}")
     both = next(x for x in found.values() if len(x) == 2)
     docs = spark.createDataFrame([(1, " ".join(both.values())), (2, "seal")], "id long, text string")
-    assert [r.id for r in hybrid.with_places(docs).collect()] == [r.id for r in hybrid.hashed(docs).collect()] == [2]
+    part = hybrid.filled()(search._with_words(docs).toArrow().combine_chunks().to_batches()[0])
+    assert part.column("id").to_pylist() == [r.id for r in hybrid.hashed(docs).collect()] == [2]
 
 
 @pytest.mark.parametrize("most", [0, 1, 100_000])
@@ -60,7 +64,7 @@ def test_chunks_are_not_dealt(spark):
     try:
         keyed = star.records(spark, SF).select(F.struct("document_id", "chunk_id").alias("id"), "text")
         plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan(search._with_places(keyed))
+        assert "Exchange" not in plan(search._with_words(keyed))
         assert "hashpartitioning(chunk_id" not in plan(catalog.QUERIES["retrieved_causes"](spark, SF))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
